@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mpeg, secrets, sharding
+from . import mixing, mpeg, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secrets": secrets.query,
         "op2_sharding": sharding.query,
         "op5_mpeg_audio": mpeg.query,
+        "op10_mixing": mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_sharding": sharding.ORACLE,
+        "op10_mixing": mixing.ORACLE,
     }
