@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, mpeg, secrets, sharding
+from . import chat, mixing, mpeg, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secrets": secrets.query,
         "op2_sharding": sharding.query,
         "op5_mpeg_audio": mpeg.query,
+        "op6_chat": chat.query,
         "op10_mixing": mixing.query,
     }
 
@@ -21,5 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_sharding": sharding.ORACLE,
+        "op6_chat": chat.ORACLE,
         "op10_mixing": mixing.ORACLE,
     }
