@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, mpeg, quality, secrets, sharding
+from . import chat, jaccard, mixing, mpeg, quality, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": sharding.query,
         "op5_mpeg_audio": mpeg.query,
         "op6_chat": chat.query,
+        "op8_jaccard_join": jaccard.query,
         "op9_quality": quality.query,
         "op10_mixing": mixing.query,
     }
@@ -24,5 +25,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_sharding": sharding.ORACLE,
         "op6_chat": chat.ORACLE,
+        "op8_jaccard_join": jaccard.ORACLE,
         "op10_mixing": mixing.ORACLE,
     }
