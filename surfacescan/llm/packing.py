@@ -33,8 +33,8 @@ from .common import IS_SPACE, batches, hash_spans, joined, materialise, texts
 
 #: Tokens in a sequence; the id that ends a document; buckets of the ranking inside a length.
 LENGTH, END, BUCKETS = 2048, 0, 256
-#: Rounds of weights a solve, step of the weights, share of the best value that a configuration needs, and solves.
-ROUNDS, STEP, NEAR, SOLVES = 60, 0.25, 0.995, 4
+#: Rounds of weights a solve, cover added in a round, cover per e-fold of a weight, share of the best value that a configuration needs, and solves.
+ROUNDS, STEP, PULL, NEAR, SOLVES = 100, 0.1, 10.0, 0.97, 4
 #: Stretches that a worker keeps tokenised, before it starts anew.
 CACHED = 500_000
 
@@ -167,18 +167,20 @@ def _filled(first: int, took: np.ndarray, capacity: int) -> Config:
 
 
 def solve(need: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[Config, float]:
-    """A fractional cover of need[l] items of each length by configurations, none of it covered much more than once.
+    """A fractional cover of need[l] items of each length by configurations, covered once on average.
 
-    A length's weight falls exponentially with how far it is covered; its price is the weight over its
-    count. A round adds the near-best configurations in turn, each up to STEP of its scarcest length,
+    A length's weight starts as its tokens and falls exponentially with how far it is covered, against
+    the mean; its price is the weight over its count. A round adds the near-best configurations in turn, each up to STEP of its scarcest length,
     passing over those that hold a length already added to in the round, so no price is used twice.
     """
     lengths = np.flatnonzero(need)
     covered = np.zeros(capacity + 1)
+    size = need * np.arange(capacity + 1)
     use: dict[Config, float] = {}
     for _ in range(rounds):
         price = np.full(capacity + 1, -np.inf)
-        price[lengths] = np.exp(-(covered[lengths] - covered[lengths].min()) / STEP) / need[lengths]
+        mean = (covered * size).sum() / size.sum()
+        price[lengths] = lengths / capacity * np.exp(np.clip(mean - covered[lengths], -2, 2) / PULL)
         best, took = knapsack(price, capacity)
         worth = price[lengths] + best[capacity - lengths]
         touched = np.zeros(capacity + 1, dtype=bool)
@@ -195,7 +197,7 @@ def solve(need: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[Config,
             for x, k in config:
                 touched[x] = True
                 covered[x] += k * amount / need[x]
-    level = max(covered.max(), 1e-9)
+    level = max((covered * size).sum() / size.sum(), 1e-9)
     return {c: x / level for c, x in use.items()}
 
 
