@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, mixing, mpeg, quality, secrets, sharding
+from . import chat, jaccard, language_model, mixing, mpeg, packing, quality, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": secrets.query,
         "op2_sharding": sharding.query,
+        "op3_language_model": language_model.query,
         "op5_mpeg_audio": mpeg.query,
         "op6_chat": chat.query,
+        "op7_packing": packing.query,
         "op8_jaccard_join": jaccard.query,
         "op9_quality": quality.query,
         "op10_mixing": mixing.query,
