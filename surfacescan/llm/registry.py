@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, language_model, mixing, mpeg, packing, quality, secrets, sharding
+from . import chat, jaccard, language_model, mixing, mpeg, neighbours, packing, quality, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secrets": secrets.query,
         "op2_sharding": sharding.query,
         "op3_language_model": language_model.query,
+        "op4_neighbours": neighbours.query,
         "op5_mpeg_audio": mpeg.query,
         "op6_chat": chat.query,
         "op7_packing": packing.query,
