@@ -18,9 +18,14 @@ separate documents in any order; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import batches, configure, materialise
 from .permute import digest, digest_duck, permuted, permuted_duck, sides
 
 #: Weights dealt to the sources in order, repeating; the mix's size against all words; most uses of a
@@ -102,7 +107,7 @@ def slots(laid: DataFrame, shard_blocks: int = SHARD_BLOCKS, epochs: int = EPOCH
     heads = heads.selectExpr("*", "epoch * blocks + idx AS slot").where("slot < slots")
     return heads.selectExpr(
         "source", "slot", "idx AS at", "blocks", "fa", "fb", f"{digest(repr(key + '-draw'), "coalesce(source, '-')", 'slot')} AS draw",
-    ).selectExpr("source", "slot", "draw", f"{permuted('at', 'blocks', f"concat('{key}-', coalesce(source, '-'))", 'fa', 'fb')} AS block_idx")
+    ).selectExpr("source", "slot", "blocks", "draw", f"{permuted('at', 'blocks', f"concat('{key}-', coalesce(source, '-'))", 'fa', 'fb')} AS block_idx")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
@@ -130,6 +135,58 @@ def taken(docs: DataFrame, **how) -> DataFrame:
     return rows.selectExpr("doc_id", "size", "coalesce(source_size, 0) AS source_size", "coalesce(target, 0D) AS target", "coalesce(taken, 0) AS taken")
 
 
+# ---------------------------------------------------------------- the mixture as documents
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def cut(text: str, size: int, parts: list[tuple[int, int]]) -> str:
+    """The words of `parts` (first, count; ascending), each run of neighbouring words as it stands in the text, runs by line; all words: the text itself."""
+    spans: list[list[int]] = []
+    for first, count in parts:
+        if spans and spans[-1][1] == first:
+            spans[-1][1] = first + count
+        else:
+            spans.append([first, first + count])
+    if spans == [[0, size]]:
+        return text
+    at = [m.span() for m in _WORD.finditer(text)]
+    return "\n".join(text[at[a][0] : at[b - 1][1]] for a, b in spans)
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The mixture as rows of docs, columns as they are: for each document and epoch that takes words of it, a row whose text is those words (and n_chars its length)."""
+    sizes = sized(docs)
+    known = plan(sizes, **how)
+    numbered = placed(sizes)
+    laid = blocks(numbered, known)
+    drawn = slots(laid).selectExpr("source AS s_source", "slot DIV blocks AS epoch", "block_idx")
+    used = laid.join(drawn, laid.source.eqNullSafe(drawn.s_source) & (laid.idx == drawn.block_idx))
+    used = used.groupBy("source", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts")).selectExpr("source AS u_source", "start AS u_start", "parts")
+    tagged = numbered.where("size > 0").selectExpr("doc_id AS m_doc", "source AS m_source", "size AS m_size", "start", "row_number() OVER (PARTITION BY doc_id, source, size ORDER BY start) AS m_nth")
+    tagged = tagged.join(used, tagged.m_source.eqNullSafe(used.u_source) & (tagged.start == used.u_start)).select("m_doc", "m_source", "m_size", "m_nth", "parts")
+    names = docs.columns
+    rows = docs.select("*", F.expr("CAST(doc_id AS BIGINT)").alias("__doc"), F.expr("CAST(source AS STRING)").alias("__source"), F.expr(WORDS).alias("__size"))
+    rows = rows.withColumn("__nth", F.expr("row_number() OVER (PARTITION BY __doc, __source, __size ORDER BY text)"))
+    rows = rows.join(tagged, rows["__doc"].eqNullSafe(tagged.m_doc) & rows["__source"].eqNullSafe(tagged.m_source) & (rows["__size"] == tagged.m_size) & (rows["__nth"] == tagged.m_nth))
+    rows = rows.select(*names, F.col("__size"), F.col("parts.first").alias("__first"), F.col("parts.words").alias("__words"))
+    at = names.index("text")
+    count = names.index("n_chars") if "n_chars" in names else None
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            columns = list(b.columns[: len(names)])
+            parts = zip(*(c.to_pylist() for c in (b.column(at), *b.columns[len(names) :])), strict=True)
+            after = [cut(x, n, list(zip(first, words, strict=True))) for x, n, first, words in parts]
+            columns[at] = pa.array(after, b.schema.field(at).type)
+            if count is not None:
+                columns[count] = pa.array([len(x) for x in after], b.schema.field(count).type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    configure(docs.sparkSession)
+    return rows.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
