@@ -20,6 +20,7 @@ other; repeated rows are packed each; an empty table gives no rows; other column
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -49,6 +50,37 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_signs() -> dict[str, int]:
+    """The byte that each sign of a byte-level vocabulary stands for: printable ones for themselves, the others from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _compiled(path: str):
+    """The tokenizer file's byte-pair merges as a tiktoken encoding, which gives the same ids several times faster; None unless the file is a
+    byte-level BPE whose ids follow its merge order and whose text is split by the usual pattern."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or spec.get("normalizer"):
+        return None
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return None
+    signs, special = _byte_signs(), {t["content"] for t in spec.get("added_tokens", [])}
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = [model["vocab"][m] for m in merged]
+    if ids != sorted(ids) or len(set(ids)) != len(ids):
+        return None
+    ranks = {bytes(signs[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    if len(ranks) != 256 + len(ids) or max(ranks[bytes([b])] for b in range(256)) > ids[0]:
+        return None
+    return tiktoken.Encoding("compiled", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
     """Token ids of many texts at a time."""
 
@@ -58,6 +90,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.compiled = _compiled(path)
+        if self.compiled:
+            self.bytes = np.array([len(x) for x in sorted(self.compiled._mergeable_ranks, key=self.compiled._mergeable_ranks.get)])
+            if sorted(self.compiled._mergeable_ranks.values()) != list(range(len(self.bytes))):
+                self.compiled = None
         self._clear()
 
     def _clear(self) -> None:
@@ -69,15 +106,30 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
 
     def _learn(self, hashes: list[int], spans: list[bytes]) -> None:
-        for h, ids in zip(hashes, self.encode([s.decode("utf-8", "replace") for s in spans]), strict=True):
-            at = self.slots[h] = len(self.slots)
-            if at >= len(self.first):
-                self.first, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.count))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.first[at], self.count[at] = self.used, len(ids)
-            self.used += len(ids)
+        """Tokenise stretches end to end: each begins where a word before it ends, so the split is that of the stretch alone, and a token's bytes tell whose it is."""
+        if not hashes:
+            return
+        if self.compiled:
+            ids = np.array(self.compiled.encode_ordinary(b"".join(spans).decode("utf-8", "replace")), dtype=np.uint32)
+            to = np.cumsum(self.bytes[ids])
+            count = np.diff(np.searchsorted(to, np.cumsum([len(s) for s in spans]), side="left") + 1, prepend=0)
+            if to[-1] != sum(map(len, spans)) or count.sum() != len(ids):  # text that is not UTF-8
+                ids, count = self._one_by_one(spans)
+        else:
+            ids, count = self._one_by_one(spans)
+        at, n = len(self.slots), len(hashes)
+        self.slots.update(zip(hashes, range(at, at + n), strict=True))
+        while at + n > len(self.first):
+            self.first, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.count))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.first[at : at + n], self.count[at : at + n] = self.used + np.cumsum(count) - count, count
+        self.used += len(ids)
+
+    def _one_by_one(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.encode([s.decode("utf-8", "replace") for s in spans])
+        return np.array([i for x in found for i in x], dtype=np.uint32), np.array([len(x) for x in found], dtype=np.int64)
 
     def documents(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, END last."""
@@ -92,20 +144,26 @@ class Encoder:
         opens[ends] = False
         opens[starts[:-1][starts[:-1] < ends]] = True
         at = np.flatnonzero(opens)
-        owner = np.searchsorted(starts, at, side="right") - 1
+        owner = np.repeat(np.arange(n), np.diff(np.searchsorted(at, starts)))
         to = np.minimum(np.append(at[1:], len(buf)), ends[owner])
         hashes = hash_spans(buf, at, to)
         names, pick, where = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.slots) + len(names) > CACHED:
             self._clear()
         known = names.tolist()
-        new = [i for i, h in enumerate(known) if h not in self.slots]
-        self._learn([known[i] for i in new], [raw[at[p] : to[p]] for p in pick[new]])
-        slot = np.fromiter((self.slots[h] for h in known), dtype=np.int64, count=len(known))[where]
+        new = [i for i, x in enumerate(map(self.slots.get, known)) if x is None]
+        first, last = at[pick[new]], to[pick[new]]
+        spans = [raw[x:y] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+        # A text's first stretch may lack the white space that keeps it apart from the one before: those go alone.
+        apart = space[first]
+        self._learn([known[i] for i, x in zip(new, apart, strict=True) if x], [t for t, x in zip(spans, apart, strict=True) if x])
+        for i in np.flatnonzero(~apart):
+            self._learn([known[new[i]]], [spans[i]])
+        slot = np.fromiter(map(self.slots.__getitem__, known), dtype=np.int64, count=len(known))[where]
         size = self.count[slot]
         done = np.concatenate(([0], np.cumsum(size)))
-        ids = self.flat[np.repeat(self.first[slot] - done[:-1], size) + np.arange(done[-1])]
-        bounds = done[np.searchsorted(owner, np.arange(n + 1))]
+        ids = self.flat[np.repeat(self.first[slot] - done[:-1], size) + np.arange(done[-1])] if len(slot) else self.flat[:0]
+        bounds = done[np.searchsorted(at, starts)]
         for k in range(n):
             one = np.array(self.encode([raw[starts[k] : ends[k]].decode("utf-8", "replace")])[0], dtype=np.uint32) if k in whole else ids[bounds[k] : bounds[k + 1]]
             yield np.append(one, np.uint32(END)).astype("<u4")
