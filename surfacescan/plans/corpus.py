@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..rules import RuleBase
 from ..sources.archive import Refused, archive_name, read_archives, walk
 from .audit import Audit, audit, description
@@ -94,8 +95,9 @@ def dependency_closure(edges: DataFrame, roots: DataFrame, steps: int = 64) -> D
     """All packages that the roots need, themselves included, by joining only the newest ones in each step. edges: package, needs."""
     known = frontier = roots.select("package").distinct()
     for _ in range(steps):
-        frontier = frontier.join(edges, "package").select(F.col("needs").alias("package")).distinct().join(known, "package", "left_anti").persist()
-        if not frontier.count():  # computes all of it, so that later steps read what is kept
+        needed = frontier.join(edges, "package").select(F.col("needs").alias("package")).distinct()
+        frontier = cut(needed.join(known, "package", "left_anti"))
+        if frontier.isEmpty():
             return known
-        known = known.union(frontier)
-    return known
+        known = cut(known.union(frontier))
+    raise RuntimeError(f"a chain of more than {steps} dependencies")
