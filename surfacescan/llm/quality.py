@@ -73,13 +73,14 @@ class Model(NamedTuple):
 def descend(rows: list[np.ndarray], signs: np.ndarray, ratio: np.ndarray, penalty: np.ndarray, epochs: int) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the hinge loss over rows ratio[found] / sqrt(len): weights (ratio included) and bias."""
     w, bias, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
-    values = [ratio[x] / max(1.0, len(x)) ** 0.5 for x in rows]
-    square = np.array([v @ v + 1.0 for v in values])
+    scale = np.array([1 / max(1.0, len(x)) ** 0.5 for x in rows])
+    square = np.array([ratio[x] @ ratio[x] * c * c + 1.0 for x, c in zip(rows, scale, strict=True)])
     rng = np.random.default_rng(11)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            x, v = rows[i], values[i]
+            x = rows[i]
+            v = ratio[x] * scale[i]
             step = alpha[i] - (signs[i] * (w[x] @ v + bias) - 1) / square[i]
             new = min(max(step, 0.0), penalty[i])
             change = (new - alpha[i]) * signs[i]
@@ -145,13 +146,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(_SLOTS, dtype=bool)
         for b in batches(it):
-            found = [indicators(x or b"", flags).astype("<u4").tobytes() for x in b.column(1).cast(pa.binary()).to_pylist()]
+            found = [indicators(x or b"", flags).astype("<i4").tobytes() for x in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary())], names=["doc_id", "label", "found"])
 
     got = rows.mapInArrow(run, "doc_id long, label int, found binary").collect()
     got.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
     order = np.random.default_rng(5).permutation(len(got))
-    return fit_rows([np.frombuffer(got[i][2], dtype="<u4").astype(np.int64) for i in order], np.array([got[i][1] for i in order], dtype=np.int64))
+    return fit_rows([np.frombuffer(got[i][2], dtype="<i4") for i in order], np.array([got[i][1] for i in order], dtype=np.int64))
 
 
 def _scores(model, column: pa.Array, flags: np.ndarray) -> np.ndarray:
