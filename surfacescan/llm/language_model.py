@@ -250,9 +250,9 @@ def score(docs: DataFrame, batch_text: int = BATCH_TEXT) -> DataFrame:
     log2_buckets = int(np.log2(min(MAX_BUCKETS, max(MIN_BUCKETS, 2 * n_batches))))
     keyed = rows.selectExpr(f"CAST(pmod(xxhash64(doc_id, text), {n_batches}) AS INT) AS batch", f"{fold()} AS fold", "doc_id", "text")
     packed = keyed.mapInArrow(_fragments(n_batches), FRAGMENT)
-    n = max(width(spark), min(4 * width(spark), n_batches))
+    n = max(width(spark), 2 * n_batches)  # tasks follow the text's size, so that each holds a batch or two
     asked = packed.repartition(n, "batch").groupBy("batch").applyInArrow(_ask(log2_buckets), "ord int, bucket int, batch int, keys binary, counts binary")
-    answers = materialise(asked.groupBy("ord", "bucket").applyInArrow(_answer(n_batches), ANSWER), "lm-answers")
+    answers = materialise(asked.repartition(n, "ord", "bucket").groupBy("ord", "bucket").applyInArrow(_answer(n_batches), ANSWER), "lm-answers")
     sums = answers.where("batch = -1 AND ord = 1").agg(F.sum("n_distinct"), F.sum("n_all"), F.sum("n_deleted")).first()
     v, total, gone = (int(x or 0) for x in sums)
     mine = answers.where("batch >= 0").select("batch", "ord", "bucket", "totals", "deleted")
@@ -260,7 +260,8 @@ def score(docs: DataFrame, batch_text: int = BATCH_TEXT) -> DataFrame:
     aside = packed.where(f"batch >= {n_batches}").groupBy("batch").cogroup(mine.where(f"batch >= {n_batches}").groupBy("batch"))
     bins = aside.applyInArrow(_histogram(float(total - gone), v), "level long, bin long, n long").groupBy("level", "bin").agg(F.sum("n")).collect()
     weights = mixture_weights([tuple(r) for r in bins])
-    return packed.groupBy("batch").cogroup(mine.select("batch", "ord", "bucket", "totals").groupBy("batch")).applyInArrow(_scored(float(total), v, weights), SCORE)
+    known = mine.select("batch", "ord", "bucket", "totals").repartition(n, "batch")
+    return packed.repartition(n, "batch").groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(_scored(float(total), v, weights), SCORE)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
