@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.findings import match_columns, preview
+from ..functions.findings import match_columns, may_match, preview, regex_literal
 from ..rules import RuleBase
 
 
@@ -26,14 +24,14 @@ def rules_for(rules: RuleBase, language: str) -> list[dict]:
 def find_matches(segments: DataFrame, rules: RuleBase, language: str = "shell") -> DataFrame:
     """All matches of all rules: rule, file_context, line_number, column_number, preview, message, attck (without phases).
 
-    One pass over the lines: each rule's positions are an expression, and lines no rule matches go
-    before anything is exploded.
+    One pass over the lines: each rule's positions are an expression, lines without any of the strings
+    that a rule needs skip its regex, and lines no rule matches go before anything is exploded.
     """
     lines = lines_of(segments.where(F.col("language") == language))
     use = sorted(rules_for(rules, language), key=lambda r: r["name"])
-    hits = lines.where(reduce(lambda a, b: a | b, (F.col("line").rlike("(?d)" + r["regex"]) for r in use), F.lit(False)))
+    hits = lines.where(" OR ".join(f"({may_match('line', r['needs'])} AND line RLIKE {regex_literal(r['regex'])})" for r in use) or "false")
     structs = [
-        f"transform({match_columns('line', r['regex'])}, c -> named_struct('rule', '{r['name']}', 'message', '{r['message'].replace("'", chr(92) + "'")}', 'attck', '{r['attck']}', 'c', c))"
+        f"transform({match_columns('line', r['regex'], r['needs'])}, c -> named_struct('rule', '{r['name']}', 'message', '{r['message'].replace("'", chr(92) + "'")}', 'attck', '{r['attck']}', 'c', c))"
         for r in use
     ]
     rows = hits.selectExpr("*", f"explode(concat({', '.join(structs)})) AS m")

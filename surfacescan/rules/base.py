@@ -73,7 +73,7 @@ def default_rules() -> RuleBase:
     ]
     codes = [{"name": n, "version": "0.4.0", "message": f"code that runs in {n}", "kind": k, "how": how, "target": what} for n, k, (how, what), _ in data.CODE_RULES]
     patterns = [{"name": n, "version": v, "message": data.SAYS[n], "attck": a, "functions": f.split()} for n, v, a, f in data.PATTERN_RULES]
-    matches = [{"name": n, "version": "0.4.0", "message": data.SAYS[n], "attck": a, "regex": rx, "language": "shell"} for n, a, rx in data.MATCH_RULES]
+    matches = [{"name": n, "version": "0.4.0", "message": data.SAYS[n], "attck": a, "regex": rx, "needs": data.NEEDS[n].split(), "language": "shell"} for n, a, rx in data.MATCH_RULES]
     phases = sorted([_phases(r[0], r[-1]) for r in data.FILE_RULES] + [_phases(r[0], r[-1]) for r in data.CODE_RULES], key=lambda r: r["context"])
     base = RuleBase(files, codes, patterns, matches, phases, [{"version": v, "released": at} for v, at in data.VERSIONS])
     validate_rules(base)
@@ -86,7 +86,7 @@ FIELDS = {
     "file_contexts": {"name", "version", "type", "message", "path", "recursive", "report", "filename", "code_context", "computed", "assume_called"},
     "code_contexts": {"name", "version", "message", "kind", "how", "target"},
     "patterns": {"name", "version", "message", "attck", "functions"},
-    "matches": {"name", "version", "message", "attck", "regex", "language"},
+    "matches": {"name", "version", "message", "attck", "regex", "needs", "language"},
 }
 
 

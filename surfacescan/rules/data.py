@@ -131,6 +131,13 @@ MATCH_RULES = [
     ("wget", "T1041 T1105", _BEFORE + r"wget(?=(\.exe)?([^\p{Alnum}_./-]|$))"),
 ]
 
+#: Of each line rule, strings of which every match holds one.
+NEEDS = {
+    "chmod": "chmod umask", "credentials": ".ssh/ .aws/ .netrc id_rsa .gnupg/ TOKEN SECRET PASSWORD API_KEY", "curl": "curl", "decoding": "base64 openssl xxd uudecode", "install": "install add get",
+    "interpreter": "python perl ruby node osascript powershell pwsh", "persistence": "rc .bash_ .profile .zprofile .zshenv .Rprofile .Renviron cron Launch systemd", "rscript": "Rscript",
+    "socket": "nc cat telnet /dev/", "transfer": "scp ftp rsync svn git", "wget": "wget",
+}
+
 #: What each finding says; a name may be used by a pattern and a match rule alike.
 SAYS = {
     "chmod": "changes file permissions", "credentials": "names a place or variable that holds credentials", "curl": "moves data over the network with curl",
