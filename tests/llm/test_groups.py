@@ -234,3 +234,20 @@ def test_pipeline(spark):
     packed = corpus_pipeline.pack_sequences(spark, mixed, sf)
     assert packed.select("doc_id").distinct().count() == mixed.select("doc_id").distinct().count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_copies", "secrets", "mixing", "packing"]
+
+
+def test_pipeline_takes_awkward_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+    from surfacescan.llm.common import materialise
+
+    spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    whole = documents(spark)
+    for start in (whole, whole.limit(0)):
+        docs = materialise(start, "t")
+        for name, stage in corpus_pipeline.STAGES:
+            out = materialise(stage(spark, docs, str(tmp_path)), "t")
+            assert name == "packing" or out.columns == whole.columns
+            if name in ("quality", "secrets"):
+                assert out.count() == docs.count()
+            docs = out
+        assert (docs.count() > 0) == (start is whole)
