@@ -56,10 +56,10 @@ def build_coverage(files: DataFrame, found: DataFrame, rules: RuleBase, scanned:
     )
 
 
-def segment_spans(segments: DataFrame) -> DataFrame:
+def segment_spans(segments: DataFrame, analyzed: tuple[str, ...] = ("R", "shell")) -> DataFrame:
     """Segments that no analyzer reads, as spans of their non-blank lines."""
     filled = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.trim(F.element_at("lines", i)) != "")
-    rows = segments.where(~F.col("language").isin("R", "shell")).where(F.size("lines") > 0).withColumn("__at", filled).where(F.size("__at") > 0)
+    rows = segments.where(~F.col("language").isin(*analyzed)).where(F.size("lines") > 0).withColumn("__at", filled).where(F.size("__at") > 0)
     return rows.select(
         *KEYS, "language", F.lit("exportable").alias("status"), F.lit("no_analyzer").alias("reason"), F.array_min("__at").cast("int").alias("first_line"),
         F.array_max("__at").cast("int").alias("last_line"), F.size("__at").cast("int").alias("lines"), F.lit(None).cast("long").alias("bytes"),

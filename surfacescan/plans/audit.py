@@ -75,9 +75,12 @@ def scans(files: DataFrame, rules: RuleBase, scanned: str, path: str | None = No
     )
 
 
-def audit(files: DataFrame, rules: RuleBase | None = None, scanned: str = "1970-01-01T00:00:00Z", extractors: dict | None = None, persist: bool = True) -> Audit:
+def audit(files: DataFrame, rules: RuleBase | None = None, scanned: str = "1970-01-01T00:00:00Z", extractors: dict | None = None, analyzers: dict | None = None, persist: bool = True) -> Audit:
     """Audit all packages in `files`.
 
+    extractors: file type to extractor, beside the built-in ones. analyzers: language to a function from
+    its segments to findings with the columns of matches but the phases; further columns go.
+
     Content is read by one map-only stage; segments and nodes, which several branches read, are kept
     in memory or on disk (persist) and computed again where an executor is lost.
     """
@@ -116,7 +119,10 @@ def audit(files: DataFrame, rules: RuleBase | None = None, scanned: str = "1970-
     pattern_rows = phases.resolve_pattern_phases(hits, lookup, called)
 
     # Matches.
-    match_rows = phases.resolve_match_phases(matches.find_matches(segments, rules), phases.file_phases(found, lookup))
+    lined = matches.find_matches(segments, rules)
+    for language, analyzer in (analyzers or {}).items():
+        lined = lined.unionByName(schemas.conform(analyzer(segments.where(F.col("language") == language)), schemas.LINE_FINDINGS))
+    match_rows = phases.resolve_match_phases(lined, phases.file_phases(found, lookup))
 
     # Errors and coverage.
     syntax = all_nodes.where("message IS NOT NULL").select("package", "version", F.lit("parse_code").alias("step"), "file_context", "rule", "message")
@@ -124,7 +130,7 @@ def audit(files: DataFrame, rules: RuleBase | None = None, scanned: str = "1970-
     scanned_as = scan.groupBy(*KEYS).agg(F.min("type").alias("read_as"))
     text = F.regexp_replace(F.decode("content", "ISO-8859-1"), "\r\n?", "\n")
     n_lines = files.where("content IS NOT NULL").select(*KEYS, text.alias("t")).selectExpr(*KEYS, r"length(t) - length(replace(t, '\n', '')) + IF(t = '' OR endswith(t, '\n'), 0, 1) AS n_lines")
-    cover = coverage.merge_coverage(coverage.build_coverage(files, found, rules, scanned_as, errors, n_lines), coverage.segment_spans(segments), found)
+    cover = coverage.merge_coverage(coverage.build_coverage(files, found, rules, scanned_as, errors, n_lines), coverage.segment_spans(segments, ("R", "shell", *(analyzers or ()))), found)
     cover = phases.attach_phases(cover, lookup)
 
     shape = lambda name, df: schemas.conform(df, schemas.FRAMES[name])

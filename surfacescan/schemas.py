@@ -17,10 +17,11 @@ STEPS = ("find_file_contexts", "extract_segments", "read_code", "read_Rd_code",
 
 _P = ", ".join(f"{p} boolean" for p in PHASES)
 FILES = "package string, version string, file_context string, bytes long, content binary, is_symlink boolean"
+LINE_FINDINGS = "rule string, file_context string, line_number int, column_number int, preview string, message string, attck string"
 FRAMES = {
     "file_contexts": f"rule string, file_context string, message string, {_P}",
     "patterns": f"rule string, file_context string, line_number int, column_number int, code_context string, guarded boolean, indirect boolean, preview string, message string, attck string, {_P}",
-    "matches": f"rule string, file_context string, line_number int, column_number int, preview string, message string, attck string, {_P}",
+    "matches": f"{LINE_FINDINGS}, {_P}",
     "coverage": f"file_context string, language string, status string, reason string, first_line int, last_line int, lines int, bytes long, rule string, {_P}",
     "errors": "step string, file_context string, rule string, message string",
 }

@@ -172,3 +172,22 @@ def test_line_examples(spark):
     rows = sorted((r["file_context"], r["line_number"], r["column_number"]) for r in done.matches.collect())
     assert {r[1] for r in rows if r[0] == "configure"} == set(range(1, len(hits) + 1)) and not [r for r in rows if r[0] == "cleanup"]
     assert [r[2] for r in rows if r[1] == 1] == [1, 11] and [r[2] for r in rows if r[1] == 2] == [7]
+
+
+def test_further_types_and_languages(spark):
+    from pyspark.sql import functions as F
+
+    from surfacescan.rules import default_rules
+
+    rules = default_rules()
+    next(r for r in rules.file_contexts if r["name"] == "exec_other")["type"] = "py"
+    files = from_memory(spark, {"p": {"exec/a.py": ["import os", "os.system('x')"]}})
+
+    def find(segments):
+        lines = segments.select("package", "version", "file_context", F.posexplode("lines").alias("i", "line"), F.lit("more").alias("extra"))
+        hit = lines.where("line LIKE '%os.system%'")
+        return hit.selectExpr("package", "version", "'os_system' AS rule", "file_context", "i + 1 AS line_number", "1 AS column_number", "line AS preview", "'runs a command' AS message", "'T1059' AS attck", "extra")
+
+    done = audit(files, rules, extractors={"py": lambda lines, meta: [("python", None, lines, [])]}, analyzers={"python": find}).validate()
+    assert [(r["rule"], r["line_number"]) for r in done.matches.collect()] == [("os_system", 2)]
+    assert [(r["status"], r["language"]) for r in done.coverage.collect()] == [("parsed", "py")]
