@@ -14,16 +14,17 @@ ROUNDS = 40
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node it can reach) of every node of `edges` (columns a and b, long, not null; loops are passed over).
 
-    Each round is two aggregations, whose minima combine before the shuffle, and two joins on a node;
-    a node with many neighbours is a skewed join key, which adaptive execution splits. Rounds are
-    written to the shared folder, so that a lost executor costs one round at most.
+    Each round is two aggregations, whose minima combine before the shuffle, and two joins on a node.
+    Rounds are written to the shared folder, so that a lost executor costs one round at most.
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi > lo").distinct(), "edges")
     for _ in range(ROUNDS):
-        # Large star: each node's larger neighbours go to its smallest neighbour (or itself).
-        both = now.select(F.col("hi").alias("n"), F.col("lo").alias("m")).union(now.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
-        least = both.groupBy("n").agg(F.min("m").alias("least")).select("n", F.least("n", "least").alias("least"))
-        large = now.select(F.col("lo").alias("n"), F.col("hi").alias("m")).join(least, "n").select(F.col("m").alias("hi"), F.col("least").alias("lo")).distinct()
+        # Large star: each node's larger neighbours go to its smallest neighbour. A node without a smaller
+        # one keeps them, so only nodes that are the larger end somewhere are looked up. The lookup is
+        # written: then both sides of the join are plain shuffles, and a centre with very many neighbours
+        # can be split over tasks.
+        least = materialise(now.groupBy("hi").agg(F.min("lo").alias("least")).withColumnRenamed("hi", "n"), "least")
+        large = now.join(least, F.col("lo") == F.col("n"), "left").select("hi", F.coalesce("least", "lo").alias("lo")).distinct()
         # Small star: each node's smaller neighbours, and the node, go to the smallest of them.
         root = large.groupBy("hi").agg(F.min("lo").alias("root"))
         tied = large.join(root, "hi").where("lo <> root").select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
