@@ -251,3 +251,18 @@ def test_pipeline_takes_awkward_and_empty_tables(spark, tmp_path):
                 assert out.count() == docs.count()
             docs = out
         assert (docs.count() > 0) == (start is whole)
+
+
+def test_near_copies_stage_links_from_four_fifths(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    texts = []
+    for added in (54, 60, 72):  # five-word similarity 0.846, 0.831, 0.804
+        base = words(300)
+        texts += [base, f"{base} {words(added)}"]
+    base = words(300)
+    texts += [base, f"{base} {words(80)}"]  # 0.787
+    out = corpus_pipeline.drop_near_copies(spark, documents(spark, texts, repeat=False), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == [0, 2, 4, 6, 7]
