@@ -40,6 +40,8 @@ ROUNDS, STEP, PULL, NEAR, SOLVES = 100, 0.1, 10.0, 0.97, 4
 CACHED = 500_000
 
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: A stretch that ends in white space: it would merge with the white space of a stretch set after it.
+_OPEN_END = re.compile(rb"(?:[ \t\n\r\f\v]|" + _WIDE_SPACE.pattern + rb")\Z")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -106,14 +108,14 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
 
     def _learn(self, hashes: list[int], spans: list[bytes]) -> None:
-        """Tokenise stretches end to end: each begins where a word before it ends, so the split is that of the stretch alone, and a token's bytes tell whose it is."""
+        """Tokenise stretches that end in words end to end: each begins where a word before it ends, so the split is that of the stretch alone, and a token's bytes tell whose it is."""
         if not hashes:
             return
         if self.compiled:
             ids = np.array(self.compiled.encode_ordinary(b"".join(spans).decode("utf-8", "replace")), dtype=np.uint32)
-            to = np.cumsum(self.bytes[ids])
-            count = np.diff(np.searchsorted(to, np.cumsum([len(s) for s in spans]), side="left") + 1, prepend=0)
-            if to[-1] != sum(map(len, spans)) or count.sum() != len(ids):  # text that is not UTF-8
+            to, ends = np.cumsum(self.bytes[ids]), np.cumsum([len(s) for s in spans])
+            count = np.diff(np.searchsorted(to, ends, side="left") + 1, prepend=0)
+            if to[-1] != ends[-1] or not np.isin(ends, to).all():  # text that is not UTF-8, or a token across a border
                 ids, count = self._one_by_one(spans)
         else:
             ids, count = self._one_by_one(spans)
@@ -154,8 +156,9 @@ class Encoder:
         new = [i for i, x in enumerate(map(self.slots.get, known)) if x is None]
         first, last = at[pick[new]], to[pick[new]]
         spans = [raw[x:y] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
-        # A text's first stretch may lack the white space that keeps it apart from the one before: those go alone.
-        apart = space[first]
+        # A text's first stretch may lack the white space that keeps it apart from the one before, and its last may be
+        # white space that runs into the one after: those go alone.
+        apart = space[first] & np.array([not _OPEN_END.search(s, max(0, len(s) - 3)) for s in spans], dtype=bool)
         self._learn([known[i] for i, x in zip(new, apart, strict=True) if x], [t for t, x in zip(spans, apart, strict=True) if x])
         for i in np.flatnonzero(~apart):
             self._learn([known[new[i]]], [spans[i]])

@@ -182,6 +182,18 @@ def test_packing_places_everything(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_stretches_of_white_space_do_not_merge():
+    import pyarrow as pa
+
+    encoder = packing.Encoder(packing.default_tokenizer())
+    texts = ["Foo\n", "Foo\n\nBar", "a b  ", "a  c", "x\n\n\n", "y\n \n\tz", " ", "   q", "e\xa0", "e\n\n\nf", "g　", "\n\n", "\n\n\n\nh"]
+    assert encoder.compiled
+    for order in (texts, texts[::-1], [t for t in texts for _ in "12"], *([x, y] for x in texts for y in texts)):
+        encoder._clear()
+        got = [x.tolist() for x in encoder.documents(pa.array(order))]
+        assert got == [[*ids, packing.END] for ids in encoder.encode(order)]
+
+
 @pytest.mark.parametrize("scale", [1, 40])
 def test_plan_packs_exactly(scale):
     rng = np.random.default_rng(scale)
