@@ -6,7 +6,8 @@ novelty is its marginal compressed size, that of (context + candidate) less that
 alone, under a compressor primed with a dictionary of identifiers and common code words. A candidate
 that mixes character classes and needs nearly as many bytes as it has entropy to give is reported as
 kind "novel". Words, paths and repeated identifiers compress well against the dictionary or their
-surroundings and stay out.
+surroundings and stay out. A candidate reaches to the end of its character run, however long, less
+what fixed patterns report; it is measured window by window, until one is novel.
 
 Map only: no shuffle, no collection; a batch of rows bounds the memory. Cases: a null or empty text
 gives zero counts and no spans; a null doc_id is kept; repeated rows each give their row; an empty
@@ -35,7 +36,10 @@ KINDS = ("assign", "access", "hex", "novel")
 #: A sensitive word, then within this many characters a candidate.
 SENSITIVE = re.compile(r"password|passwd|passphrase|secret|token|api.?key|credential|private.?key|auth|bearer|signature", re.IGNORECASE | re.ASCII)
 REACH = 48
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,256}", re.ASCII)
+LEAST = 20
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST, re.ASCII)
+#: Characters of a candidate measured at a time.
+WINDOW = 256
 #: Surrounding characters given to the compressor on each side.
 CONTEXT = 192
 #: Marginal compressed bytes per byte of the candidate from which it counts as incompressible. Random
@@ -86,18 +90,40 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+def _uncovered(s: int, e: int, known: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of s to e outside the known spans (by start) that are long enough for a candidate."""
+    out, at = [], s
+    for a, b, _ in known:
+        if a < e and b > at:
+            out.append((at, a))
+            at = b
+    return [(a, b) for a, b in [*out, (at, e)] if b - a >= LEAST]
+
+
+def _novel(text: str, s: int, e: int, whole: bool) -> bool:
+    """Whether a window of the candidate is novel; unless whole, only the first is measured."""
+    for b in range(s + WINDOW, e + WINDOW if whole else s + WINDOW + 1, WINDOW):
+        b = min(b, e)
+        a = max(s, b - WINDOW)
+        if _mixed(text[a:b]) and novelty(text[max(0, a - CONTEXT) : a], text[a:b], text[b : b + CONTEXT]) >= NOVELTY:
+            return True
+    return False
+
+
 def novel_spans(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans that the method adds: incompressible candidates after a sensitive word, not already covered."""
+    """Spans that the method adds: incompressible candidates after a sensitive word, as far as not already covered."""
     out: list[tuple[int, int, str]] = []
+    began = ended = done = 0  # the last run, from its first candidate on; and up to where candidates are measured
     for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + 256)):
-            s, e = m.span()
-            if s - word.end() > REACH:
-                break
-            if any(s < b and a < e for a, b, _ in known) or any(s < b and a < e for a, b, _ in out) or not _mixed(m[0]):
-                continue
-            if novelty(text[max(0, s - CONTEXT) : s], m[0], text[e : e + CONTEXT]) >= NOVELTY:
-                out.append((s, e, "novel"))
+        for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + LEAST)):
+            if not began <= m.start() < ended:
+                began, ended = m.start(), CANDIDATE.match(text, m.start()).end()
+            for s, e in _uncovered(m.start(), ended, known):
+                if e <= done and s > m.start():  # measured for an earlier word
+                    continue
+                if not any(s < b and a < e for a, b, _ in out) and _novel(text, s, e, e > done):
+                    out.append((s, e, "novel"))
+                done = max(done, e)
     return out
 
 

@@ -48,6 +48,22 @@ def test_secrets_query_and_novelty(spark):
     assert secrets.masked(docs).columns == docs.columns
 
 
+def test_long_secrets_are_reported_to_their_end():
+    rng = np.random.default_rng(5)
+    signs = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    drawn = lambda n: "".join(rng.choice(signs, n))
+    head = "Authorization: Bearer "
+    for n in (20, 255, 256, 257, 270, 600, 5000):
+        text = f"{head}{drawn(n)} end"
+        assert secrets.find(text) == ([], [(22, 22 + n, "novel")]) and secrets.mask(text) == f"{head}<novel> end"
+    text = f"{head}{drawn(300)}/AKIA{'A1' * 8}/{drawn(300)} end"
+    assert secrets.mask(text) == f"{head}<novel><access><novel> end"
+    late = f"{head}{'z' * 300}{drawn(600)} end"
+    assert secrets.mask(late) == f"{head}<novel> end"
+    two = f"auth {drawn(12)}token{drawn(21)} {drawn(30)} end"
+    assert secrets.mask(two) == "auth <novel> <novel> end"
+
+
 # ---- sharding
 
 
