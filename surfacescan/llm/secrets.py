@@ -5,8 +5,8 @@ strings of secret-like shape that stand shortly after a sensitive word are candi
 novelty is its marginal compressed size, that of (context + candidate) less that of the context
 alone, under a compressor primed with a dictionary of identifiers and common code words. A candidate
 that mixes character classes and needs nearly as many bytes as it has entropy to give is reported as
-kind "novel". Words, paths and repeated identifiers compress well against the dictionary or their
-surroundings and stay out. A candidate reaches to the end of its character run, however long, less
+kind "novel". Words, paths and variants of near identifiers compress well against the dictionary or
+their surroundings and stay out; a candidate's own copies are taken out of its surroundings first. A candidate reaches to the end of its character run, however long, less
 what fixed patterns report; it is measured window by window, until one is novel.
 
 Map only: no shuffle, no collection; a batch of rows bounds the memory. Cases: a null or empty text
@@ -100,12 +100,22 @@ def _uncovered(s: int, e: int, known: list[tuple[int, int, str]]) -> list[tuple[
     return [(a, b) for a, b in [*out, (at, e)] if b - a >= LEAST]
 
 
+def _context(text: str, s: int, e: int) -> tuple[str, str]:
+    """The CONTEXT characters on each side of s to e, without copies of what stands there: copies would hide one another."""
+    body, n = text[s:e], e - s
+    before, after = text[max(0, s - CONTEXT - n) : s], text[e : e + CONTEXT + n]
+    return before.replace(body, "\0" * n)[-CONTEXT:].replace("\0", ""), after.replace(body, "\0" * n)[:CONTEXT].replace("\0", "")
+
+
 def _novel(text: str, s: int, e: int, whole: bool) -> bool:
     """Whether a window of the candidate is novel; unless whole, only the first is measured."""
     for b in range(s + WINDOW, e + WINDOW if whole else s + WINDOW + 1, WINDOW):
         b = min(b, e)
         a = max(s, b - WINDOW)
-        if _mixed(text[a:b]) and novelty(text[max(0, a - CONTEXT) : a], text[a:b], text[b : b + CONTEXT]) >= NOVELTY:
+        if not _mixed(text[a:b]):
+            continue
+        before, after = _context(text, a, b)
+        if novelty(before, text[a:b], after) >= NOVELTY:
             return True
     return False
 

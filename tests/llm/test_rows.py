@@ -64,6 +64,12 @@ def test_long_secrets_are_reported_to_their_end():
     assert secrets.mask(two) == "auth <novel> <novel> end"
 
 
+def test_repeated_secrets_do_not_hide_one_another():
+    key = "i0VpEBOWfbZAVaBSo63bbH6xnAbnBEoonCrbZINl"
+    for n in (1, 2, 3, 4, 5, 9):
+        assert secrets.mask(f"Authorization: Bearer {key}\n" * n) == "Authorization: Bearer <novel>\n" * n
+
+
 # ---- sharding
 
 
