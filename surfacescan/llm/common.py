@@ -30,6 +30,17 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def fresh(taken: list[str], *wanted: str) -> list[str]:
+    """Column names like the wanted ones that no taken name equals, whatever the case."""
+    have, out = {x.lower() for x in taken}, []
+    for name in wanted:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 # ---------------------------------------------------------------- scratch
 
 

@@ -218,6 +218,47 @@ def test_mixing_targets_and_uses(spark):
     assert key(rows) == key(mixing.taken(docs.repartition(5)).collect())
 
 
+def test_mixing_draws_against_brute_force(spark):
+    docs = documents(spark, [" ".join(["w"] * (700 + 41 * i)) for i in range(60)], repeat=False)
+    known = mixing.plan(mixing.sized(docs), block=8)
+    q, w, size = {r["sid"]: r["q"] for r in known.table.collect()}, known.units, 37
+    shards = -(-known.slots // size)
+    want = collections.Counter()
+    for shard in range(shards):
+        n = size if shard < shards - 1 else known.slots - size * (shards - 1)
+        ends, at = [], 0
+        for sid in sorted(q):
+            want[shard, sid] += n * q[sid] // w
+            at += n * q[sid] % w
+            ends.append((at, sid))
+        for nth in range(1, at // w + 1):
+            fell = int(hashlib.md5(f"mix-1-draw|{shard}|{nth}".encode()).hexdigest()[:15], 16) % at
+            want[shard, next(s for e, s in ends if fell < e)] += 1
+    got = {(r["shard"], r["sid"]): r["n"] for r in mixing.draws(known, size).collect()}
+    assert got == {k: n for k, n in want.items() if n} and sum(got.values()) == known.slots and shards > 100
+    spare = sum(size * x % w for x in q.values()) // w
+    for sid, x in q.items():  # the mean is the share; the variance that of the residual draw
+        n, p = np.array([got.get((s, sid), 0) for s in range(shards - 1)]), size * x % w / (spare * w)
+        spread = spare * p * (1 - p)
+        assert abs(n.mean() - size * x / w) < 4 * (spread / len(n)) ** 0.5 + 1e-9 and abs(n.var() - spread) < 0.35 * spread + 1e-9
+    drawn = mixing.slots(known, size).collect()
+    blocks, kept = {r["sid"]: r["blocks"] for r in known.table.collect()}, {}
+    for shard, sid in sorted(got):  # a source's slots end with its last epoch's last block
+        first = sum(got.get((s, sid), 0) for s in range(shard))
+        kept[shard, sid] = min(got[shard, sid], 2 * blocks[sid] - first)
+    assert collections.Counter((r["shard"], r["sid"]) for r in drawn) == {k: n for k, n in kept.items() if n > 0}
+    for sid in q:
+        mine = sorted((r["slot"], r["shard"]) for r in drawn if r["sid"] == sid)
+        assert [s for s, _ in mine] == list(range(len(mine))) and [s for _, s in mine] == sorted(s for _, s in mine)
+
+
+def test_mixing_takes_clashing_names_and_empty_mixes(spark):
+    docs = documents(spark, ["a b c d", "e f"], repeat=False).selectExpr("*", "1 AS doc", "2 AS nth", "3 AS sid", "4 AS __size", "5 AS start", "6 AS `first.x`")
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and sum(len(r["text"].split()) for r in out.collect()) > 0
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0 and mixing.mix(documents(spark, [None, " "])).count() == 0
+
+
 def test_mixture_as_documents(spark):
     docs = documents(spark, [" ".join(f"d{i}w{k}" for k in range(50 + 37 * i)) for i in range(20)], repeat=False)
     taken = {r["doc_id"]: r["taken"] for r in mixing.taken(docs).collect()}
