@@ -30,6 +30,12 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow by position, which takes columns of any name (dots included)."""
+    configure(df.sparkSession)
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)
+
+
 def fresh(taken: list[str], *wanted: str) -> list[str]:
     """Column names like the wanted ones that no taken name equals, whatever the case."""
     have, out = {x.lower() for x in taken}, []

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, configure, fresh, materialise, width
+from .common import batches, fresh, mapped, materialise, width
 from .permute import digest, digest_duck, permuted, permuted_duck, sides
 
 #: Weights dealt to the sources in order, repeating; the mix's size against all words; most uses of a
@@ -232,8 +232,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
                 columns[count] = pa.array([len(x) for x in after], b.schema.field(count).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    configure(docs.sparkSession)
-    return rows.mapInArrow(run, docs.schema)
+    return mapped(rows, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batches, texts
+from .common import batches, mapped, texts
 
 #: Fixed patterns: kind, expression, group whose length counts, least length.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -199,5 +199,4 @@ def masked(docs: DataFrame) -> DataFrame:
                 columns[count] = pa.array([n if x == y else len(y) for n, x, y in zip(was, before, after)], b.schema.field(count).type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    texts(docs)
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

@@ -256,7 +256,7 @@ def test_mixing_takes_clashing_names_and_empty_mixes(spark):
     docs = documents(spark, ["a b c d", "e f"], repeat=False).selectExpr("*", "1 AS doc", "2 AS nth", "3 AS sid", "4 AS __size", "5 AS start", "6 AS `first.x`")
     out = mixing.mixed(docs)
     assert out.columns == docs.columns and sum(len(r["text"].split()) for r in out.collect()) > 0
-    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0 and mixing.mix(documents(spark, [None, " "])).count() == 0
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0 and mixing.mix(documents(spark, [None, " "], repeat=False)).count() == 0
 
 
 def test_mixture_as_documents(spark):
