@@ -5,8 +5,8 @@ piece lengths (one row a length) reaches the driver. There a fractional cover of
 configurations (multisets of lengths that fit one sequence) is found by multiplicative weights: each
 round prices lengths by how little they are covered so far and a knapsack dynamic program over the
 capacity finds, for every length, the best configuration that holds it; the near-best ones are added.
-The cover is rounded down, what is left over is solved again and at last packed greedily; a plain
-greedy packing replaces the result where it needs fewer sequences (small inputs). The rounded plan
+The cover is rounded, what is left over is solved again and at last packed greedily, at every size; a
+plain greedy packing is made beside it and taken only where it needs fewer sequences. The rounded plan
 names, for each length, runs of ranks and where they go; pieces are ranked inside their length in two
 levels (a length may hold a third of all rows) and look up their place.
 
@@ -283,25 +283,35 @@ def greedy(left: np.ndarray, capacity: int) -> list[tuple[Config, int]]:
     return out
 
 
-def plan(need: np.ndarray, capacity: int) -> list[tuple[Config, int]]:
-    """(configuration, times) that pack exactly need[l] items of each length."""
+def program(need: np.ndarray, capacity: int) -> list[tuple[Config, int]]:
+    """The rounded linear program: whole parts of the cover, then its configurations once more each, by their fractions, where they still fit; what is left is solved again and at last packed greedily."""
     left, out = need.astype(np.int64).copy(), []
     for _ in range(SOLVES):
-        if left.sum() < 4 * capacity:
+        if not left.any():
             break
         before = left.sum()
         cover = solve(left.astype(float), capacity)
-        for config, x in sorted(cover.items(), key=lambda kv: (-kv[1], kv[0])):
-            times = min([int(x), *(int(left[a]) // k for a, k in config)])
-            if times > 0:
-                out.append((config, times))
-                for a, k in config:
-                    left[a] -= times * k
+        for fraction in (False, True):
+            for config, x in sorted(cover.items(), key=lambda kv: (-(kv[1] % 1 if fraction else kv[1]), kv[0])):
+                most = min(int(left[a]) // k for a, k in config)
+                times = min(most, 1 if fraction else int(x))
+                if times > 0 and (not fraction or sum(a * k for a, k in config) == capacity):
+                    out.append((config, times))
+                    for a, k in config:
+                        left[a] -= times * k
         if left.sum() > 0.9 * before:
             break
-    out += greedy(left, capacity)
-    other = greedy(need.astype(np.int64), capacity)
-    return min((out, other), key=lambda p: sum(t for _, t in p))
+    return out + greedy(left, capacity)
+
+
+def packings(need: np.ndarray, capacity: int) -> dict[str, list[tuple[Config, int]]]:
+    """Both packings, of which plan() takes the one with fewer sequences (the program's if they are equal)."""
+    return {"program": program(need, capacity), "greedy": greedy(need.astype(np.int64), capacity)}
+
+
+def plan(need: np.ndarray, capacity: int) -> list[tuple[Config, int]]:
+    """(configuration, times) that pack exactly need[l] items of each length."""
+    return min(packings(need, capacity).values(), key=lambda p: sum(t for _, t in p))
 
 
 def places(chosen: list[tuple[Config, int]]) -> np.ndarray:

@@ -194,6 +194,29 @@ def test_stretches_of_white_space_do_not_merge():
         assert got == [[*ids, packing.END] for ids in encoder.encode(order)]
 
 
+def test_ids_are_the_tokenizers_own():
+    import pyarrow as pa
+
+    encoder, rng = packing.Encoder(packing.default_tokenizer()), np.random.default_rng(31)
+    parts = [" ", "  ", "\n", "\n\n", "\r\n", "\t", "\x0b", "\xa0", "\u3000", "\u2028", "\x85", "a", "the", "Bar", "don't", "'s", "12", "3.5", "é", "漢字", "😀", "!!", "--", "_x", "\0", "e\u0301"]
+    for _ in range(8):  # batches of a kept cache
+        texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(400)]
+        got = [x.tolist() for x in encoder.documents(pa.array(texts))]
+        assert got == [[*ids, packing.END] for ids in encoder.encode(texts)]
+
+
+def test_the_program_packs_small_tables_too():
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 30, 300, 3000):
+        need = np.bincount(np.clip(rng.lognormal(5, 1, n).astype(int) + 1, 1, 512), minlength=513)
+        both = {k: sum(t for _, t in v) for k, v in packing.packings(need, 512).items()}
+        assert sum(t for _, t in packing.plan(need, 512)) == min(both.values()) and both["program"] <= both["greedy"] * 1.02 + 1
+    hard = np.zeros(101, dtype=np.int64)  # greedy joins 50 and 50; only 60 + 20 + 20 and 50 + 50 leave nothing over
+    hard[[60, 50, 40, 20]] = [400, 200, 200, 400]
+    both = {k: sum(t for _, t in v) for k, v in packing.packings(hard, 100).items()}
+    assert both["program"] <= both["greedy"] and both["program"] >= (hard * np.arange(101)).sum() // 100
+
+
 @pytest.mark.parametrize("scale", [1, 40])
 def test_plan_packs_exactly(scale):
     rng = np.random.default_rng(scale)
