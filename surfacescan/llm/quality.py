@@ -1,13 +1,15 @@
 """Quality classifier: naive Bayes support vectors.
 
-Indicators of n-grams (byte trigrams of the whole text, words and word pairs, and how much the words
-repeat, hashed to a fixed number of slots) are scaled by the log ratio of their smoothed counts in the two classes; a linear hinge-loss
-model over the scaled, length-normalised indicators is fitted by dual coordinate descent; its margins
-become probabilities by a logistic fit on labelled rows kept aside from the descent.
+Indicators of n-grams, hashed to a fixed number of slots (byte trigrams of the whole text, words, word
+pairs, and runs of one to four of the words' pattern, in which a word is only "the one before again" or
+not), are scaled by the log ratio of their smoothed counts in the two classes; a linear hinge-loss model
+over the scaled, length-normalised indicators is fitted by dual coordinate descent; its margins become
+probabilities by a logistic fit on labelled rows kept aside from the descent.
 
-The fit reads a bounded sample: of the labelled rows that may be learnt from, the SAMPLE ones with the
-smallest hashes of their doc_id, without texts above SAMPLE_BYTES. The scoring pass is map only, reads
-every whole text, and ships the weights (a fixed-size array).
+The fit reads a bounded sample: of the labelled rows that may be learnt from, the `sample` ones with the
+smallest hashes of their doc_id, in that order as far as they hold `budget` indicators in all (a text
+has 2 ** SLOTS_LOG2 at most, however long). One executor task fits; only the model, an array of fixed
+size, comes to the driver. The scoring pass is map only, reads every whole text, and ships the weights.
 
 Cases: a null or empty text has no indicators and gets the score of the bias alone; a null doc_id is
 scored, not held out and never learnt from; labels that are null are left out, several labels of a
@@ -25,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, IS_SPACE, batches, hash_spans, mix, runs, texts
+from .common import BATCH_BYTES, IS_SPACE, batches, hash_spans, mapped, mix, runs, texts
 
-#: Slots of the hashed indicators; most labelled rows in the fit, and the longest text among them.
-SLOTS_LOG2, SAMPLE, SAMPLE_BYTES = 18, 8000, 262_144
+#: Slots of the hashed indicators; most labelled rows in the fit, and most indicators of all of them (four bytes each).
+SLOTS_LOG2, SAMPLE, BUDGET = 18, 8000, 24_000_000
+#: Longest run of the words' pattern.
+PATTERN = 4
 #: Count smoothing, hinge penalty, passes of the descent; every CALIBRATE-th sampled row calibrates.
 ALPHA, PENALTY, EPOCHS, CALIBRATE = 1.0, 1.0, 12, 4
 #: Score from which a document counts as good.
@@ -38,16 +42,14 @@ _SLOTS = 1 << SLOTS_LOG2
 _SHIFT = np.uint64(64 - SLOTS_LOG2)
 
 
-def shape(words: np.ndarray) -> np.ndarray:
-    """What the words repeat, as codes: how many there are (doubling), the shares of distinct words and of word pairs that are one word twice (in eighths), the longest run of one word (up to 9)."""
-    n = len(words)
-    if not n:
-        return np.zeros(0, dtype=np.uint64)
-    same = words[1:] == words[:-1]
-    begins, ends = runs(same)
-    longest = min(int((ends - begins).max()), 8) if len(begins) else 0
-    pairs = round(8 * float(same.mean())) if n > 1 else 0
-    return np.array([1000 + n.bit_length(), 2000 + round(8 * len(np.unique(words)) / n), 3000 + pairs, 4000 + longest], dtype=np.uint64)
+def pattern(words: np.ndarray) -> np.ndarray:
+    """Codes of the runs of 1 to PATTERN words' pattern: whether each is the word before it again."""
+    again = np.concatenate(([False], words[1:] == words[:-1]))[: len(words)].astype(np.uint64)
+    out, code = [], np.ones(len(words), dtype=np.uint64)
+    for k in range(min(PATTERN, len(words))):
+        code = code[: len(words) - k] * np.uint64(2) + again[k:]
+        out.append(np.unique(code))
+    return np.concatenate(out) + np.uint64(1 << 20) if out else np.empty(0, dtype=np.uint64)
 
 
 def indicators(text: bytes, flags: np.ndarray) -> np.ndarray:
@@ -64,7 +66,7 @@ def indicators(text: bytes, flags: np.ndarray) -> np.ndarray:
     flags[(words >> _SHIFT).astype(np.int64)] = True
     if len(words) > 1:
         flags[(mix(words[:-1] * np.uint64(3) + words[1:]) >> _SHIFT).astype(np.int64)] = True
-    flags[(mix(shape(words)) >> _SHIFT).astype(np.int64)] = True
+    flags[(mix(pattern(words)) >> _SHIFT).astype(np.int64)] = True
     found = np.flatnonzero(flags)
     flags[found] = False
     return found
@@ -83,8 +85,8 @@ class Model(NamedTuple):
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -50, 50))))
 
 
-def descend(rows: list[np.ndarray], signs: np.ndarray, ratio: np.ndarray, penalty: np.ndarray, epochs: int) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the hinge loss over rows ratio[found] / sqrt(len): weights (ratio included) and bias."""
+def descend(rows: list[np.ndarray], signs: np.ndarray, ratio: np.ndarray, penalty: np.ndarray, epochs: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """Dual coordinate descent for the hinge loss over rows ratio[found] / sqrt(len): weights (ratio included), bias (a weight of a constant 1) and the dual variables."""
     w, bias, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
     scale = np.array([1 / max(1.0, len(x)) ** 0.5 for x in rows])
     square = np.array([ratio[x] @ ratio[x] * c * c + 1.0 for x, c in zip(rows, scale, strict=True)])
@@ -104,7 +106,7 @@ def descend(rows: list[np.ndarray], signs: np.ndarray, ratio: np.ndarray, penalt
                 moved = max(moved, abs(change))
         if moved < 1e-4:
             break
-    return w * ratio, bias
+    return w * ratio, bias, alpha
 
 
 def logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -124,22 +126,27 @@ def logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
+def log_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Of each slot the log of its smoothed share of label 1's indicators over that of label 0's."""
+    counts = np.full((2, _SLOTS), ALPHA)
+    for x, y in zip(rows, labels, strict=True):
+        counts[y, x] += 1
+    return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+
+
 def fit_rows(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     """Fit on indicators and labels 0/1."""
     up = int(labels.sum())
     if up in (0, len(labels)):
         return Model(None, 0.0, 1.0, float(np.log((up + 1) / (len(labels) - up + 1))))
-    counts = np.full((2, _SLOTS), ALPHA)
-    for x, y in zip(rows, labels, strict=True):
-        counts[y, x] += 1
-    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    ratio = log_ratios(rows, labels)
     aside = np.arange(len(rows)) % CALIBRATE == CALIBRATE - 1
     if len(set(labels[aside])) < 2 or len(set(labels[~aside])) < 2:
         aside[:] = False
     signs = np.where(labels == 1, 1.0, -1.0)
     penalty = np.where(labels == 1, PENALTY * len(labels) / (2 * up), PENALTY * len(labels) / (2 * (len(labels) - up)))
     pick = np.flatnonzero(~aside)
-    weights, bias = descend([rows[i] for i in pick], signs[pick], ratio, penalty[pick], EPOCHS)
+    weights, bias, _ = descend([rows[i] for i in pick], signs[pick], ratio, penalty[pick], EPOCHS)
     use = np.flatnonzero(aside) if aside.any() else pick
     margins = np.array([weights[rows[i]].sum() / max(1.0, len(rows[i])) ** 0.5 + bias for i in use])
     return Model(weights.astype(np.float32), bias, *logistic(margins, labels[use]))
@@ -150,11 +157,33 @@ def fold(doc_id: str = "doc_id") -> str:
     return f"crc32(CAST(CAST({doc_id} AS STRING) AS BINARY)) % 4"
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+MODEL = "weights binary, bias double, slope double, offset double"
+
+
+def _train(budget: int):
+    """Rows (order, doc_id, label, found), sorted: one row, the model."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, labels, held = [], [], 0
+        for b in batches(it):
+            for label, raw in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                held += len(raw) // 4
+                if held <= budget:
+                    found.append(np.frombuffer(raw, dtype="<i4"))
+                    labels.append(label)
+        order = np.random.default_rng(5).permutation(len(found))
+        m = fit_rows([found[i] for i in order], np.array([labels[i] for i in order], dtype=np.int64))
+        weights = None if m.weights is None else m.weights.astype("<f4").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([weights], pa.binary()), *(pa.array([float(x)]) for x in m[1:])], names=[x.split()[0] for x in MODEL.split(", ")])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, budget: int = BUDGET) -> Model:
     """Fit on the labelled rows outside fold 2."""
     known = labels.selectExpr("CAST(doc_id AS BIGINT) AS l_doc", "CAST(quality AS INT) AS label").where(f"label IN (0, 1) AND {fold('l_doc')} <> 2")
     known = known.orderBy(F.xxhash64("l_doc"), "l_doc", "label").limit(sample)  # at most `sample` rows of 12 bytes
-    rows = texts(docs).where(f"octet_length(text) <= {SAMPLE_BYTES}").join(F.broadcast(known), F.col("doc_id") == F.col("l_doc")).select("doc_id", "text", "label")
+    rows = texts(docs).join(F.broadcast(known), F.col("doc_id") == F.col("l_doc")).select("doc_id", "text", "label")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(_SLOTS, dtype=bool)
@@ -162,19 +191,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             found = [indicators(x or b"", flags).astype("<i4").tobytes() for x in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary())], names=["doc_id", "label", "found"])
 
-    got = rows.mapInArrow(run, "doc_id long, label int, found binary").collect()
-    got.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
-    order = np.random.default_rng(5).permutation(len(got))
-    return fit_rows([np.frombuffer(got[i][2], dtype="<i4") for i in order], np.array([got[i][1] for i in order], dtype=np.int64))
+    found = rows.mapInArrow(run, "doc_id long, label int, found binary").selectExpr("xxhash64(doc_id) AS at", "doc_id", "label", "found")
+    got = found.repartition(1).sortWithinPartitions("at", "doc_id", "label", "found").mapInArrow(_train(budget), MODEL).first()
+    if got is None:  # no partition at all: nothing to learn from
+        return fit_rows([], np.empty(0, dtype=np.int64))
+    return Model(None if got["weights"] is None else np.frombuffer(got["weights"], dtype="<f4"), *got[1:])
 
 
-def _scores(model, column: pa.Array, flags: np.ndarray) -> np.ndarray:
+def _scores(model: Model, column: pa.Array, flags: np.ndarray) -> np.ndarray:
     return np.array([model.score(indicators(x or b"", flags)) for x in column.cast(pa.binary()).to_pylist()])
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+def score(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs. how: sample and budget of the fit."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(_SLOTS, dtype=bool)
@@ -185,9 +215,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "doc_id", f"coalesce({fold()} = 2, false) AS held_out", "score", f"CAST(score >= {KEEP} AS INT) AS predicted")
 
 
-def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score KEEP or more, columns as they are."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+def kept(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The rows of docs that score KEEP or more, columns as they are. how: sample and budget of the fit."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
     at = docs.columns.index("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +225,7 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches(it):
             yield b.filter(pa.array(_scores(model.value, b.column(at), flags) >= KEEP))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,10 +178,48 @@ def test_dual_descent_separates():
     rng = np.random.default_rng(0)
     rows = [np.unique(rng.integers(0, 50, 8) + (50 if i % 2 else 0)) for i in range(60)]
     ratio = np.ones(100)
-    w, b = quality.descend(rows, np.where(np.arange(60) % 2, 1.0, -1.0), ratio, np.full(60, 10.0), 50)
+    w, b, _ = quality.descend(rows, np.where(np.arange(60) % 2, 1.0, -1.0), ratio, np.full(60, 10.0), 50)
     assert all((w[x].sum() / len(x) ** 0.5 + b > 0) == bool(i % 2) for i, x in enumerate(rows))
 
 
+def test_dual_descent_reaches_the_optimum():
+    rng = np.random.default_rng(1)
+    rows, ratio = [np.unique(rng.integers(0, 30, 6)) for _ in range(80)], rng.normal(size=30)
+    signs, c = rng.choice([-1.0, 1.0], 80), np.full(80, 0.7)
+    w, b, alpha = quality.descend(rows, signs, ratio, c, 4000)
+    x = np.zeros((80, 31))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, 30] = ratio[r] / len(r) ** 0.5, 1
+    v = x.T @ (alpha * signs)  # the model that the dual variables stand for
+    assert np.allclose(v[:30] * ratio, w) and np.isclose(v[30], b) and (alpha >= 0).all() and (alpha <= c).all()
+    primal = v @ v / 2 + (c * np.maximum(0, 1 - signs * (x @ v))).sum()
+    assert primal - (alpha.sum() - v @ v / 2) < 1e-2 * primal
+
+
+def test_log_ratios_and_pattern_against_counting():
+    rng = np.random.default_rng(2)
+    rows, labels = [np.unique(rng.integers(0, 9, 5)) for _ in range(40)], rng.integers(0, 2, 40)
+    got = quality.log_ratios(rows, labels)
+    share = lambda s, y: (1 + sum(s in r for r, z in zip(rows, labels) if z == y)) / ((1 << quality.SLOTS_LOG2) + sum(len(r) for r, z in zip(rows, labels) if z == y))
+    assert all(math.isclose(got[s], math.log(share(s, 1) / share(s, 0)), rel_tol=1e-9) for s in range(12))
+    words = np.array([1, 1, 1, 2, 2, 3], dtype=np.uint64)
+    runs = {"".join("01"[bool(i and words[i] == words[i - 1])] for i in range(a, a + n)) for n in (1, 2, 3, 4) for a in range(7 - n)}
+    assert sorted(bin(int(c) - (1 << 20))[3:] for c in quality.pattern(words)) == sorted(runs)
+    assert len(quality.pattern(words[:1])) == 1 and not len(quality.pattern(words[:0]))
+
+
+def test_quality_takes_long_texts_and_bounds(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["good", "fine", "well"] if i % 2 else ["bad!!", "junk", "%%"], 20)) for i in range(60)] + ["good fine " * 60_000]
+    docs = documents(spark, texts, repeat=False)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(60, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = {r["doc_id"]: r for r in quality.score(docs, labels).collect()}
+    assert rows[60]["predicted"] == 1 and all(rows[i]["predicted"] == i % 2 for i in range(60))
+    few = quality.score(docs, labels, sample=30, budget=400).collect()
+    assert len(few) == 61 and len({r["score"] for r in few}) > 1
+    assert {r["score"] for r in quality.score(docs, labels, budget=0).collect()} == {0.5}
+
+
 # ---- mixing
 
 
