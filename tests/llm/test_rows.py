@@ -137,7 +137,43 @@ def test_language_model_against_counting(spark):
         base = sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in [*w, None])
         assert math.isclose(rows[i]["base_score"], base, rel_tol=1e-9) and rows[i]["held_out"] == (fold(i) == 0)
         assert (rows[i]["n_tokens"], rows[i]["n_known"], rows[i]["train_tokens"]) == (len(w) + 1, sum(counts[x] > 0 for x in [*w, None]), n)
-        assert rows[i]["score"] < 0
+    # The model, by plain counting: estimates of three orders, weights from the deleted fold's histograms.
+    grams = {}
+    for i, w in enumerate(words):
+        seq = ["<s>", "<s>", *w, None]
+        for k in range(2, len(seq)):
+            for order, g in ((1, (seq[k],)), (2, (seq[k - 1], seq[k])), (3, (seq[k - 2], seq[k - 1], seq[k]))):
+                grams.setdefault(i, []).append((order, g))
+    full = collections.Counter(g for i in grams if fold(i) for _, g in grams[i])
+    rest = full - collections.Counter(g for i in grams if fold(i) == 1 for _, g in grams[i])
+
+    def parts(i, c):
+        seq, starts = ["<s>", "<s>", *words[i], None], c[(None,)]
+        for k in range(2, len(seq)):
+            one, two = (seq[k - 1],), (seq[k - 2], seq[k - 1])
+            yield c[(seq[k],)], c[(seq[k - 1], seq[k])], starts if k == 2 else c[one], c[(seq[k - 2], seq[k - 1], seq[k])], starts if k == 2 else c[two]
+
+    def histogram(w, order):
+        out = collections.Counter()
+        for i in grams:
+            if fold(i) == 1:
+                level, bins = language_model.ratio_bins(w, order, tuple(np.array(x, dtype=float) for x in zip(*parts(i, rest), strict=True)))
+                out.update(zip(level.tolist(), bins.tolist(), strict=True))
+        return [(a, b, m) for (a, b), m in out.items()]
+
+    left = sum(m for g, m in rest.items() if len(g) == 1)
+    weights = language_model.learn(float(left), v, histogram)
+    assert 0 < weights.one < 1 and weights.two.max() > 0.05 and weights.three.max() > 0
+    for i in range(len(texts)):
+        want = 0.0
+        for c1, c2, x1, c3, x2 in parts(i, full):
+            p = weights.one * c1 / n + (1 - weights.one) / (v + 1)
+            for lam, c, x in ((weights.two, c2, x1), (weights.three, c3, x2)):
+                if x:
+                    lam = lam[int(math.log2(x))]
+                    p = (1 - lam) * p + lam * c / x
+            want += math.log10(p)
+        assert math.isclose(rows[i]["score"], want, rel_tol=1e-9)
 
 
 def test_language_model_is_proper_and_uses_context():
