@@ -11,14 +11,18 @@ sets link when 100 * |x and y| >= THRESHOLD * |x or y|.
    need is done with; the others are ordered rarest first, and all but need - 1 of them route: linked
    documents share a routed element. Rare ones first keeps the passages that many documents share out.
 4. Documents that share a routed element are candidates of one another; components of these make
-   groups, large ones cut into blocks, each pair of blocks one task.
-5. In a task, a prefix tree over one block's sets (frequent elements first, so that branches are
-   shared) is walked once for all of the other block's sets: each node adds its element's indicator to
-   the running overlaps; subtrees in which no set can still reach its threshold, given the elements
-   left on both sides, are cut, and so are sets that already hang together. What links is kept as a
-   spanning forest; components of all forests give each document's class.
-
-Nothing is capped: large groups take more tasks. Copies of one set are never expanded. Elements of one
+   groups. A large group is cut into small blocks, of which one is the hub: each task joins the hub and
+   one further block, so tasks and shuffled rows grow in proportion to the group. Near copies of one
+   text nearly all hang together then. Sets outside their group's largest class so far are lastly joined
+   with all of the group, again in blocks; sets that already hang together are not compared again.
+5. In a task, a prefix tree over its sets (frequent elements first, so that branches are shared) is
+   walked once for all of them: each node adds its element's indicator to the running overlaps; subtrees
+   in which no set can still reach its threshold, given the elements left on both sides, are cut, and so
+   are sets that already hang together. What links is kept as a spanning forest; components of all
+   forests give each document's class.
+
+Nothing is capped: large groups take more tasks. A group of unlike documents that share a passage is
+still compared in all pairs of blocks, which grows with the square of such a group. Copies of one set are never expanded. Elements of one
 document are exploded once, in a prefix's length. Cases: a null or empty text, or one of white space,
 has an empty set and links with nothing; with fewer words than N the whole sequence is one element;
 a null doc_id is in no component (null) but counts as a document; rows that repeat a doc_id are one
@@ -34,15 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, materialise, mix, texts, width, word_hashes
+from .common import batches, fresh, mapped, materialise, mix, texts, width, word_hashes
 from .graph import components
 
 #: Words of an element; percent of the union that must be shared.
 N, THRESHOLD = 4, 85
 #: Percent of a set's size by which prefixes are longer than they must be for one shared element.
 SLACK = 5
-#: Elements in a block of a candidate group, which bounds a task's memory.
-BLOCK_ELEMENTS = 600_000
+#: Elements in a block of a candidate group: of the hub and those joined with it, and of the sets left over then (this bounds a task's memory).
+HUB_ELEMENTS, BLOCK_ELEMENTS = 10_000, 300_000
 
 
 def ngram_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -61,10 +65,10 @@ def ngram_sets(column: pa.Array, n: int) -> list[np.ndarray]:
             s = np.sort(grams[a : b - n + 1])
             out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
         elif b > a:  # the whole sequence, apart from any n-gram
-            whole = np.uint64(b - a)
-            for w in words[a:b]:
-                whole = mix(np.array([whole * np.uint64(0xA24BAED4963EE407) + w], dtype=np.uint64))[0]
-            out.append(np.array([whole], dtype=np.uint64))
+            whole = np.array([b - a], dtype=np.uint64)
+            for k in range(a, b):
+                whole = mix(whole * np.uint64(0xA24BAED4963EE407) + words[k : k + 1])
+            out.append(whole)
         else:
             out.append(np.empty(0, dtype=np.uint64))
     return out
@@ -89,8 +93,8 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else m
 
 
-def tree_join(sets: list[np.ndarray], left: int, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the sets (sorted, distinct) before `left` and those from it on; with left = 0, among all.
+def tree_join(sets: list[np.ndarray], left: int, threshold: int = THRESHOLD, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the sets (sorted, distinct) before `left` and those from it on; with left = 0, among all. known: a label each; sets of one label already hang together.
 
     The tree's inner nodes are the branchings of the sorted sets. Equal in its components to checking
     every such pair: only pairs whose ends already hang together are passed over.
@@ -124,7 +128,7 @@ def tree_join(sets: list[np.ndarray], left: int, threshold: int = THRESHOLD) ->
 
     built = sorted(range(left or n), key=lambda i: ordered[i].astype(">u4").tobytes())
     line = np.array(built)
-    class_of, links = np.arange(n), []
+    class_of, links = np.arange(n) if known is None else np.unique(known, return_inverse=True)[1], []
     todo = [(0, len(line), 0, np.zeros(len(probes), dtype=np.int64))]
     while todo:
         lo, hi, depth, over = todo.pop()
@@ -162,29 +166,28 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def _join_groups(n: int, threshold: int):
-    """Rows (root, bi, bj, block, rep, sig1, sig2, text), sorted by the first three: links (a, b) of each run."""
+    """Rows (root, task, side, label, rep, sig1, sig2, text), sorted by the first three: links (a, b) between the sets of each task."""
 
     def links(rows: list) -> list[tuple[int, int]]:
-        rows.sort(key=lambda r: r[0])
         known: dict = {}
-        for _, rep, s in rows:
-            known.setdefault((rep, s.tobytes()), s)
+        for label, rep, s in rows:
+            known.setdefault((rep, s.tobytes()), (label, s))
         sets = list(known.items())
-        left = sum(1 for r in {(r[0], r[1], r[2].tobytes()) for r in rows} if r[0] == rows[0][0]) if rows[0][0] != rows[-1][0] else 0
-        return [(sets[i][0][0], sets[j][0][0]) for i, j in tree_join([s for _, s in sets], left, threshold)]
+        found = tree_join([s for _, (_, s) in sets], 0, threshold, np.array([x for _, (x, _) in sets]))
+        return [(sets[i][0][0], sets[j][0][0]) for i, j in found]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for b in batches(it):
             out = []
             columns = [c.to_pylist() for c in b.columns[:7]]
-            for root, bi, bj, block, rep, s1, s2, s in zip(*columns, ngram_sets(b.column(7), n), strict=True):
-                if (root, bi, bj) != key:
+            for root, task, side, label, rep, s1, s2, s in zip(*columns, ngram_sets(b.column(7), n), strict=True):
+                if (root, task, side) != key:
                     if len(rows) > 1:
                         out += links(rows)
-                    key, rows = (root, bi, bj), []
+                    key, rows = (root, task, side), []
                 if (s1, s2) == _signature(s):
-                    rows.append((block, rep, s))
+                    rows.append((label, rep, s))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
         out = links(rows) if len(rows) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
@@ -230,13 +233,34 @@ def classes(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, slack: int
     heads = routes.groupBy("e").agg(F.min("rep").alias("head"))
     grouped = components(routes.join(heads, "e").select(F.col("rep").alias("a"), F.col("head").alias("b")))
 
+    def links(tasks: DataFrame) -> DataFrame:
+        work = tasks.join(rows.where("doc_id IS NOT NULL"), F.col("rep") == rows.doc_id).select("root", "task", "side", "label", "rep", "sig1", "sig2", "text")
+        work = work.repartition(width(docs.sparkSession, 2), "root", "task", "side").sortWithinPartitions("root", "task", "side")
+        return work.mapInArrow(_join_groups(n, threshold), "a long, b long")
+
+    # Each block with its group's hub.
     members = materialise(grouped.join(reps.select("rep", *SIG), grouped.node == F.col("rep")).select("root", "rep", *SIG), "members")
-    blocks = members.groupBy("root").agg(F.ceil(F.sum("size") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
-    tasks = members.join(blocks, "root").selectExpr("*", "CAST(pmod(xxhash64(rep), blocks) AS INT) AS block").selectExpr("*", "explode(sequence(0, blocks - 1)) AS other")
-    tasks = tasks.selectExpr("root", "least(block, other) AS bi", "greatest(block, other) AS bj", "block", "rep", "sig1", "sig2")
-    work = tasks.join(rows.where("doc_id IS NOT NULL"), F.col("rep") == rows.doc_id).select("root", "bi", "bj", "block", "rep", "sig1", "sig2", "text")
-    work = work.repartition(width(docs.sparkSession, 2), "root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
-    linked = components(work.mapInArrow(_join_groups(n, threshold), "a long, b long"))
+    cut = members.groupBy("root").agg(F.ceil(F.sum("size") / HUB_ELEMENTS).cast("int").alias("cut"))
+    tasks = members.join(cut, "root").selectExpr("*", "CAST(pmod(xxhash64(rep), cut) AS INT) AS block")
+    tasks = tasks.selectExpr("root", "rep", "sig1", "sig2", "0 AS side", "rep AS label", "explode(IF(block > 0 OR cut = 1, array(block), sequence(1, cut - 1))) AS task")
+    linked = components(links(tasks))
+
+    # Sets outside the largest class of a group that was cut, with all of the group.
+    large = members.join(cut.where("cut > 1"), "root").join(linked.withColumnsRenamed({"node": "l_node", "root": "l_root"}), F.col("rep") == F.col("l_node"), "left")
+    large = materialise(large.select("root", "rep", "sig1", "sig2", "size", F.coalesce("l_root", "rep").alias("label")), "large")
+    most = large.groupBy("root", "label").agg(F.sum("size").alias("n")).groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("whole"), F.max("n").alias("most"))
+    most = most.where("whole > most").selectExpr("root", "main", f"CAST(ceil(whole / {BLOCK_ELEMENTS}) AS INT) AS sides", f"CAST(ceil((whole - most) / {BLOCK_ELEMENTS}) AS INT) AS outs")
+    if not most.isEmpty():
+        rest = large.join(most, "root").selectExpr("*", "CAST(pmod(xxhash64(rep), sides) AS INT) AS block", "CAST(pmod(xxhash64(rep), outs) AS INT) AS out")
+        pairs = "array_union(transform(sequence(0, outs - 1), t -> named_struct('task', t, 'side', block)), IF(label <> main, transform(sequence(0, sides - 1), t -> named_struct('task', out, 'side', t)), array()))"
+        rest = rest.selectExpr("root", "rep", "sig1", "sig2", "label", f"inline({pairs})")
+        label = linked.withColumnsRenamed({"node": "l_node", "root": "l_root"})
+        more = links(rest)
+        for side in ("a", "b"):  # links between classes so far
+            more = more.join(label, F.col(side) == F.col("l_node"), "left").withColumn(side, F.coalesce("l_root", side)).select("a", "b")
+        merged = components(more).withColumnsRenamed({"node": "m_node", "root": "m_root"})
+        pairs = reps.select("rep").join(label, F.col("rep") == F.col("l_node"), "left").select(F.col("rep").alias("node"), F.coalesce("l_root", "rep").alias("root"))
+        linked = pairs.join(merged, F.col("root") == F.col("m_node"), "left").select("node", F.coalesce("m_root", "root").alias("root"))
     named = reps.select("rep", *SIG).join(linked, F.col("rep") == F.col("node"), "left").select(*SIG, "rep", F.coalesce("root", "rep").alias("root"))
     return sets.select("doc_id", *SIG), named
 
@@ -250,8 +274,8 @@ def join(docs: DataFrame, **how) -> DataFrame:
 def deduplicated(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
     """One row of docs of each component (that of its smallest doc_id), columns as they are. Rows without words or doc_id stay."""
     _, named = classes(docs, n, threshold)
-    at = docs.columns.index("text")
-    mark = ["__size", "__sig1", "__sig2"]
+    at, names = docs.columns.index("text"), docs.columns
+    *mark, own, rep, nth = fresh(names, "size", "sig1", "sig2", "own", "rep", "nth")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
@@ -259,11 +283,13 @@ def deduplicated(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> Dat
             sigs = [(len(s), *_signature(s)) for s in sets]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([x[k] for x in sigs], pa.int64()) for k in range(3))], names=[*b.schema.names, *mark])
 
-    marked = docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{m} long" for m in mark)]))
-    kept = named.where("rep = root").select(*(F.col(c).alias(m) for c, m in zip(SIG, mark, strict=True)), F.col("rep").alias("__rep"))
-    rows = marked.join(kept, mark, "left").where("__size = 0 OR doc_id IS NULL OR doc_id = __rep")
-    rows = rows.withColumn("__nth", F.expr("CASE WHEN __size = 0 OR doc_id IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY __size, __sig1, __sig2, doc_id ORDER BY doc_id) END"))
-    return rows.where("__nth = 1").select(*docs.columns)
+    marked = mapped(docs, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{m} long" for m in mark)]))
+    marked = marked.withColumn(own, F.expr("CAST(doc_id AS BIGINT)"))
+    kept = named.where("rep = root").select(*(F.col(c).alias(m) for c, m in zip(SIG, mark, strict=True)), F.col("rep").alias(rep))
+    size = mark[0]
+    rows = marked.join(kept, mark, "left").where(f"{size} = 0 OR {own} IS NULL OR {own} = {rep}")
+    rows = rows.withColumn(nth, F.expr(f"CASE WHEN {size} = 0 OR {own} IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY {', '.join(mark)}, {own} ORDER BY {own}) END"))
+    return rows.where(f"{nth} = 1").select(*(f"`{c}`" for c in names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators over pairs and groups: neighbours, chat, packing, Jaccard join; and the pipeline."""
 
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -50,8 +51,30 @@ def test_join_against_brute_force(spark):
 def test_join_in_blocks_is_the_join(spark, monkeypatch):
     texts = near(np.random.default_rng(5), 30, 120, 8)
     monkeypatch.setattr(jaccard, "BLOCK_ELEMENTS", 600)
+    for hub in (500, 10_000):
+        monkeypatch.setattr(jaccard, "HUB_ELEMENTS", hub)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(documents(spark, texts, repeat=False)).collect()}
+        assert [got[i] for i in range(len(texts))] == classes(texts)
+
+
+def test_join_finds_links_far_from_the_hub(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_ELEMENTS", 900)
+    monkeypatch.setattr(jaccard, "HUB_ELEMENTS", 300)
+    rng = np.random.default_rng(15)
+    shared = " ".join(f"p{i}" for i in range(40))  # candidates of one another, in few classes; and a chain, each link alone
+    texts = [f"{t} {shared}" for _ in range(6) for t in near(rng, 4, 90, 5)]
+    chain = [f"c{x}" for x in rng.integers(0, 10**6, 100)]
+    for k in range(0, 60, 5):
+        texts.append(" ".join([*chain[k:], *(f"t{i}" for i in range(k))]))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(documents(spark, texts, repeat=False)).collect()}
-    assert [got[i] for i in range(len(texts))] == classes(texts)
+    want = classes(texts)
+    assert [got[i] for i in range(len(texts))] == want and max(Counter(c for _, c in want).values()) >= 8
+
+
+def test_deduplicated_takes_clashing_names(spark):
+    docs = documents(spark, ["x y z w v", "x y z w v", "other words here now"], repeat=False).selectExpr("*", "1 AS sig1", "2 AS `own`", "3 AS rep", "4 AS `a.b`", "5 AS __nth")
+    out = jaccard.deduplicated(docs)
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [0, 2]
 
 
 def test_join_awkward_and_empty(spark):
