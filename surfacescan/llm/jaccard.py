@@ -11,18 +11,20 @@ sets link when 100 * |x and y| >= THRESHOLD * |x or y|.
    need is done with; the others are ordered rarest first, and all but need - 1 of them route: linked
    documents share a routed element. Rare ones first keeps the passages that many documents share out.
 4. Documents that share a routed element are candidates of one another; components of these make
-   groups. A large group is cut into small blocks, of which one is the hub: each task joins the hub and
+   groups. A large group falls into bands of set size, of which linked sets are at most one apart, and
+   a band into small blocks, of which one is the hub: each task joins the hub and
    one further block, so tasks and shuffled rows grow in proportion to the group. Near copies of one
-   text nearly all hang together then. Sets outside their group's largest class so far are lastly joined
-   with all of the group, again in blocks; sets that already hang together are not compared again.
+   text nearly all hang together then. Sets outside their band's largest class so far are lastly joined
+   with all of the band, again in blocks; sets that already hang together are not compared again.
 5. In a task, a prefix tree over its sets (frequent elements first, so that branches are shared) is
    walked once for all of them: each node adds its element's indicator to the running overlaps; subtrees
    in which no set can still reach its threshold, given the elements left on both sides, are cut, and so
    are sets that already hang together. What links is kept as a spanning forest; components of all
    forests give each document's class.
 
-Nothing is capped: large groups take more tasks. A group of unlike documents that share a passage is
-still compared in all pairs of blocks, which grows with the square of such a group. Copies of one set are never expanded. Elements of one
+Nothing is capped: large groups take more tasks. A group of unlike documents of
+like size that share a passage which makes up much of each is still compared in all pairs of blocks, which
+grows with the square of such a group. Copies of one set are never expanded. Elements of one
 document are exploded once, in a prefix's length. Cases: a null or empty text, or one of white space,
 has an empty set and links with nothing; with fewer words than N the whole sequence is one element;
 a null doc_id is in no component (null) but counts as a document; rows that repeat a doc_id are one
@@ -31,6 +33,7 @@ document per row with one component; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,9 +47,9 @@ from .graph import components
 #: Words of an element; percent of the union that must be shared.
 N, THRESHOLD = 4, 85
 #: Percent of a set's size by which prefixes are longer than they must be for one shared element.
-SLACK = 5
-#: Elements in a block of a candidate group: of the hub and those joined with it, and of the sets left over then (this bounds a task's memory).
-HUB_ELEMENTS, BLOCK_ELEMENTS = 10_000, 300_000
+SLACK = 10
+#: Elements of a candidate group that one task takes whole; in a block of a larger one: of the hub and those joined with it, and of the sets left over then (this bounds a task's memory).
+TASK_ELEMENTS, HUB_ELEMENTS, BLOCK_ELEMENTS = 30_000, 10_000, 600_000
 
 
 def ngram_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -166,7 +169,7 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def _join_groups(n: int, threshold: int):
-    """Rows (root, task, side, label, rep, sig1, sig2, text), sorted by the first three: links (a, b) between the sets of each task."""
+    """Rows (root, band, task, side, label, rep, sig1, sig2, text), sorted by the first four: links (a, b) between the sets of each task."""
 
     def links(rows: list) -> list[tuple[int, int]]:
         known: dict = {}
@@ -180,12 +183,12 @@ def _join_groups(n: int, threshold: int):
         key, rows = None, []
         for b in batches(it):
             out = []
-            columns = [c.to_pylist() for c in b.columns[:7]]
-            for root, task, side, label, rep, s1, s2, s in zip(*columns, ngram_sets(b.column(7), n), strict=True):
-                if (root, task, side) != key:
+            columns = [c.to_pylist() for c in b.columns[:8]]
+            for *at, label, rep, s1, s2, s in zip(*columns, ngram_sets(b.column(8), n), strict=True):
+                if at != key:
                     if len(rows) > 1:
                         out += links(rows)
-                    key, rows = (root, task, side), []
+                    key, rows = at, []
                 if (s1, s2) == _signature(s):
                     rows.append((label, rep, s))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
@@ -234,33 +237,39 @@ def classes(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, slack: int
     grouped = components(routes.join(heads, "e").select(F.col("rep").alias("a"), F.col("head").alias("b")))
 
     def links(tasks: DataFrame) -> DataFrame:
-        work = tasks.join(rows.where("doc_id IS NOT NULL"), F.col("rep") == rows.doc_id).select("root", "task", "side", "label", "rep", "sig1", "sig2", "text")
-        work = work.repartition(width(docs.sparkSession, 2), "root", "task", "side").sortWithinPartitions("root", "task", "side")
+        work = tasks.join(rows.where("doc_id IS NOT NULL"), F.col("rep") == rows.doc_id).select("root", "band", "task", "side", "label", "rep", "sig1", "sig2", "text")
+        key = ("root", "band", "task", "side")
+        work = work.repartition(width(docs.sparkSession, 2), *key).sortWithinPartitions(*key)
         return work.mapInArrow(_join_groups(n, threshold), "a long, b long")
 
+    # Large groups fall into bands of size, of which linked sets are at most one apart: a set goes to its own band and the next.
+    members = grouped.join(reps.select("rep", *SIG), grouped.node == F.col("rep")).select("root", "rep", *SIG)
+    members = materialise(members.withColumn("band", F.floor(F.log("size") / (1.001 * math.log(100 / threshold))).cast("int")), "members")
+    split = members.groupBy("root").agg((F.sum("size") > TASK_ELEMENTS).alias("split"))
+    placed = members.join(split, "root").selectExpr("root", "rep", *SIG, "explode(IF(split, array(band, band + 1), array(-1))) AS band")
+    cut = placed.groupBy("root", "band").agg(F.sum("size").alias("n")).selectExpr("root", "band", f"IF(n <= {TASK_ELEMENTS}, 1, CAST(ceil(n / {HUB_ELEMENTS}) AS INT)) AS cut")
+    placed = materialise(placed.join(cut, ["root", "band"]), "placed")
+
     # Each block with its group's hub.
-    members = materialise(grouped.join(reps.select("rep", *SIG), grouped.node == F.col("rep")).select("root", "rep", *SIG), "members")
-    cut = members.groupBy("root").agg(F.ceil(F.sum("size") / HUB_ELEMENTS).cast("int").alias("cut"))
-    tasks = members.join(cut, "root").selectExpr("*", "CAST(pmod(xxhash64(rep), cut) AS INT) AS block")
-    tasks = tasks.selectExpr("root", "rep", "sig1", "sig2", "0 AS side", "rep AS label", "explode(IF(block > 0 OR cut = 1, array(block), sequence(1, cut - 1))) AS task")
+    tasks = placed.selectExpr("*", "CAST(pmod(xxhash64(rep), cut) AS INT) AS block")
+    tasks = tasks.selectExpr("root", "band", "rep", "sig1", "sig2", "0 AS side", "rep AS label", "explode(IF(block > 0 OR cut = 1, array(block), sequence(1, cut - 1))) AS task")
     linked = components(links(tasks))
 
     # Sets outside the largest class of a group that was cut, with all of the group.
-    large = members.join(cut.where("cut > 1"), "root").join(linked.withColumnsRenamed({"node": "l_node", "root": "l_root"}), F.col("rep") == F.col("l_node"), "left")
-    large = materialise(large.select("root", "rep", "sig1", "sig2", "size", F.coalesce("l_root", "rep").alias("label")), "large")
-    most = large.groupBy("root", "label").agg(F.sum("size").alias("n")).groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("whole"), F.max("n").alias("most"))
-    most = most.where("whole > most").selectExpr("root", "main", f"CAST(ceil(whole / {BLOCK_ELEMENTS}) AS INT) AS sides", f"CAST(ceil((whole - most) / {BLOCK_ELEMENTS}) AS INT) AS outs")
+    label = linked.withColumnsRenamed({"node": "l_node", "root": "l_root"})
+    large = placed.where("cut > 1").join(label, F.col("rep") == F.col("l_node"), "left")
+    large = materialise(large.select("root", "band", "rep", "sig1", "sig2", "size", F.coalesce("l_root", "rep").alias("label")), "large")
+    most = large.groupBy("root", "band", "label").agg(F.sum("size").alias("n")).groupBy("root", "band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("whole"), F.max("n").alias("most"))
+    most = most.where("whole > most").selectExpr("root", "band", "main", f"CAST(ceil(whole / {BLOCK_ELEMENTS}) AS INT) AS sides", f"CAST(ceil((whole - most) / {BLOCK_ELEMENTS}) AS INT) AS outs")
     if not most.isEmpty():
-        rest = large.join(most, "root").selectExpr("*", "CAST(pmod(xxhash64(rep), sides) AS INT) AS block", "CAST(pmod(xxhash64(rep), outs) AS INT) AS out")
+        rest = large.join(most, ["root", "band"]).selectExpr("*", "CAST(pmod(xxhash64(rep), sides) AS INT) AS block", "CAST(pmod(xxhash64(rep), outs) AS INT) AS out")
         pairs = "array_union(transform(sequence(0, outs - 1), t -> named_struct('task', t, 'side', block)), IF(label <> main, transform(sequence(0, sides - 1), t -> named_struct('task', out, 'side', t)), array()))"
-        rest = rest.selectExpr("root", "rep", "sig1", "sig2", "label", f"inline({pairs})")
-        label = linked.withColumnsRenamed({"node": "l_node", "root": "l_root"})
-        more = links(rest)
+        more = links(rest.selectExpr("root", "band", "rep", "sig1", "sig2", "label", f"inline({pairs})"))
         for side in ("a", "b"):  # links between classes so far
             more = more.join(label, F.col(side) == F.col("l_node"), "left").withColumn(side, F.coalesce("l_root", side)).select("a", "b")
         merged = components(more).withColumnsRenamed({"node": "m_node", "root": "m_root"})
-        pairs = reps.select("rep").join(label, F.col("rep") == F.col("l_node"), "left").select(F.col("rep").alias("node"), F.coalesce("l_root", "rep").alias("root"))
-        linked = pairs.join(merged, F.col("root") == F.col("m_node"), "left").select("node", F.coalesce("m_root", "root").alias("root"))
+        linked = reps.select("rep").join(label, F.col("rep") == F.col("l_node"), "left").select(F.col("rep").alias("node"), F.coalesce("l_root", "rep").alias("root"))
+        linked = linked.join(merged, F.col("root") == F.col("m_node"), "left").select("node", F.coalesce("m_root", "root").alias("root"))
     named = reps.select("rep", *SIG).join(linked, F.col("rep") == F.col("node"), "left").select(*SIG, "rep", F.coalesce("root", "rep").alias("root"))
     return sets.select("doc_id", *SIG), named
 

@@ -51,8 +51,9 @@ def test_join_against_brute_force(spark):
 def test_join_in_blocks_is_the_join(spark, monkeypatch):
     texts = near(np.random.default_rng(5), 30, 120, 8)
     monkeypatch.setattr(jaccard, "BLOCK_ELEMENTS", 600)
-    for hub in (500, 10_000):
+    for hub, task in ((500, 500), (10_000, 1000), (500, 30_000)):
         monkeypatch.setattr(jaccard, "HUB_ELEMENTS", hub)
+        monkeypatch.setattr(jaccard, "TASK_ELEMENTS", task)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(documents(spark, texts, repeat=False)).collect()}
         assert [got[i] for i in range(len(texts))] == classes(texts)
 
@@ -60,6 +61,7 @@ def test_join_in_blocks_is_the_join(spark, monkeypatch):
 def test_join_finds_links_far_from_the_hub(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_ELEMENTS", 900)
     monkeypatch.setattr(jaccard, "HUB_ELEMENTS", 300)
+    monkeypatch.setattr(jaccard, "TASK_ELEMENTS", 300)
     rng = np.random.default_rng(15)
     shared = " ".join(f"p{i}" for i in range(40))  # candidates of one another, in few classes; and a chain, each link alone
     texts = [f"{t} {shared}" for _ in range(6) for t in near(rng, 4, 90, 5)]
