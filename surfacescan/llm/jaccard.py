@@ -50,6 +50,8 @@ N, THRESHOLD = 4, 85
 SLACK = 10
 #: Elements of a candidate group that one task takes whole; in a block of a larger one: of the hub and those joined with it, and of the sets left over then (this bounds a task's memory).
 TASK_ELEMENTS, HUB_ELEMENTS, BLOCK_ELEMENTS = 30_000, 10_000, 600_000
+#: Most candidates (eight bytes each) whose ids are broadcast to pick their texts; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def ngram_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -237,11 +239,16 @@ def classes(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, slack: int
     grouped = components(routes.join(heads, "e").select(F.col("rep").alias("a"), F.col("head").alias("b")))
 
     def links(tasks: DataFrame) -> DataFrame:
-        work = tasks.join(rows.where("doc_id IS NOT NULL"), F.col("rep") == rows.doc_id).select("root", "band", "task", "side", "label", "rep", "sig1", "sig2", "text")
+        work = tasks.join(bodies, "rep").select("root", "band", "task", "side", "label", "rep", "sig1", "sig2", "text")
         key = ("root", "band", "task", "side")
         work = work.repartition(width(docs.sparkSession, 2), *key).sortWithinPartitions(*key)
         return work.mapInArrow(_join_groups(n, threshold), "a long, b long")
 
+    # The candidates' texts, written once; the others are not shuffled unless the candidates are too many to broadcast.
+    asked = materialise(grouped.select("node"), "asked")
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    bodies = materialise(rows.join(asked, F.col("doc_id") == F.col("node")).select(F.col("node").alias("rep"), "text"), "bodies")
+
     # Large groups fall into bands of size, of which linked sets are at most one apart: a set goes to its own band and the next.
     members = grouped.join(reps.select("rep", *SIG), grouped.node == F.col("rep")).select("root", "rep", *SIG)
     members = materialise(members.withColumn("band", F.floor(F.log("size") / (1.001 * math.log(100 / threshold))).cast("int")), "members")
@@ -255,10 +262,16 @@ def classes(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, slack: int
     tasks = tasks.selectExpr("root", "band", "rep", "sig1", "sig2", "0 AS side", "rep AS label", "explode(IF(block > 0 OR cut = 1, array(block), sequence(1, cut - 1))) AS task")
     linked = components(links(tasks))
 
-    # Sets outside the largest class of a group that was cut, with all of the group.
+    # Of groups that were cut, elements that route sets of several classes so far form the groups that are left; in
+    # these, sets outside the largest class are joined with all of the group.
     label = linked.withColumnsRenamed({"node": "l_node", "root": "l_root"})
-    large = placed.where("cut > 1").join(label, F.col("rep") == F.col("l_node"), "left")
-    large = materialise(large.select("root", "band", "rep", "sig1", "sig2", "size", F.coalesce("l_root", "rep").alias("label")), "large")
+    large = placed.where("cut > 1").select("rep").distinct().join(label, F.col("rep") == F.col("l_node"), "left").select("rep", F.coalesce("l_root", "rep").alias("label"))
+    open_ = materialise(routes.join(large, "rep"), "open")
+    heads = open_.groupBy("e").agg(F.min("rep").alias("head"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("e", "head")
+    regrouped = components(open_.join(heads, "e").select(F.col("rep").alias("a"), F.col("head").alias("b"))).withColumnRenamed("root", "n_root")
+    large = regrouped.join(open_.select("rep", "label").distinct(), F.col("node") == F.col("rep")).select("n_root", "rep", "label")
+    large = large.join(members.drop("root"), "rep").selectExpr("n_root AS root", "rep", "label", *SIG, "explode(array(band, band + 1)) AS band")
+    large = materialise(large, "large")
     most = large.groupBy("root", "band", "label").agg(F.sum("size").alias("n")).groupBy("root", "band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("whole"), F.max("n").alias("most"))
     most = most.where("whole > most").selectExpr("root", "band", "main", f"CAST(ceil(whole / {BLOCK_ELEMENTS}) AS INT) AS sides", f"CAST(ceil((whole - most) / {BLOCK_ELEMENTS}) AS INT) AS outs")
     if not most.isEmpty():
