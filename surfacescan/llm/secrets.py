@@ -1,29 +1,34 @@
 """Secret scan: fixed patterns, and novelty measured with a dictionary-primed zstandard compressor.
 
 Every whole text is read. The fixed patterns ("assign", "access", "hex") always report. Beside them,
-strings of secret-like shape that stand shortly after a sensitive word are candidates: a candidate's
-novelty is its marginal compressed size, that of (context + candidate) less that of the context
-alone, under a compressor primed with a dictionary of identifiers and common code words. A candidate
-that mixes character classes and needs nearly as many bytes as it has entropy to give is reported as
-kind "novel". Words, paths and variants of near identifiers compress well against the dictionary or
-their surroundings and stay out; a candidate's own copies are taken out of its surroundings first. A candidate reaches to the end of its character run, however long, less
-what fixed patterns report; it is measured window by window, until one is novel.
-
-Map only: no shuffle, no collection; a batch of rows bounds the memory. Cases: a null or empty text
-gives zero counts and no spans; a null doc_id is kept; repeated rows each give their row; an empty
-table gives no rows; other columns are ignored. Offsets are code points, ends exclusive.
+strings of secret-like shape near a sensitive word, before or after it, are candidates: a candidate's
+novelty is its marginal compressed size, that of (context + candidate) less that of the context alone,
+under a compressor primed with a dictionary: common code words and the identifiers that occur most often
+in all of the documents. A candidate that needs nearly as many bytes as its own alphabet has entropy to
+give is reported as kind "novel". Words, paths and variants of near identifiers compress well against
+the dictionary or their surroundings and stay out; a candidate's own copies are taken out of its
+surroundings first. A candidate reaches from end to end of its character run, however long, less what
+fixed patterns report; it is measured window by window, until one is novel.
+
+The identifiers are counted over all documents, pre-aggregated; DICTIONARY_WORDS of them reach the
+driver. The scan is map only: a batch of rows bounds the memory. Cases: a null or empty text gives zero
+counts and no spans; a null doc_id is kept; repeated rows each give their row; an empty table gives no
+rows; other columns are ignored. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import math
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import batches, mapped, texts
 
@@ -33,7 +38,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 
-#: A sensitive word, then within this many characters a candidate.
+#: A sensitive word; the characters between it and a candidate, at most; a candidate.
 SENSITIVE = re.compile(r"password|passwd|passphrase|secret|token|api.?key|credential|private.?key|auth|bearer|signature", re.IGNORECASE | re.ASCII)
 REACH = 48
 LEAST = 20
@@ -42,9 +47,12 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST, re.ASCII)
 WINDOW = 256
 #: Surrounding characters given to the compressor on each side.
 CONTEXT = 192
-#: Marginal compressed bytes per byte of the candidate from which it counts as incompressible. Random
-#: base64 needs about 0.75 (6 of 8 bits), random hex about 0.5, words and paths far less.
-NOVELTY = 0.7
+#: Share of its alphabet's entropy, in marginal compressed bytes, from which a candidate counts as incompressible.
+NEAR = 0.95
+#: Signs of each class of characters; a candidate's alphabet is that of its classes.
+CLASSES = ((re.compile("[a-z]"), 26), (re.compile("[A-Z]"), 26), (re.compile("[0-9]"), 10), (re.compile("[+/_=-]"), 5))
+#: Identifiers of the documents in the dictionary, and their least length.
+DICTIONARY_WORDS, SHORTEST = 3000, 6
 
 #: Identifier dictionary (fixed values): names and words that code, configuration and logs are full of.
 IDENTIFIERS = (
@@ -55,27 +63,40 @@ IDENTIFIERS = (
     "argument request response header content-type application/json https://www.example.com http://localhost:8080 "
     "/usr/local/share /home/user/.config /etc/ssl/certs database connection hostname address timeout version "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 xxxxxxxxxxxxxxxxxxxxxxxx 00000000000000000000 "
+    "getProvider setFactory createManager updateHandler deleteService newClient isServer hasBuilder toController onListener asAdapter "
+    "Config Context UserAccount Authentication Authorization Credential Token Secret Password Session Signature Request Response "
     "BEGIN CERTIFICATE END CERTIFICATE license copyright information description documentation implementation"
 )
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long"
 
 
-@cache
-def _compressor() -> zstandard.ZstdCompressor:
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+def identifiers(docs: DataFrame, most: int = DICTIONARY_WORDS) -> str:
+    """The identifiers that occur most often in all texts, the most frequent last (where a compressor reaches them cheapest). Only whole runs that are too short for a candidate: copies of a secret never get in."""
+    words = texts(docs).select(F.explode(F.split("text", "[^A-Za-z0-9+/_=-]+")).alias("word")).where(f"length(word) BETWEEN {SHORTEST} AND {LEAST - 1} AND word RLIKE '^[A-Za-z_]+$'")
+    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).collect()
+    return " ".join(r["word"] for r in reversed(top))
+
+
+@lru_cache(4)
+def _compressor(words: str) -> zstandard.ZstdCompressor:
+    primed = zstandard.ZstdCompressionDict(f"{words} {IDENTIFIERS}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed.precompute_compress(level=6)
     return zstandard.ZstdCompressor(level=6, dict_data=primed, write_content_size=False, write_checksum=False)
 
 
-def novelty(before: str, candidate: str, after: str) -> float:
+def novelty(before: str, candidate: str, after: str, words: str = "") -> float:
     """Marginal compressed bytes of the candidate, per byte."""
-    c, context = _compressor(), f"{after}\n{before}".encode()
+    c, context = _compressor(words), f"{after}\n{before}".encode()
     body = candidate.encode()
     return (len(c.compress(context + body)) - len(c.compress(context))) / len(body)
 
 
-def _mixed(s: str) -> bool:
-    return any(x.islower() for x in s) + any(x.isupper() for x in s) + any(x.isdigit() for x in s) >= 2 and any(x.isdigit() for x in s)
+def entropy(s: str) -> float:
+    """Bytes that a character of a string's alphabet can carry."""
+    if not re.search("[g-zG-Z+/_=-]", s) and re.search("[a-fA-F]", s):
+        return 0.5
+    return math.log2(max(2, sum(n for rx, n in CLASSES if rx.search(s)))) / 8
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -90,10 +111,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def _uncovered(s: int, e: int, known: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """The parts of s to e outside the known spans (by start) that are long enough for a candidate."""
+def _merged(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """What the spans (by start) cover, as disjoint stretches."""
+    out: list[tuple[int, int]] = []
+    for a, b, _ in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _uncovered(s: int, e: int, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of s to e outside the covered stretches that are long enough for a candidate."""
     out, at = [], s
-    for a, b, _ in known:
+    for a, b in covered[max(0, bisect.bisect_right(covered, (s, s)) - 1) : bisect.bisect_left(covered, (e, e))]:
         if a < e and b > at:
             out.append((at, a))
             at = b
@@ -107,61 +139,63 @@ def _context(text: str, s: int, e: int) -> tuple[str, str]:
     return before.replace(body, "\0" * n)[-CONTEXT:].replace("\0", ""), after.replace(body, "\0" * n)[:CONTEXT].replace("\0", "")
 
 
-def _novel(text: str, s: int, e: int, whole: bool) -> bool:
-    """Whether a window of the candidate is novel; unless whole, only the first is measured."""
-    for b in range(s + WINDOW, e + WINDOW if whole else s + WINDOW + 1, WINDOW):
+def _novel(text: str, s: int, e: int, words: str) -> bool:
+    """Whether a window of the candidate is novel."""
+    for b in range(s + WINDOW, e + WINDOW, WINDOW):
         b = min(b, e)
         a = max(s, b - WINDOW)
-        if not _mixed(text[a:b]):
-            continue
         before, after = _context(text, a, b)
-        if novelty(before, text[a:b], after) >= NOVELTY:
+        if novelty(before, text[a:b], after, words) >= NEAR * entropy(text[a:b]):
             return True
     return False
 
 
-def novel_spans(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans that the method adds: incompressible candidates after a sensitive word, as far as not already covered."""
-    out: list[tuple[int, int, str]] = []
-    began = ended = done = 0  # the last run, from its first candidate on; and up to where candidates are measured
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + LEAST)):
-            if not began <= m.start() < ended:
-                began, ended = m.start(), CANDIDATE.match(text, m.start()).end()
-            for s, e in _uncovered(m.start(), ended, known):
-                if e <= done and s > m.start():  # measured for an earlier word
-                    continue
-                if not any(s < b and a < e for a, b, _ in out) and _novel(text, s, e, e > done):
-                    out.append((s, e, "novel"))
-                done = max(done, e)
+def novel_spans(text: str, known: list[tuple[int, int, str]], words: str = "") -> list[tuple[int, int, str]]:
+    """Spans that the method adds: incompressible candidates near a sensitive word, as far as not already covered."""
+    begins, ends = [], []
+    for m in SENSITIVE.finditer(text):
+        begins.append(m.start())
+        ends.append(m.end())
+    if not begins:
+        return []
+    covered, out = _merged(known), []
+    for m in CANDIDATE.finditer(text):
+        s, e = m.span()
+        i = bisect.bisect_left(ends, s - REACH)
+        if i < len(begins) and begins[i] <= e + REACH:
+            out += [(a, b, "novel") for a, b in _uncovered(s, e, covered) if _novel(text, a, b, words)]
     return out
 
 
-def find(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def find(text: str | None, words: str = "") -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and those that novelty adds."""
     if not text:
         return [], []
     base = base_spans(text)
-    return base, novel_spans(text, base)
+    return base, novel_spans(text, base, words)
 
 
 def listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]))))
 
 
-def _scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches(it):
-        rows = []
-        for text in b.column(1).to_pylist():
-            base, novel = find(text)
-            kinds = [k for _, _, k in base]
-            rows.append((*(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + novel), len(novel)))
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())))], names=[x.split()[0] for x in SCHEMA.split(", ")])
+def _scan(words: str):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            rows = []
+            for text in b.column(1).to_pylist():
+                base, novel = find(text, words)
+                kinds = [k for _, _, k in base]
+                rows.append((*(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + novel), len(novel)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(zip(*rows), kinds))], names=[x.split()[0] for x in SCHEMA.split(", ")])
+
+    return run
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs: counts by kind, the digest of the base spans and all spans."""
-    return texts(docs).mapInArrow(_scan, SCHEMA)
+    return texts(docs).mapInArrow(_scan(identifiers(docs)), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,9 +205,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- masking, for filters and pipelines
 
 
-def mask(text: str) -> str:
+def mask(text: str, words: str = "") -> str:
     """The text with each reported span replaced by a marker of its kind; overlapping spans merge."""
-    base, novel = find(text)
+    base, novel = find(text, words)
     out, at = [], 0
     for s, e, k in sorted(base + novel):
         if s >= at:
@@ -187,12 +221,13 @@ def masked(docs: DataFrame) -> DataFrame:
     names = docs.columns
     at = names.index("text")
     count = names.index("n_chars") if "n_chars" in names else None
+    words = identifiers(docs)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             columns = list(b.columns)
             before = columns[at].to_pylist()
-            after = [x if not x else mask(x) for x in before]
+            after = [x if not x else mask(x, words) for x in before]
             columns[at] = pa.array(after, b.schema.field(at).type)
             if count is not None:
                 was = columns[count].to_pylist()

@@ -64,6 +64,27 @@ def test_long_secrets_are_reported_to_their_end():
     assert secrets.mask(two) == "auth <novel> <novel> end"
 
 
+def test_secrets_of_any_alphabet_before_and_after_the_word():
+    import string
+
+    rng = np.random.default_rng(8)
+    for signs in (string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters + string.digits + "+/"):
+        for n in (20, 40, 200, 1000, 5000):
+            key = "".join(rng.choice(list(signs), n))
+            assert secrets.mask(f"the access token is {key} now") == "the access token is <novel> now"
+            assert secrets.mask(f"{key} is the signature") == "<novel> is the signature" and secrets.mask(f"{key} {'far away ' * 9} token") == f"{key} {'far away ' * 9} token"
+    for plain in ("implementationDocumentation2020", "user_account_description_number", "getAuthenticationTokenProviderFactory", "https://www.example.com/authorization/configuration/database", "x" * 300, "password-" * 40):
+        assert secrets.mask(f"the token {plain} here") == f"the token {plain} here"
+
+
+def test_identifiers_come_from_all_documents_and_hold_no_candidates(spark):
+    docs = documents(spark, ["zufallswort wiederholt"] * 5 + ["einmalig " + "q9Z" * 10, None, "abcdef " + "Q" * 25], repeat=False)
+    assert secrets.identifiers(docs).split() == ["einmalig", "abcdef", "zufallswort", "wiederholt"]
+    assert secrets.identifiers(docs, 1) == "wiederholt" and secrets.identifiers(docs.limit(0)) == ""
+    name = "zufallswort_wiederholt_zufall"
+    assert secrets.mask(f"token {name}", secrets.identifiers(docs)) == f"token {name}" and "<novel>" in secrets.mask(f"token {name}")
+
+
 def test_repeated_secrets_do_not_hide_one_another():
     key = "i0VpEBOWfbZAVaBSo63bbH6xnAbnBEoonCrbZINl"
     for n in (1, 2, 3, 4, 5, 9):
