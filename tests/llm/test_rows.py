@@ -138,6 +138,71 @@ def test_media_damage_and_resync():
     assert s.vbr["frames"] == len(s.offsets) and mpeg.unpack(whole)[0] == bytes(range(256)) * 40
 
 
+def bit_crc(bits):
+    c = 0xFFFF
+    for b in bits:
+        c = (c << 1) ^ (0x8005 if (c >> 15) ^ int(b) else 0)
+        c &= 0xFFFF
+    return c
+
+
+def protected_frame(layer, mode, bits, bitrate=8, version=3, rate=0):
+    """A frame whose checksum covers its header's second half and `bits`, which open its body."""
+    head = (0x7FF << 21 | version << 19 | (4 - layer) << 17 | bitrate << 12 | rate << 10 | mode << 4).to_bytes(4, "big")
+    crc = bit_crc("".join(f"{b:08b}" for b in head[2:]) + bits).to_bytes(2, "big")
+    h = mpeg.header(head)
+    bits += "0" * (-len(bits) % 8)
+    body = int(bits, 2).to_bytes(len(bits) // 8, "big")
+    return head + crc + body + b"\x55" * (h.size - 6 - len(body))
+
+
+def test_media_checksums_of_every_layer():
+    stereo1, joint1, mono1 = "0101" * 64, "0011" * (2 * 8 + 24), "1010" * 32
+    table_b = [4] * 11 + [3] * 12 + [2] * 7
+    alloc = "".join(("0001"[-w:] if i % 2 else "0" * w) * 2 for i, w in enumerate(table_b))
+    joint = "".join(("0001"[-w:] if i % 2 else "0" * w) * (2 if i < 4 else 1) for i, w in enumerate(table_b))
+    lsf = "".join("0001"[-w:] for w in [4] * 4 + [3] * 7 + [2] * 19)
+    for layer, mode, bits, more in (
+        (1, 0, stereo1, {}), (1, 4 + 1, joint1, {}), (1, 12, mono1, {}), (2, 0, alloc + "10" * 30, {"bitrate": 12}), (2, 4, joint + "01" * 30, {"bitrate": 12}),
+        (2, 12, lsf + "11" * 30, {"version": 2}), (3, 0, "1" * 256, {}), (3, 12, "0" * 136, {}),
+    ):
+        frame = protected_frame(layer, mode, bits, **more)
+        s = mpeg.parse(frame * 3)
+        assert (len(s.offsets), s.crc_ok, s.crc_bad, s.skipped) == (3, 3, 0, 0)
+        hurt = bytearray(frame * 3)
+        hurt[len(frame) + 7] ^= 1
+        assert mpeg.parse(bytes(hurt)).crc_bad == 1
+        hurt = bytearray(frame * 3)
+        hurt[2 * len(frame) - 3] ^= 1  # behind what the checksum covers
+        assert mpeg.parse(bytes(hurt)).crc_ok == 3
+
+
+def test_media_tags_and_tables():
+    import struct
+
+    whole, body = mpeg.pack(b"x" * 5000), bytes(range(256)) * 20
+    s = mpeg.parse(whole)
+    assert s.vbr_ok and not mpeg.parse(whole[: s.offsets[-1]]).vbr_ok
+    id3v1 = (b"TAG" + b"Title".ljust(30, b"\0") + b"Someone".ljust(30) + b"Album".ljust(30, b"\0") + b"1999" + b"said".ljust(28, b"\0") + bytes([0, 7, 17]))
+    item = struct.pack("<II", 4, 0) + b"Mood\0calm"
+    ape = lambda flags: b"APETAGEX" + struct.pack("<IIII", 2000, len(item) + 32, 1, flags) + bytes(8)
+    s = mpeg.parse(whole + ape(1 << 31 | 1 << 29) + item + ape(1 << 31) + id3v1)
+    assert s.skipped == 0 and s.vbr_ok and s.tags == {"payload_bytes": "5000", "Mood": "calm", "title": "Title", "artist": "Someone", "album": "Album", "year": "1999", "comment": "said", "track": "7", "genre": "17"}
+    old = b"ID3\x02\0\0\0\0\0\x0f" + b"TT2\0\0\x09" + b"\x01" + "hé".encode("utf-16") + b"\0\0"
+    assert mpeg.parse(old + whole).tags["TT2"] == "hé"
+    assert mpeg.unpack(mpeg.pack(body[:-128] + b"TAG" + body[-125:]))[0] == body[:-128] + b"TAG" + body[-125:]  # payload bytes are no tag
+    frame = next(mpeg.pack(b"y" * 9000)[a:] for a in mpeg.parse(mpeg.pack(b"y" * 9000)).offsets)[:1440]
+    frames = frame * 10
+    for wrong in (0, 1):
+        table = b"".join(struct.pack(">H", 1440 * 2) for _ in range(5))
+        vbri = (frame[:36] + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 0, 1440 * 11, 10 + wrong, 5, 1, 2, 2) + table).ljust(1440, b"\0")
+        s = mpeg.parse(vbri + frames)
+        assert s.vbr["kind"] == "VBRI" and s.vbr["steps"] == [2880] * 5 and len(s.offsets) == 10 and s.vbr_ok == (not wrong)
+    for junk in range(5000):
+        mpeg.header(junk.to_bytes(4, "little"))
+    assert mpeg.header.cache_info().currsize <= 4096 and mpeg.crc16.cache_info().currsize <= 1024
+
+
 # ---- scoring
 
 
