@@ -38,7 +38,7 @@ from .permute import digest, digest_duck, permuted, permuted_duck, sides
 #: word; words in a block; slots in an output shard; rows of a hashed range inside a source; units that a
 #: demand is rounded to a slot; slots permuted in a task.
 WEIGHTS, SHARE, EPOCHS = (5, 2, 1), 1.5, 2
-BLOCK, SHARD_BLOCKS, RANGE_ROWS, UNITS, TASK_SLOTS = 64, 16384, 50_000, 64, 200_000
+BLOCK, SHARD_BLOCKS, RANGE_ROWS, UNITS, TASK_SLOTS = 64, 16384, 500, 64, 200_000
 KEY = "mix-1"
 
 #: Words of a text, as Spark SQL: runs of anything but ASCII white space.
@@ -161,7 +161,7 @@ def slots(known: Plan, shard_blocks: int = SHARD_BLOCKS, key: str = KEY) -> Data
 
 def _used(laid: DataFrame, drawn: DataFrame) -> DataFrame:
     """Slots and blocks joined by index."""
-    s = drawn.withColumnRenamed("sid", "s_sid")
+    s = drawn.withColumnRenamed("sid", "s_sid").hint("merge")  # its rows come of an explode, which size estimates miss: never to be broadcast
     return laid.join(s, (laid.sid == s.s_sid) & (laid.idx == s.block_idx)).drop("s_sid")
 
 
@@ -178,7 +178,7 @@ def taken(docs: DataFrame, **how) -> DataFrame:
     known = plan(sizes, **how)
     numbered = placed(sizes, known)
     used = _used(blocks(numbered, known.block), slots(known)).groupBy("sid", "start").agg(F.sum("words").alias("taken"), F.min("shard").alias("first_shard"))
-    used = used.withColumnsRenamed({"sid": "u_sid", "start": "u_start"})
+    used = used.withColumnsRenamed({"sid": "u_sid", "start": "u_start"}).hint("merge")
     tagged = known.table.selectExpr("sid AS t_sid", "source_size", "target")
     rows = numbered.join(tagged, numbered.sid == tagged.t_sid)
     rows = rows.join(used, (rows.sid == used.u_sid) & (rows.start == used.u_start) & (rows.size > 0), "left")
@@ -212,12 +212,12 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     used = _used(blocks(numbered, known.block), slots(known))
     used = used.groupBy("sid", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts")).selectExpr("sid AS u_sid", "start AS u_start", "parts")
     tagged = numbered.where("size > 0").selectExpr("doc_id AS m_doc", "source AS m_source", "size AS m_size", "sid", "start", "row_number() OVER (PARTITION BY doc_id, source, size ORDER BY start) AS m_nth")
-    tagged = tagged.join(used, (tagged.sid == used.u_sid) & (tagged.start == used.u_start)).select("m_doc", "m_source", "m_size", "m_nth", "parts")
+    tagged = tagged.join(used.hint("merge"), (tagged.sid == used.u_sid) & (tagged.start == used.u_start)).select("m_doc", "m_source", "m_size", "m_nth", "parts")
     names = docs.columns
     doc, source, size, nth, firsts, counts = fresh(names, "doc", "source", "size", "nth", "firsts", "counts")
     rows = docs.select("*", F.expr("CAST(doc_id AS BIGINT)").alias(doc), F.expr("CAST(source AS STRING)").alias(source), F.expr(WORDS).alias(size))
     rows = rows.withColumn(nth, F.expr(f"row_number() OVER (PARTITION BY {doc}, {source}, {size} ORDER BY xxhash64(text))"))
-    rows = rows.join(tagged, rows[doc].eqNullSafe(tagged.m_doc) & rows[source].eqNullSafe(tagged.m_source) & (rows[size] == tagged.m_size) & (rows[nth] == tagged.m_nth))
+    rows = rows.join(tagged.hint("merge"), rows[doc].eqNullSafe(tagged.m_doc) & rows[source].eqNullSafe(tagged.m_source) & (rows[size] == tagged.m_size) & (rows[nth] == tagged.m_nth))
     rows = rows.select(*(rows[f"`{c}`"] for c in names), rows[size], F.col("parts.first").alias(firsts), F.col("parts.words").alias(counts))
     at = names.index("text")
     count = names.index("n_chars") if "n_chars" in names else None
