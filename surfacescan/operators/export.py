@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BYTES = 64 * 1024**2
@@ -13,11 +13,11 @@ MAX_BYTES = 64 * 1024**2
 
 def export_jobs(coverage: DataFrame) -> DataFrame:
     """One row a file and language to export: first and last line, whether whole, and whether others want the same target."""
-    rows = coverage.where("status = 'exportable'").groupBy("package", "file_context", "language").agg(
+    rows = coverage.where("status = 'exportable'").groupBy("package", "version", "file_context", "language").agg(
         F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), F.bool_or(F.col("bytes").isNotNull()).alias("whole"))
     target = F.when(F.col("whole"), F.col("file_context")).otherwise(F.concat_ws(".", "file_context", "language"))
-    rows = rows.withColumn("target", F.concat_ws("/", "package", target))
-    return rows.join(rows.groupBy("target").agg((F.count("*") > 1).alias("collides")), "target")
+    rows = rows.withColumn("target", F.concat_ws("/", "package", "version", target))
+    return rows.withColumn("collides", F.count("*").over(Window.partitionBy("target")) > 1)
 
 
 def unsafe(path: Column) -> Column:
@@ -27,8 +27,8 @@ def unsafe(path: Column) -> Column:
 
 def export_manifest(jobs: DataFrame, files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Jobs with content and `note`, the first thing that speaks against writing (null: none)."""
-    f = files.select(F.col("package").alias("f_package"), F.col("file_context").alias("f_file"), "bytes", "content", "is_symlink")
-    rows = jobs.join(f, (jobs.package == f.f_package) & (jobs.file_context == f.f_file), "left")
+    f = files.select(F.col("package").alias("f_package"), F.col("version").alias("f_version"), F.col("file_context").alias("f_file"), "bytes", "content", "is_symlink")
+    rows = jobs.join(f, (jobs.package == f.f_package) & jobs.version.eqNullSafe(f.f_version) & (jobs.file_context == f.f_file), "left")
     note = (
         F.when(unsafe(F.col("target")), "unsafe path").when(F.col("collides"), "name collides with another export").when(F.col("is_symlink"), "symlink")
         .when(F.col("f_file").isNull(), "unreadable").when(F.col("bytes") > max_bytes, "over max_bytes").when(F.col("content").isNull(), "unreadable")

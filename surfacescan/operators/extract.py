@@ -177,9 +177,14 @@ def extract_segments(readings: DataFrame, extractors: dict[str, Extractor] | Non
             return
         if note:
             yield failed("read_code", note)
-        meta = {"macros": rdsyntax.read_macros(r.macros) if isinstance(r.macros, str) else {}, "errors": []}
         contexts = list(r.code_contexts) if r.code_contexts is not None else []
-        for i, (language, label, body, guarded) in enumerate(extractor(lines, meta)):
+        try:
+            meta = {"macros": rdsyntax.read_macros(r.macros) if isinstance(r.macros, str) else {}, "errors": []}
+            found = list(extractor(lines, meta))
+        except Exception as e:  # an extractor's failure costs its file alone
+            yield failed("extract_segments", f"{type(e).__name__}: {e}")
+            return
+        for i, (language, label, body, guarded) in enumerate(found):
             yield (*key, i, language, label, contexts, body, guarded, None, None)
         for step, why in meta["errors"]:
             yield failed(step, why)
@@ -204,8 +209,8 @@ def parse_segments(segments: DataFrame) -> DataFrame:
                 key = tuple(getattr(r, k) for k in keys)
                 try:
                     found = [(*key, *n, None) for n in rsyntax.rows(rsyntax.parse("\n".join(r.lines) or "\n"))]
-                except rsyntax.RSyntaxError as e:
-                    found = [(*key, *[None] * (len(cols) - len(keys) - 1), str(e))]
+                except Exception as e:  # not R, or beyond the parser: costs its segment alone
+                    found = [(*key, *[None] * (len(cols) - len(keys) - 1), str(e) or type(e).__name__)]
                 out = pd.DataFrame(found, columns=cols)
                 for c in ("pre", "size", "parent", "gparent", "ord", "depth", "line1", "col1", "line2", "col2"):
                     out[c] = out[c].astype("Int32")

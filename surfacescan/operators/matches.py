@@ -29,7 +29,9 @@ def find_matches(segments: DataFrame, rules: RuleBase, language: str = "shell")
     """
     lines = lines_of(segments.where(F.col("language") == language))
     use = sorted(rules_for(rules, language), key=lambda r: r["name"])
-    hits = lines.where(" OR ".join(f"({may_match('line', r['needs'])} AND line RLIKE {regex_literal(r['regex'])})" for r in use) or "false")
+    # As a lambda the condition is evaluated rule by rule: generated code of all rules in one method is too long for the JVM to compile.
+    some = " OR ".join(f"({may_match('x', r['needs'])} AND x RLIKE {regex_literal(r['regex'])})" for r in use) or "false"
+    hits = lines.where(f"exists(array(line), x -> {some})")
     structs = [
         f"transform({match_columns('line', r['regex'], r['needs'])}, c -> named_struct('rule', '{r['name']}', 'message', '{r['message'].replace("'", chr(92) + "'")}', 'attck', '{r['attck']}', 'c', c))"
         for r in use

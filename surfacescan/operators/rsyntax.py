@@ -57,7 +57,7 @@ _TOKEN = re.compile(
     r"(?P<space>[ \t\f\r ]+)|(?P<comment>\#[^\n]*)|(?P<newline>\n)"
     r"|(?P<raw>[rR](?P<q>[\"'])(?P<dash>-*)(?P<open>[\(\[\{]))"
     r"|(?P<number>0[xX][0-9a-fA-F]+(?:\.[0-9a-fA-F]*)?(?:[pP][+-]?\d+)?[Li]?|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?[Li]?)"
-    r"|(?P<name>(?:[^\W\d_]|\.(?!\d))[\w.]*)|(?P<string>\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*')|(?P<tick>`(?:[^`\\]|\\.)+`)|(?P<special>%[^%\n]*%)"
+    r"|(?P<hold>_(?![\w.]))|(?P<name>(?:[^\W\d_]|\.(?!\d))[\w.]*)|(?P<string>\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*')|(?P<tick>`(?:[^`\\]|\\.)+`)|(?P<special>%[^%\n]*%)"
     r"|(?P<sign><<-|->>|:::|<-|->|:=|<=|>=|==|!=|&&|\|\||\|>|=>|::|\[\[|\*\*|[=<>&|!+\-*/^~?:$@(){}\[\],;\\])",
     re.DOTALL,
 )
@@ -93,6 +93,8 @@ def tokens(text: str) -> list[Token]:
             add(WORDS.get(body, "SYMBOL"), body)
         elif kind in ("string", "tick", "number", "special"):
             add({"string": "STR_CONST", "tick": "SYMBOL", "number": "NUM_CONST", "special": "SPECIAL"}[kind], body)
+        elif kind == "hold":
+            add("PLACEHOLDER", body)
         elif kind == "sign":
             add(SIGNS[body], body)
         at += len(body)
@@ -102,7 +104,7 @@ def tokens(text: str) -> list[Token]:
 
 class _Parser:
     def __init__(self, text: str):
-        self.tokens, self.at, self.inside = tokens(text), 0, ["{"]
+        self.tokens, self.at, self.inside, self.piped = tokens(text), 0, ["{"], 0
 
     # -- tokens
 
@@ -152,7 +154,9 @@ class _Parser:
                 return left
             sign = self.take()
             self.skip()
+            self.piped += t.tag == "PIPE"
             right = self.expression(power[1])
+            self.piped -= t.tag == "PIPE"
             compared = t.tag in COMPARES and self.peek().tag in COMPARES
             if compared:
                 raise RSyntaxError(f"unexpected {self.peek().text!r} at line {t.line}")
@@ -161,6 +165,8 @@ class _Parser:
     def primary(self) -> Node:
         t = self.skip() if self.inside[-1] != "{" else self.peek()
         tag = t.tag
+        if tag == "PLACEHOLDER" and self.piped:
+            return Node("expr", [self.take()])
         if tag in ("NUM_CONST", "STR_CONST", "NULL_CONST", "SYMBOL"):
             first = self.take()
             if tag in ("SYMBOL", "STR_CONST") and self.peek().tag in ("NS_GET", "NS_GET_INT"):

@@ -1,4 +1,4 @@
-"""SARIF 2.1.0 documents, one a package."""
+"""SARIF 2.1.0 documents, one a package and version."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import PHASES
 
+KEYS = ["package", "version"]
 SCHEMA_URI = "https://json.schemastore.org/sarif-2.1.0.json"
 
 
@@ -17,7 +18,7 @@ def sarif_findings(file_contexts: DataFrame, patterns: DataFrame, matches: DataF
     def part(df: DataFrame, prefix: str, line: bool, code: bool) -> DataFrame:
         phases = F.filter(F.array(*(F.when(F.col(p), F.lit(p)) for p in PHASES)), lambda x: x.isNotNull())
         return df.select(
-            "package", F.concat(F.lit(prefix), F.col("rule")).alias("id"), "rule", "file_context", (F.col("line_number") if line else none("int")).alias("line"),
+            "package", "version", F.concat(F.lit(prefix), F.col("rule")).alias("id"), "rule", "file_context", (F.col("line_number") if line else none("int")).alias("line"),
             (F.col("column_number") if line else none("int")).alias("column"), (F.col("preview") if line else none("string")).alias("preview"), "message",
             (F.col("attck") if line else none("string")).alias("attck"), phases.alias("phases"), (F.col("code_context") if code else none("string")).alias("code_context"),
             (F.col("guarded") if code else none("boolean")).alias("guarded"), (F.col("indirect") if code else none("boolean")).alias("indirect"),
@@ -28,7 +29,7 @@ def sarif_findings(file_contexts: DataFrame, patterns: DataFrame, matches: DataF
 
 def fingerprints(found: DataFrame) -> DataFrame:
     """found with fingerprint: a hash of what and where without line numbers, and which occurrence of it this is."""
-    key = ["package", "id", "file_context", "code_context", "preview"]
+    key = [*KEYS, "id", "file_context", "code_context", "preview"]
     nth = F.row_number().over(Window.partitionBy(*key).orderBy("line", "column"))
     text = F.concat_ws("\r", "id", "file_context", F.coalesce("code_context", F.lit("")), F.coalesce("preview", F.lit("")), nth.cast("string"))
     return found.withColumn("fingerprint", F.sha2(text, 256))
@@ -38,17 +39,17 @@ def descriptors(found: DataFrame) -> DataFrame:
     """One row a rule that has findings: id, name, message and its technique tags."""
     first = F.min(F.struct("file_context", F.coalesce("line", F.lit(0)).alias("l"), F.coalesce("column", F.lit(0)).alias("c"), "rule", "message", "attck")).alias("f")
     tags = F.filter(F.split(F.coalesce("f.attck", F.lit("")), r"\s+"), lambda x: x != "")
-    return found.groupBy("package", "id").agg(first).select("package", "id", F.col("f.rule").alias("name"), F.col("f.message").alias("message"), tags.alias("tags"))
+    return found.groupBy(*KEYS, "id").agg(first).select(*KEYS, "id", F.col("f.rule").alias("name"), F.col("f.message").alias("message"), tags.alias("tags"))
 
 
 def artifacts(coverage: DataFrame) -> DataFrame:
     """One row a file: its first coverage row."""
     first = F.min(F.struct(F.coalesce("first_line", F.lit(0)).alias("l"), F.col("bytes").isNull().alias("span"), "status", "reason", "language", "lines", "bytes")).alias("f")
-    return coverage.groupBy("package", "file_context").agg(first).select("package", "file_context", *(F.col(f"f.{c}").alias(c) for c in ("status", "reason", "language", "lines", "bytes")))
+    return coverage.groupBy(*KEYS, "file_context").agg(first).select(*KEYS, "file_context", *(F.col(f"f.{c}").alias(c) for c in ("status", "reason", "language", "lines", "bytes")))
 
 
 def emit_sarif(audit) -> DataFrame:
-    """package, sarif (JSON text). One package's findings meet in one row: the document."""
+    """package, version, sarif (JSON text). One package's findings meet in one row: the document."""
     found = fingerprints(sarif_findings(audit.file_contexts, audit.patterns, audit.matches))
     region = F.when(F.col("line").isNotNull(), F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn")))
     place = F.struct(F.struct(F.struct(F.col("file_context").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
@@ -59,17 +60,18 @@ def emit_sarif(audit) -> DataFrame:
     )
     ordered = F.struct("id", "file_context", F.coalesce("line", F.lit(0)).alias("l"), F.coalesce("column", F.lit(0)).alias("c"), F.to_json(result).alias("j"))
     listed = lambda c, name: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["j"]), ","), F.lit("]")).alias(name)
-    results = found.groupBy("package").agg(listed(ordered, "results"))
+    results = found.groupBy(*KEYS).agg(listed(ordered, "results"))
     rule = F.struct("id", "name", F.struct(F.col("message").alias("text")).alias("shortDescription"), F.struct("tags").alias("properties"))
-    rules = descriptors(found).groupBy("package").agg(listed(F.struct("id", F.to_json(rule).alias("j")), "rules"))
+    rules = descriptors(found).groupBy(*KEYS).agg(listed(F.struct("id", F.to_json(rule).alias("j")), "rules"))
     keep = {"ignoreNullFields": "false"}
     art = F.struct(F.struct(F.col("file_context").alias("uri")).alias("location"), F.struct("status", "reason", "language", "lines", "bytes").alias("properties"))
-    arts = artifacts(audit.coverage).groupBy("package").agg(listed(F.struct("file_context", F.to_json(art, keep).alias("j")), "artifacts"))
+    arts = artifacts(audit.coverage).groupBy(*KEYS).agg(listed(F.struct("file_context", F.to_json(art, keep).alias("j")), "artifacts"))
     note = F.struct(F.lit("error").alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.struct("step", "file_context", "rule").alias("properties"))
-    notes = audit.errors.groupBy("package").agg(listed(F.struct("step", "file_context", F.to_json(note).alias("j")), "notes"))
-    rows = audit.scans.select("package", "engine_version", "rules_version", "rules_sha256", "scanned", "pkg_name", "pkg_version", "pkg_sha256")
+    notes = audit.errors.groupBy(*KEYS).agg(listed(F.struct("step", "file_context", F.to_json(note).alias("j")), "notes"))
+    rows = audit.scans.select(*KEYS, "engine_version", "rules_version", "rules_sha256", "scanned", "pkg_name", "pkg_version", "pkg_sha256")
     for df in (results, rules, arts, notes):
-        rows = rows.join(df, "package", "left")
+        right = df.withColumnsRenamed({k: f"r_{k}" for k in KEYS})
+        rows = rows.join(right, [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in KEYS], "left").drop(*(f"r_{k}" for k in KEYS))
     part = lambda c: F.coalesce(c, F.lit("[]"))
     driver = F.to_json(F.struct(F.lit("surfacescan").alias("name"), F.col("engine_version").alias("version")))
     properties = F.to_json(F.struct("pkg_name", "pkg_version", "pkg_sha256", "rules_version", "rules_sha256", "scanned"))
@@ -78,4 +80,4 @@ def emit_sarif(audit) -> DataFrame:
         F.lit('}},"invocations":[{"executionSuccessful":true,"toolExecutionNotifications":'), part("notes"), F.lit('}],"artifacts":'), part("artifacts"), F.lit(',"results":'), part("results"),
         F.lit(',"properties":'), F.col("p"), F.lit("}]}"),
     )
-    return rows.withColumn("d", driver).withColumn("p", properties).select("package", body.alias("sarif"))
+    return rows.withColumn("d", driver).withColumn("p", properties).select(*KEYS, body.alias("sarif"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from ..functions.findings import preview
 from ..functions.paths import over_limit
 from ..operators import claims, coverage, extract, matches, patterns, phases
 from ..rules import RuleBase, default_rules
+from ..rules.base import engine_regex_problem
 
 ENGINE_VERSION = "0.1.0"
 KEYS = ["package", "version", "file_context"]
@@ -59,14 +60,15 @@ def manifest(files: DataFrame, excluded: tuple[str, ...] = (r"^\.git/", r"^\.Rpr
 def description(files: DataFrame) -> DataFrame:
     """Package and Version that each DESCRIPTION states in its first record; null where it does not."""
     text = F.split(F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n"), r"\n\s*\n").getItem(0)
+    text = F.regexp_replace(text, r"\n[ \t]+", " ")  # continuation lines
     of = lambda name: F.trim(F.nullif(F.regexp_extract(text, rf"(?m)^{name}:[ \t]*(.*)$", 1), F.lit("")))
     return files.where("file_context = 'DESCRIPTION'").select("package", "version", of("Package").alias("desc_name"), of("Version").alias("desc_version"))
 
 
 def scans(files: DataFrame, rules: RuleBase, scanned: str, path: str | None = None, tarball: bool = False) -> DataFrame:
     """Nine facts on each package's scan; scanned: the time, as ISO text."""
-    m, d = manifest(files).select("package", "version", "hash"), description(files).drop("version").withColumnRenamed("package", "d_package")
-    rows = m.join(d, m.package == d.d_package, "left")
+    m, d = manifest(files).select("package", "version", "hash"), description(files).withColumnsRenamed({"package": "d_package", "version": "d_version"})
+    rows = m.join(d, m.package.eqNullSafe(d.d_package) & m.version.eqNullSafe(d.d_version), "left")
     p = rules.provenance
     return rows.select(
         "package", "version", F.col("desc_name").alias("pkg_name"), F.col("desc_version").alias("pkg_version"), F.lit(path).cast("string").alias("pkg_path"), F.lit(tarball).alias("pkg_is_tarball"),
@@ -75,24 +77,38 @@ def scans(files: DataFrame, rules: RuleBase, scanned: str, path: str | None = No
     )
 
 
+def rule_errors(files: DataFrame, rules: RuleBase) -> tuple[RuleBase, DataFrame]:
+    """The rules without those whose expressions the engine refuses, and an error row for each of these and each package."""
+    broken = []
+    for table, column, step in (("file_contexts", "filename", "find_file_contexts"), ("matches", "regex", "find_matches")):
+        broken += [(table, step, r["name"], why) for r in getattr(rules, table) if (why := engine_regex_problem(files.sparkSession, r[column]))]
+    keep = replace(rules, **{t: [r for r in getattr(rules, t) if (t, r["name"]) not in {(b[0], b[2]) for b in broken}] for t in ("file_contexts", "matches")})
+    rows = [F.struct(F.lit(step).alias("step"), F.lit(None).cast("string").alias("file_context"), F.lit(name).alias("rule"), F.lit(why).alias("message")) for _, step, name, why in broken]
+    none = "array<struct<step:string,file_context:string,rule:string,message:string>>"
+    packages = files.select("package", "version").distinct()
+    return keep, packages.select("package", "version", F.inline(F.array(*rows).cast(none)))
+
+
 def audit(files: DataFrame, rules: RuleBase | None = None, scanned: str = "1970-01-01T00:00:00Z", extractors: dict | None = None, analyzers: dict | None = None, persist: bool = True) -> Audit:
     """Audit all packages in `files`.
 
     extractors: file type to extractor, beside the built-in ones. analyzers: language to a function from
     its segments to findings with the columns of matches but the phases; further columns go.
 
+    What fails costs itself alone: a rule, a file or an analyzer that fails gives an error row.
+
     Content is read by one map-only stage; segments and nodes, which several branches read, are kept
     in memory or on disk (persist) and computed again where an executor is lost.
     """
-    rules = rules or default_rules()
+    rules, failed = rule_errors(files, rules or default_rules())
     spark = files.sparkSession
     lookup = rules.frame(spark, "phases")
     found = claims.find_file_contexts(files, rules)
     scan = claims.scan_set(found)
-    macros = files.where("file_context LIKE 'man/macros/%.Rd'").groupBy("package").agg(F.array_join(F.sort_array(F.collect_list(F.decode("content", "UTF-8"))), "\n").alias("macros")).withColumnRenamed("package", "m_package")
+    macros = files.where("file_context LIKE 'man/macros/%.Rd'").groupBy("package", "version").agg(F.array_join(F.sort_array(F.collect_list(F.decode("content", "UTF-8"))), "\n").alias("macros")).withColumnsRenamed({"package": "m_package", "version": "m_version"})
     body = files.select(*(F.col(k).alias(f"b_{k}") for k in KEYS), "content", "bytes")
     readings = scan.join(body, [scan[k].eqNullSafe(body[f"b_{k}"]) for k in KEYS]).where(over_limit(F.col("bytes")) | F.col("content").isNotNull())
-    readings = readings.join(macros, F.col("package") == F.col("m_package"), "left").select(*KEYS, "type", "rule", "code_contexts", "content", "bytes", "macros")
+    readings = readings.join(macros, F.col("package").eqNullSafe(F.col("m_package")) & F.col("version").eqNullSafe(F.col("m_version")), "left").select(*KEYS, "type", "rule", "code_contexts", "content", "bytes", "macros")
     all_segments = extract.extract_segments(readings, extractors)
     all_segments = all_segments.persist() if persist else all_segments
     segments = all_segments.where("step IS NULL")
@@ -121,12 +137,16 @@ def audit(files: DataFrame, rules: RuleBase | None = None, scanned: str = "1970-
     # Matches.
     lined = matches.find_matches(segments, rules)
     for language, analyzer in (analyzers or {}).items():
-        lined = lined.unionByName(schemas.conform(analyzer(segments.where(F.col("language") == language)), schemas.LINE_FINDINGS))
+        try:
+            lined = lined.unionByName(schemas.conform(analyzer(segments.where(F.col("language") == language)), schemas.LINE_FINDINGS))
+        except Exception as e:
+            row = F.struct(F.lit("find_matches").alias("step"), F.lit(None).cast("string").alias("file_context"), F.lit(language).alias("rule"), F.lit(f"{type(e).__name__}: {str(e)[:500]}").alias("message"))
+            failed = failed.unionByName(files.select("package", "version").distinct().select("package", "version", F.inline(F.array(row))))
     match_rows = phases.resolve_match_phases(lined, phases.file_phases(found, lookup))
 
     # Errors and coverage.
     syntax = all_nodes.where("message IS NOT NULL").select("package", "version", F.lit("parse_code").alias("step"), "file_context", "rule", "message")
-    errors = _errors(all_segments.where("step IS NOT NULL")).unionByName(syntax)
+    errors = _errors(all_segments.where("step IS NOT NULL")).unionByName(syntax).unionByName(_errors(failed))
     scanned_as = scan.groupBy(*KEYS).agg(F.min("type").alias("read_as"))
     text = F.regexp_replace(F.decode("content", "ISO-8859-1"), "\r\n?", "\n")
     n_lines = files.where("content IS NOT NULL").select(*KEYS, text.alias("t")).selectExpr(*KEYS, r"length(t) - length(replace(t, '\n', '')) + IF(t = '' OR endswith(t, '\n'), 0, 1) AS n_lines")

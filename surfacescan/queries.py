@@ -11,11 +11,11 @@ from .functions import paths
 from .functions.findings import in_phase
 from .operators import claims, coverage, export, extract, matches, patterns, phases, report, sarif
 from .plans import corpus
-from .plans.audit import audit, manifest
-from .rules import default_rules
+from .plans.audit import audit, manifest, rule_errors
+from .rules import RuleBase, default_rules
 from .schemas import PHASES, STATUSES
 from .sources.archive import validate_entries
-from .virtual import PATHS, SNIPPETS, VFILES, VFINDINGS, VLINES, VNODES, table, vfiles, vfindings, vnodes, vsegments
+from .virtual import CODE, N, SNIPPETS, VFILES, VFINDINGS, VLINES, VNODES, table, vcode, vfiles, vfindings, vnodes, vsegments
 
 RULES = default_rules()
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,9 +144,9 @@ def _(s, d):
 
 
 @query("coverage_merge_spans", f"""{_COVER} SELECT package, file_context, language, status, reason, lines, rule FROM covered UNION ALL
-SELECT v.package, v.file_context, 'python', 'exportable', 'no_analyzer', 1, c.rule FROM vfiles v LEFT JOIN claiming c USING (package, file_context) WHERE v.doc_id % 24 = 2""")
+SELECT v.package, v.file_context, 'python', 'exportable', 'no_analyzer', 1, c.rule FROM vfiles v LEFT JOIN claiming c USING (package, file_context) WHERE v.doc_id % {N} = 2""")
 def _(s, d):
-    spans = vfiles(s, d).where("doc_id % 24 = 2").selectExpr("package", "version", "file_context", "'python' AS language", "array('', 'x', '') AS lines")
+    spans = vfiles(s, d).where(f"doc_id % {N} = 2").selectExpr("package", "version", "file_context", "'python' AS language", "array('', 'x', '') AS lines")
     return coverage.merge_coverage(_coverage(s, d), coverage.segment_spans(spans), _found(s, d)).select("package", "file_context", "language", "status", "reason", "lines", "rule")
 
 
@@ -158,7 +158,7 @@ def _(s, d):
 
 @query("export_jobs", f"{_COVER} SELECT package, file_context, language, min(1) AS first_line, max(lines) AS last_line, true AS whole, package || '/' || file_context AS target, false AS collides FROM covered WHERE status = 'exportable' GROUP BY ALL")
 def _(s, d):
-    return export.export_jobs(_coverage(s, d))
+    return export.export_jobs(_coverage(s, d)).drop("version")
 
 
 @query("export_manifest", f"""{_COVER} SELECT c.package || '/' || file_context AS path, file_context, CASE WHEN bytes > 2000 THEN 'over max_bytes' END AS note FROM covered c WHERE status = 'exportable'""")
@@ -168,7 +168,7 @@ def _(s, d):
 
 @query("sarif_artifacts", f"{_COVER} SELECT package, file_context, status, reason, language, lines, bytes FROM covered")
 def _(s, d):
-    return sarif.artifacts(_coverage(s, d))
+    return sarif.artifacts(_coverage(s, d)).drop("version")
 
 
 @query("read_lines", f"WITH {VFILES}, {VLINES} SELECT package, file_context, line_number, line FROM vlines")
@@ -385,9 +385,9 @@ def _(s, d):
     return corpus.proportion_hits(vfindings(s, d))
 
 
-@query("proportion_packages", f"WITH {VFINDINGS} SELECT rule, count(DISTINCT package) AS n, count(DISTINCT package) / 40 * 100 AS percent FROM vfindings WHERE event_id % 50 = 0 GROUP BY rule")
+@query("proportion_packages", f"WITH {VFINDINGS}, f AS (SELECT rule, event_id % (3 * length(rule)) AS package FROM vfindings) SELECT rule, count(DISTINCT package) AS n, count(DISTINCT package) / 40 * 100 AS percent FROM f GROUP BY rule")
 def _(s, d):
-    return corpus.proportion_packages(vfindings(s, d).where("event_id % 50 = 0"), 40)
+    return corpus.proportion_packages(vfindings(s, d).withColumn("package", F.expr("event_id % (3 * length(rule))")), 40)
 
 
 @query("provenance_mismatch", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN concat('name is ', c_name, 'x') ELSE concat('version is ', c_nationkey + 1) END AS message FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 7 = 0 AND c_custkey % 5 <> 0")
@@ -440,6 +440,34 @@ def _(s, d):
     return corpus.dependency_closure(edges, t.where("p_partkey % 97 = 0").selectExpr("concat('p', p_partkey) AS package"))
 
 
+_EXPECTED = _values("expected", "k, a, b, rule, line_number, column_number, code_context, indirect", [(k, a, b, *f) for k, (a, b, _, found) in enumerate(CODE) for f in found])
+
+
+@query("pattern_findings", f"""WITH {_EXPECTED} SELECT concat('p', doc_id // 100) AS package, concat(a, doc_id, b) AS file_context, rule, line_number, column_number, code_context, indirect
+FROM documents JOIN expected ON doc_id % {len(CODE)} = k""")
+def _(s, d):
+    return audit(vcode(s, d), RULES, persist=False).patterns.select("package", "file_context", "rule", "line_number", "column_number", "code_context", "indirect")
+
+
+def _broken() -> RuleBase:
+    """The rules with a file rule, a line rule and nothing else broken."""
+    rules = default_rules()
+    rules.file_contexts.append(rules.file_contexts[0] | {"name": "bad_file", "filename": "(?<x"})
+    rules.matches.append(rules.matches[0] | {"name": "bad_line", "regex": "a{2,1}"})
+    return rules
+
+
+@query("broken_rules", f"WITH {VFILES} SELECT package, step, rule, CAST(NULL AS VARCHAR) AS file_context FROM (SELECT DISTINCT package FROM vfiles), (VALUES ('find_file_contexts', 'bad_file'), ('find_matches', 'bad_line')) AS b(step, rule)")
+def _(s, d):
+    return rule_errors(vfiles(s, d), _broken())[1].select("package", "step", "rule", "file_context")
+
+
+@query("matches_beside_broken_rules", f"WITH {VFILES}, {VLINES} SELECT {_RULED} AS rule, CAST(count(*) AS BIGINT) AS n FROM vlines WHERE k < {len(SNIPPETS) - 1} GROUP BY ALL")
+def _(s, d):
+    rules, _ = rule_errors(vfiles(s, d), _broken())
+    return matches.find_matches(vsegments(s, d), rules).groupBy("rule").agg(F.count("*").alias("n"))
+
+
 # What SQL cannot express: extraction, parsing and the whole audit; tests hold these against known results.
 
 
@@ -473,6 +501,3 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
-
-
-assert len(PATHS) == 24

@@ -99,6 +99,15 @@ def java_regex_problem(rx: str) -> str | None:
     return "matches the empty string" if plain.match("") else None
 
 
+def engine_regex_problem(spark: SparkSession, rx: str) -> str | None:
+    """Why the engine itself refuses an expression, if it does."""
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(rx)
+    except Exception as e:
+        return f"does not compile: {str(getattr(e, 'java_exception', e)).splitlines()[0]}"
+    return None
+
+
 def validate_rules(base: RuleBase) -> list[str]:
     """Raise ValueError on the first broken rule; return warnings about unexpected fields."""
     warned, contexts = [], {r["name"] for r in base.code_contexts}

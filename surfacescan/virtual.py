@@ -1,6 +1,6 @@
 """The driver's tables seen as packages, lines, findings and nodes, so that the operators can run on them and be checked by SQL.
 
-Each package holds 24 documents, one at each path of PATHS. Every view has a Spark form and a DuckDB form.
+Each package holds a document at each path of PATHS, and every file rule claims one of these. Every view has a Spark form and a DuckDB form.
 """
 
 from __future__ import annotations
@@ -12,7 +12,11 @@ from .schemas import PHASES
 PATHS = (
     "R/code.R", "man/page.Rd", "vignettes/intro.Rmd", "src/code.c", "src/Makevars", "configure", "data/set.rda", "tests/testthat/test-a.R", "exec/run.sh", "inst/www/app.js", "misc/notes.R",
     "DESCRIPTION", "inst/img.png", "cleanup", "src/deep/util.cpp", ".Rprofile", "misc/configure", "README.md", "inst/CITATION", "tools/x.py", "demo/d.R", "R/sysdata.rda", "src/Makefile.win", ".git/config",
+    "R/unix/u.R", "R/windows/w.R", "cleanup.ucrt", "cleanup.win", "configure.ac", "configure.in", "configure.ucrt", "configure.win", "data/make.R", "exec/tool.py", "exec/tool.R", "inst/tests/t.R", "inst/tinytest/t.R",
+    "inst/unitTests/t.R", "man/unix/u.Rd", "man/windows/w.Rd", "src/install.libs.R", "src/Makefile", "src/Makefile.ucrt", "src/Makevars.in", "src/Makevars.ucrt", "src/Makevars.win", "tests/all.R", "tools/build.R",
+    "vignettes/book.qmd", "vignettes/old.Rnw", "vignettes/page.rsp",
 )
+N = len(PATHS)
 #: One line finding of each rule, by the remainder of (31 * doc_id + line) that gets it appended; the last is none.
 SNIPPETS = (
     ("chmod", "chmod 777 f"), ("credentials", ".netrc"), ("curl", "curl -s x"), ("decoding", "base64 --decode f"), ("install", "pip install x"), ("interpreter", "python x"), ("persistence", "crontab"),
@@ -26,7 +30,8 @@ def _case(subject: str, pairs: list[tuple[object, str]], other: str) -> str:
     return f"CASE {subject} " + " ".join(f"WHEN {k} THEN {v}" for k, v in pairs) + f" ELSE {other} END"
 
 
-PATH = _case("doc_id % 24", [(i, f"'{p}'") for i, p in enumerate(PATHS[:-1])], f"'{PATHS[-1]}'")
+_PATHS = ", ".join(f"'{p}'" for p in PATHS)
+PATH, PATH_DUCK = f"element_at(array({_PATHS}), CAST(doc_id % {N} AS INT) + 1)", f"list_extract([{_PATHS}], doc_id % {N} + 1)"
 INJECTED = _case("(doc_id * 31 + n) % 19", [(i, f"concat(line, ' && {s}')") for i, (_, s) in enumerate(SNIPPETS)], "line")
 
 
@@ -36,12 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def vfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(
-        "concat(source, '-', doc_id DIV 24) AS package", "CAST(NULL AS STRING) AS version", f"{PATH} AS file_context", "CAST(octet_length(text) AS BIGINT) AS bytes", "CAST(text AS BINARY) AS content",
+        f"concat(source, '-', doc_id DIV {N}) AS package", "CAST(NULL AS STRING) AS version", f"{PATH} AS file_context", "CAST(octet_length(text) AS BIGINT) AS bytes", "CAST(text AS BINARY) AS content",
         "doc_id % 97 = 5 AS is_symlink", "doc_id", "text",
     )
 
 
-VFILES = f"vfiles AS (SELECT concat(source, '-', doc_id // 24) AS package, {PATH} AS file_context, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, doc_id % 97 = 5 AS is_symlink, doc_id, text FROM documents)"
+VFILES = f"vfiles AS (SELECT concat(source, '-', doc_id // {N}) AS package, {PATH_DUCK} AS file_context, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, doc_id % 97 = 5 AS is_symlink, doc_id, text FROM documents)"
 
 
 def vsegments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,3 +105,41 @@ def _split(columns: str) -> list[str]:
 
 
 VNODES = f"vnodes AS (SELECT 'p' AS package, {_NODE} FROM lineitem)"
+
+
+#: R code at a path (before and after the number of its document) with the findings that it must give: rule, line, column, code context, whether indirect.
+CODE = [
+    *(("tests/f", ".R", f"x <- {f}(y)", [(rule, 1, 6, "top_level", False)]) for rule, f in (
+        ("chmod", "Sys.chmod"), ("curl", "curl_download"), ("decoding", "base64decode"), ("deserialization", "readRDS"), ("download_file", "download.file"), ("dynload", "dyn.load"), ("fs", "file_chown"),
+        ("httr", "POST"), ("httr2", "req_perform"), ("install", "install.packages"), ("namespace", "unlockBinding"), ("python", "py_eval"), ("rcurl", "getForm"), ("socket", "make.socket"), ("source", "source"),
+        ("system", "system2"), ("system_callr", "r_bg"), ("system_sys", "exec_wait"))),
+    ("tests/f", ".R", "rawToChar(as.raw(c(1, 2)))", [("decoding", 1, 1, "top_level", False)]),
+    ("tests/f", ".R", "1\neval(parse(text = rawToChar(x)))", [("eval_parse", 2, 1, "top_level", False)]),
+    ("tests/f", ".R", "options(repos = c(a = 'b'))", [("options_repos", 1, 1, "top_level", False)]),
+    ("tests/f", ".R", "y <- '~/.bashrc'", [("persistence", 1, 6, "top_level", False)]),
+    ("tests/f", ".R", "k = Sys.getenv('GITHUB_TOKEN')", [("credentials", 1, 5, "top_level", False)]),
+    ("tests/f", ".R", "process$new('a')", [("system_processx", 1, 1, "top_level", False)]),
+    ("tests/f", ".R", "y |> lapply(X = _)\nsystem('a')", [("system", 2, 1, "top_level", False)]),
+    ("tests/f", ".R", "x$system('a'); install('x'); eval(x); list(digits = 3)", []),
+    ("tests/f", ".R", "do.call('system', list('a'))", [("system", 1, 9, "top_level", True)]),
+    ("tests/f", ".R", "match.fun(FUN = 'unserialize')(y)", [("deserialization", 1, 17, "top_level", True)]),
+    ("R/f", ".R", "g <- function(a) {\n  url(a)\n}", [("download_file", 2, 3, "in_function", False)]),
+    *(("R/f", ".R", f"{name} <- function(l, p) {{\n  system('x')\n}}", [("system", 2, 3, context, False)]) for name, context in (
+        (".onLoad", "onLoad_base"), (".onAttach", "onAttach_base"), (".onDetach", "onDetach_base"), (".onUnload", "onUnload_base"), (".Last.lib", "LastLib_base"))),
+    ("R/f", ".R", "on_load(\n  source('x'))", [("source", 2, 3, "on_load_rlang", False)]),
+    ("man/f", ".Rd", "\\name{f}\n\\examples{\nunserialize(u)\n}", [("deserialization", 3, 1, "Rd_examples", False)]),
+    *(("man/f", ".Rd", f"\\name{{f}}\n\\description{{\n\\Sexpr[stage={stage}]{{GET(u)}}\n}}", [("httr", 3, 16 + len(stage), f"Rd_Sexpr_{stage}", False)]) for stage in ("build", "install", "render")),
+    ("vignettes/f", ".Rmd", "text\n```{r}\nsystem('a')\n```", [("system", 3, 1, "top_level", False)]),
+    ("vignettes/f", ".qmd", "```{r}\n#| echo: false\nshell('a')\n```", [("system", 3, 1, "top_level", False)]),
+    ("vignettes/f", ".Rnw", "<<>>=\npipe('a')\n@", [("system", 2, 1, "top_level", False)]),
+    ("vignettes/f", ".rsp", "a <% source('b') %>", [("source", 1, 6, "top_level", False)]),
+]
+
+
+def vcode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file with one of the pieces of CODE, a hundred to a package."""
+    texts = spark.createDataFrame([(k, a, b, code) for k, (a, b, code, _) in enumerate(CODE)], "k int, a string, b string, code string")
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", f"CAST(doc_id % {len(CODE)} AS INT) AS k").join(texts, "k")
+    return rows.selectExpr(
+        "concat('p', doc_id DIV 100) AS package", "CAST(NULL AS STRING) AS version", "concat(a, doc_id, b) AS file_context", "CAST(octet_length(code) AS BIGINT) AS bytes", "CAST(code AS BINARY) AS content", "false AS is_symlink"
+    )

@@ -3,7 +3,7 @@ from oracle import DATA, duck, rows
 
 from surfacescan.queries import oracle_sql, queries
 
-SOME = ["claim_files", "claiming_rule", "path_parts", "coverage_frame", "match_positions", "match_preview", "match_phases", "pattern_phases", "innermost_context", "calls_below", "summarize_findings", "summarize_coverage", "hash_manifest", "sarif_fingerprints", "quantiles", "provenance_mismatch", "dependency_closure"]
+SOME = ["claim_files", "claiming_rule", "path_parts", "coverage_frame", "match_positions", "match_preview", "match_phases", "pattern_phases", "innermost_context", "calls_below", "summarize_findings", "summarize_coverage", "hash_manifest", "sarif_fingerprints", "quantiles", "provenance_mismatch", "dependency_closure", "pattern_findings", "broken_rules", "matches_beside_broken_rules", "proportion_packages", "export_jobs", "sarif_artifacts"]
 
 
 @pytest.mark.parametrize("name", SOME)

@@ -42,3 +42,11 @@ def test_columns_are_characters():
 def test_deep_nesting_is_an_error_not_a_crash():
     with pytest.raises(RSyntaxError):
         parse("(" * 100_000)
+
+
+def test_pipe_placeholder():
+    tree = parse("x |> f(y = _)\nx |> f(y = _) |> g(z = _$a)\nsystem(1)")
+    assert [r[7] for r in rows(tree) if r[6] == "SYMBOL_FUNCTION_CALL"] == ["f", "f", "g", "system"]
+    for bad in ("_", "f(y = _)", "_ + 1", "x |> f(y = _); _"):
+        with pytest.raises(RSyntaxError):
+            parse(bad)
