@@ -51,9 +51,11 @@ def fresh(taken: list[str], *wanted: str) -> list[str]:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where it is unset, a local one (tests)."""
+    """The shared folder named by spark.checkpoint.dir; where it is unset, a local one in local mode (tests) and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
         root = os.environ.get("SURFACESCAN_CHECKPOINTS") or tempfile.mkdtemp(prefix="checkpoints-")
         os.environ["SURFACESCAN_CHECKPOINTS"] = root
         spark.conf.set("spark.checkpoint.dir", root)
