@@ -49,7 +49,7 @@ N, THRESHOLD = 4, 85
 #: Percent of a set's size by which prefixes are longer than they must be for one shared element.
 SLACK = 10
 #: Elements of a candidate group that one task takes whole; in a block of a larger one: of the hub and those joined with it, and of the sets left over then (this bounds a task's memory).
-TASK_ELEMENTS, HUB_ELEMENTS, BLOCK_ELEMENTS = 30_000, 10_000, 600_000
+TASK_ELEMENTS, HUB_ELEMENTS, BLOCK_ELEMENTS = 30_000, 10_000, 100_000
 #: Most candidates (eight bytes each) whose ids are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 

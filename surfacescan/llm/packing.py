@@ -37,7 +37,7 @@ LENGTH, END, BUCKETS = 2048, 0, 256
 #: Rounds of weights a solve, cover added in a round, cover per e-fold of a weight, share of the best value that a configuration needs, and solves.
 ROUNDS, STEP, PULL, NEAR, SOLVES = 100, 0.1, 10.0, 0.97, 4
 #: Stretches that a worker keeps tokenised, before it starts anew.
-CACHED = 500_000
+CACHED = 250_000
 
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: A stretch that ends in white space: it would merge with the white space of a stretch set after it.

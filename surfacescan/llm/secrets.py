@@ -22,6 +22,7 @@ import bisect
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -53,6 +54,8 @@ NEAR = 0.95
 CLASSES = ((re.compile("[a-z]"), 26), (re.compile("[A-Z]"), 26), (re.compile("[0-9]"), 10), (re.compile("[+/_=-]"), 5))
 #: Identifiers of the documents in the dictionary, and their least length.
 DICTIONARY_WORDS, SHORTEST = 3000, 6
+#: Words that a task counts before it passes the counts on.
+HELD = 100_000
 
 #: Identifier dictionary (fixed values): names and words that code, configuration and logs are full of.
 IDENTIFIERS = (
@@ -71,11 +74,29 @@ IDENTIFIERS = (
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long"
 
 
+_IDENTIFIER = re.compile(rb"(?<![A-Za-z0-9+/_=-])[A-Za-z_]{%d,%d}(?![A-Za-z0-9+/_=-])" % (SHORTEST, LEAST - 1))
+
+
+def _counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and their counts, added up over many texts; never more than HELD words at a time."""
+    n: Counter[bytes] = Counter()
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in n], pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
+
+    for b in batches(it):
+        for text in b.column(0).cast(pa.binary()).to_pylist():
+            n.update(_IDENTIFIER.findall(text or b""))
+            if len(n) > HELD:
+                yield flush()
+                n.clear()
+    yield flush()
+
+
 def identifiers(docs: DataFrame, most: int = DICTIONARY_WORDS) -> str:
     """The identifiers that occur most often in all texts, the most frequent last (where a compressor reaches them cheapest). Only whole runs that are too short for a candidate: copies of a secret never get in."""
-    words = texts(docs).select(F.explode(F.split("text", "[^A-Za-z0-9+/_=-]+")).alias("word")).where(f"length(word) BETWEEN {SHORTEST} AND {LEAST - 1} AND word RLIKE '^[A-Za-z_]+$'")
-    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).collect()
-    return " ".join(r["word"] for r in reversed(top))
+    counts = texts(docs).select("text").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return " ".join(r["word"] for r in reversed(counts.orderBy(F.desc("n"), "word").limit(most).collect()))
 
 
 @lru_cache(4)
