@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, configure, width
+from .common import BATCH_BYTES, batches, configure, width
 
 #: Curves, projected dimensions and bits of each; neighbours wanted; rows of a range, and bounds of their number.
 CURVES, DIMS, BITS, K = 4, 8, 6, 10
@@ -156,8 +156,9 @@ def _deal(index: Index, slices: dict[tuple[int, int], int], every: int):
                         far = int(np.ceil(index.reach))
                         rows += [(c, r + d, s, vec, True, raw) for d in range(-far, far + 1) if 0 <= r + d <= last for s in range(slices.get((c, r + d), 1))]
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
-            for lo in range(0, len(rows), 20_000):
-                part = rows[lo : lo + 20_000]
+            step = max(1, BATCH_BYTES // max(1, 8 * vectors.shape[1]))
+            for lo in range(0, len(rows), step):
+                part = rows[lo : lo + step]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], t) for k, t in enumerate(kinds)], names=["curve", "rng", "slice", "vec_id", "query", "raw"])
 
     return run
