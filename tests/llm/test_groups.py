@@ -159,6 +159,41 @@ def test_neighbours_awkward(spark):
     assert neighbours.search(vectors(spark, [(0, None)])).count() == 0
 
 
+def test_neighbours_of_vectors_without_structure(spark):
+    v = np.random.default_rng(11).normal(size=(2000, 24)).astype(np.float32)
+    got = {}
+    for r in neighbours.search(vectors(spark, list(enumerate(v.tolist()))), every=50).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    x, hit = v.astype(float), 0
+    for q in range(0, 2000, 50):
+        d = ((x - x[q]) ** 2).sum(1)
+        hit += len(got[q] & set([i for i in np.lexsort((np.arange(2000), d)) if i != q][:10]))
+    assert hit >= 0.9 * 400
+
+
+def test_neighbours_of_one_vector_repeated(spark, monkeypatch):
+    # The copies fill several cells, and queries outnumber a batch.
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 100)
+    v = [(i, [1.0, 2.0, 3.0] if i < 1500 else [float(i), 1.0, 0.0]) for i in range(2000)]
+    got = {}
+    for r in neighbours.search(vectors(spark, v), every=1, k=3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert all(sorted(got[q]) == [(n + 1, i, 0.0) for n, i in enumerate([i for i in range(4) if i != q][:3])] for q in range(1500))
+
+
+def test_neighbours_window_follows_the_table(spark):
+    rng = np.random.default_rng(5)
+    share = {}
+    for n in (1000, 30000):
+        v = rng.random((n, 4))
+        rows = neighbours.usable(vectors(spark, list(enumerate(v.tolist()))))
+        index = neighbours.calibrate(neighbours.fit(v[:1000], n, 4), rows, np.arange(64), v[:64], n / 100, 10, 0.97, (4,))
+        share[n] = index.reach / 1000
+        lo, hi = index.windows(index.keys(v[:64]))
+        assert (lo <= index.ranges(index.keys(v[:64]))).all() and (hi >= index.ranges(index.keys(v[:64]))).all()
+    assert share[30000] < share[1000] / 4
+
+
 def test_hilbert_is_a_continuous_bijection():
     cells = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     key = neighbours.hilbert(cells, 3)
