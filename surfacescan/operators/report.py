@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import textwrap
 
 from pyspark.sql import DataFrame
@@ -63,19 +65,48 @@ NOTES = {
 }
 
 
+# Packages that define well-known help-page macros, by package. The macro's name alone decides, never what the scanned package says of itself.
+MACROS_OF = {
+    "Rdpack": "insertAllCited insertCite insertCited insertCiteOnly insertFig insertNoCite insertRef makeFig printExample runExamples".split(),
+    "mathjaxr": "loadmathjax mjdeqn mjeqn mjsdeqn mjseqn mjtdeqn mjteqn".split(),
+    "lifecycle": ["lifecycle"],
+    "details": ["foldstart", "foldend"],
+}
+_UNKNOWN_MACRO = r"unknown macro '\\([A-Za-z][A-Za-z0-9]*)'"
+
+
 def _count(n: int, what: str) -> str:
     return f"{n} {what if n != 1 else what[:-1]}"
 
 
+def unknown_macros(errors: DataFrame) -> DataFrame:
+    """file_context and macro of each use of a help-page macro that could not be expanded."""
+    return errors.where("step = 'read_Rd_code'").select("file_context", F.explode(F.expr(f"regexp_extract_all(message, r\"{_UNKNOWN_MACRO}\", 1)")).alias("macro"))
+
+
+def _macro_note(errors: DataFrame) -> str:
+    known = {m: p for p, names in MACROS_OF.items() for m in names}
+    used = unknown_macros(errors)
+    n = used.select("file_context").distinct().count()
+    named = {known[r[0]] for r in used.where(F.col("macro").isin(*known)).select("macro").distinct().collect()}
+    helps = [p for p in MACROS_OF if p in named]
+    hint = f" With {', '.join(helps[:-1]) + ' and ' if helps[1:] else ''}{helps[-1]} installed it would be." if helps else ""
+    return f"{_count(n, 'help pages')} used macros that are not known here; code that these stand for was not scanned.{hint}"
+
+
 def error_notes(errors: DataFrame) -> list[str]:
-    """One sentence a failed step, in the order of the pipeline. Reads one row a step."""
-    counted = {r["step"]: r for r in error_counts(errors).collect()}
+    """One sentence a failed step, in the order of the pipeline; steps that are not of it come last, by name. Reads a row a step and the macros of MACROS_OF."""
+    macro = F.coalesce((F.col("step") == "read_Rd_code") & F.contains("message", F.lit("unknown macro '")), F.lit(False))
+    counted = {r["step"]: r for r in error_counts(errors.where(~macro)).collect()}
+    lost = not errors.where(macro).isEmpty()
     out = []
     for step in STEPS:
-        if r := counted.get(step):
+        if step == "read_Rd_code" and lost:
+            out.append(_macro_note(errors))
+        if r := counted.pop(step, None):
             what, note = NOTES[step]
             out.append(note.format(n=_count(r["n_rules" if what == "rules" else "n_files"], what)))
-    return out
+    return out + [f"{_count(r['n'], 'errors')} in the step {step}; the scan may not be complete." for step, r in sorted(counted.items(), key=lambda x: x[0] or "")]
 
 
 WIDTH = 77
@@ -115,10 +146,27 @@ def shown_time(scanned: str | None) -> str:
     return f"{head.replace('T', ' ')} UTC" if len(head) == 16 and head[4] == "-" and head[10] == "T" else scanned
 
 
-def text_report(audit, package: str, phases: list[str] | None = None) -> str:
-    """The report on one package. Collects its summaries: rows by phase and rule, status and folder."""
+def under_home(path: str, home: str | None = None) -> str:
+    """The path with the home folder as ~, if it is that folder or lies below it."""
+    home = re.sub("/+$", "", (os.path.expanduser("~") if home is None else home).replace("\\", "/"))
+    rest = path.replace("\\", "/").removeprefix(home)
+    return f"~{rest}" if home and len(rest) + len(home) == len(path) and (not rest or rest[0] == "/") else path
+
+
+def _check(audit, package: str) -> None:
+    if lacking := [x for x in ("patterns", "matches", "coverage", "errors", "scans") if not isinstance(getattr(audit, x, None), DataFrame)]:
+        raise ValueError(f"not an audit: without {', '.join(lacking)}")
+    if not isinstance(package, str) or not package:
+        raise ValueError("package must be a name")
+
+
+def text_report(audit, package: str, phases: list[str] | None = None, path: bool = True) -> str:
+    """The report on one package, without the line of its path if asked. Collects its summaries: rows by phase and rule, status and folder."""
+    _check(audit, package)
     one = lambda df: df.where(F.col("package") == package)
     meta = one(audit.scans).first()
+    if meta is None:
+        raise ValueError(f"no package {package} in this audit")
     columns = ["phase", "rule", "n", "attck"]
     found = {
         title: [tuple(r)[:4] for r in summarize_findings(one(df), phases).orderBy("phase_rank", "rule").collect()]
@@ -128,6 +176,8 @@ def text_report(audit, package: str, phases: list[str] | None = None) -> str:
     notes = error_notes(one(audit.errors))
     out = [header("Package"), field("Name", meta["pkg_name"] or "<unknown>"), field("Version", meta["pkg_version"] or "<unknown>"), field("SHA-256", meta["pkg_sha256"]),
            field("Rules", meta["rules_version"] or "<unknown>"), field("Scanned", shown_time(meta["scanned"]))]
+    if path:
+        out.insert(3, field("Path", under_home(meta["pkg_path"]) if meta["pkg_path"] else "<unknown>"))
     if phases:
         out.append(field("Phases", ", ".join(check_phases(phases))))
     widths = column_widths(*(x for rows in found.values() for x in (rows, columns)))
@@ -142,6 +192,7 @@ def text_report(audit, package: str, phases: list[str] | None = None) -> str:
 
 def short_text(audit, package: str) -> str:
     """Counts of one package's findings, one a line."""
+    _check(audit, package)
     n = {name: getattr(audit, name).where(F.col("package") == package).count() for name in ("file_contexts", "patterns", "matches", "errors")}
     labels = {"file_contexts": "File contexts", "patterns": "Patterns", "matches": "Matches", "errors": "Errors"}
     return "\n".join(field(labels[k], f"{v}{'   (coverage incomplete)' if k == 'errors' and v else ''}", 16) for k, v in n.items())

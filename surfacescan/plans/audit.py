@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +28,12 @@ class Audit:
     coverage: DataFrame
     errors: DataFrame
     scans: DataFrame
+    held: list[DataFrame] = field(default_factory=list, repr=False)
+
+    def release(self) -> None:
+        """Let go of the tables that the audit keeps; its frames stay usable and are computed anew."""
+        for df in self.held:
+            df.unpersist()
 
     def validate(self) -> Audit:
         for name, schema in schemas.FRAMES.items():
@@ -89,17 +95,39 @@ def rule_errors(files: DataFrame, rules: RuleBase) -> tuple[RuleBase, DataFrame]
     return keep, packages.select("package", "version", F.inline(F.array(*rows).cast(none)))
 
 
-def audit(files: DataFrame, rules: RuleBase | None = None, scanned: str = "1970-01-01T00:00:00Z", extractors: dict | None = None, analyzers: dict | None = None, persist: bool = True) -> Audit:
+def check_arguments(files: DataFrame, rules: RuleBase | None, scanned: str, persist: bool, path: str | None, tarball: bool) -> None:
+    """Raise ValueError naming the first argument of audit() that is not what it must be."""
+    if not isinstance(files, DataFrame):
+        raise ValueError("files must be a DataFrame, as the sources return")
+    if lacking := [c for c in schemas.names(schemas.FILES) if c not in files.columns]:
+        raise ValueError(f"files has no {', '.join(lacking)}")
+    if rules is not None and not isinstance(rules, RuleBase):
+        raise ValueError("rules must be a RuleBase, as load() returns")
+    if not isinstance(scanned, str) or not scanned:
+        raise ValueError("scanned must be a time as ISO text")
+    if path is not None and (not isinstance(path, str) or not path):
+        raise ValueError("path must be a path or None")
+    for name, flag in (("persist", persist), ("tarball", tarball)):
+        if not isinstance(flag, bool):
+            raise ValueError(f"{name} must be True or False")
+    if tarball and path is None:
+        raise ValueError("tarball needs the archive's path")
+
+
+def audit(files: DataFrame, rules: RuleBase | None = None, scanned: str = "1970-01-01T00:00:00Z", extractors: dict | None = None, analyzers: dict | None = None, persist: bool = True, path: str | None = None, tarball: bool = False) -> Audit:
     """Audit all packages in `files`.
 
+    path, tarball: where the files came from, for the scan's metadata.
+
     extractors: file type to extractor, beside the built-in ones. analyzers: language to a function from
     its segments to findings with the columns of matches but the phases; further columns go.
 
     What fails costs itself alone: a rule, a file or an analyzer that fails gives an error row.
 
     Content is read by one map-only stage; segments and nodes, which several branches read, are kept
-    in memory or on disk (persist) and computed again where an executor is lost.
+    in memory or on disk (persist) until release(), and computed again where an executor is lost.
     """
+    check_arguments(files, rules, scanned, persist, path, tarball)
     rules, failed = rule_errors(files, rules or default_rules())
     spark = files.sparkSession
     lookup = rules.frame(spark, "phases")
@@ -156,5 +184,6 @@ def audit(files: DataFrame, rules: RuleBase | None = None, scanned: str = "1970-
     shape = lambda name, df: schemas.conform(df, schemas.FRAMES[name])
     return Audit(
         shape("file_contexts", phases.attach_phases(claims.reported(found), lookup)), shape("patterns", pattern_rows), shape("matches", match_rows),
-        shape("coverage", cover), shape("errors", errors), scans(files, rules, scanned),
+        shape("coverage", cover), shape("errors", errors), scans(files, rules, scanned, path, tarball),
+        [all_segments, all_nodes] if persist else [],
     )

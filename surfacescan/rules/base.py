@@ -155,6 +155,8 @@ def validate_rules(base: RuleBase) -> list[str]:
         if r["how"] == "label" and r["target"] not in SEGMENT_LABELS:
             stop(r, "unknown segment label")
     for r in base.matches:
+        if r["language"] is not None and (not isinstance(r["language"], str) or not NAME.fullmatch(r["language"])):
+            stop(r, "bad language")
         if why := java_regex_problem(r["regex"]):
             stop(r, f"regex {why}")
     for r in base.phases:

@@ -81,6 +81,47 @@ def test_report(done):
         report.summarize_findings(done.patterns, ["at_lunch"])
 
 
+def test_notes_on_macros_and_other_steps(spark):
+    said = lambda rows: report.error_notes(spark.createDataFrame(rows, "package string, version string, step string, file_context string, rule string, message string"))
+    macro = lambda f, *names: ("p", None, "read_Rd_code", f, None, "; ".join(f"unknown macro '\\{x}'" for x in names))
+    assert said([macro("a.Rd", "mjseqn", "insertRef"), macro("b.Rd", "lifecycle")])[0].startswith("2 help pages used macros") and "With Rdpack, mathjaxr and lifecycle installed" in said([macro("a.Rd", "mjseqn", "insertRef"), macro("b.Rd", "lifecycle")])[0]
+    assert "installed" not in said([macro("a.Rd", "strange")])[0] and said([macro("a.Rd", "strange")])[0].startswith("1 help page used")
+    both = said([macro("a.Rd", "foldend"), ("p", None, "read_Rd_code", "b.Rd", None, "a brace is not closed"), ("p", None, "dance", None, None, "x"), ("p", None, "dance", None, None, None), ("p", None, "parse_code", "c.R", None, "x")])
+    assert len(both) == 4 and "With details installed" in both[0] and both[1].startswith("1 file did not parse as help pages") and "as R" in both[2] and both[3].startswith("2 errors in the step dance")
+    assert said([]) == []
+
+
+def test_unknown_macros_are_errors(spark):
+    got = audit(from_memory(spark, {"lantern": {"man/a.Rd": ["\\name{a}", "\\description{\\lifecycle{old}}"], "man/b.Rd": ["\\name{b}", "\\code{f}"]}}))
+    assert found(got.errors, "step", "file_context", "message") == [("read_Rd_code", "man/a.Rd", "unknown macro '\\lifecycle'")]
+    got.release()
+
+
+def test_paths_under_home():
+    assert report.under_home("/home/ann/p.tar.gz", "/home/ann/") == "~/p.tar.gz" and report.under_home("/home/ann", "/home/ann") == "~"
+    assert report.under_home("/home/anna/p", "/home/ann") == "/home/anna/p" and report.under_home("/srv/p", "/home/ann") == "/srv/p" and report.under_home("/x", "/") == "/x"
+    assert report.under_home("C:\\Users\\ann\\p", "C:\\Users\\ann") == "~/p"
+
+
+def test_arguments_are_checked(spark, done):
+    files = from_memory(spark, {"p": {"R/a.R": ["1"]}})
+    for wrong, word in (({"rules": {}}, "rules"), ({"scanned": ""}, "scanned"), ({"persist": 1}, "persist"), ({"path": ""}, "path"), ({"tarball": None}, "tarball"), ({"tarball": True}, "tarball needs")):
+        with pytest.raises(ValueError, match=word):
+            audit(files, **wrong)
+    with pytest.raises(ValueError, match="files"):
+        audit("folder")
+    with pytest.raises(ValueError, match="content"):
+        audit(files.drop("content"))
+    with pytest.raises(ValueError, match="not an audit"):
+        report.text_report(files, "p")
+    with pytest.raises(ValueError, match="no package"):
+        report.text_report(done, "absent")
+    scan = audit(files, path="/data/p.tar.gz", tarball=True).scans.first()
+    assert scan["pkg_path"] == "/data/p.tar.gz" and scan["pkg_is_tarball"]
+    text = report.text_report(done, "lantern")
+    assert "Path:" in text and "Path:" not in report.text_report(done, "lantern", path=False)
+
+
 def test_sarif(done):
     docs = {r["package"]: json.loads(r["sarif"]) for r in sarif.emit_sarif(done).collect()}
     run = docs["lantern"]["runs"][0]

@@ -48,6 +48,22 @@ def test_rd_macros_and_stage():
     assert [sexpr_stage(x) for x in ("stage=build", "results=hide", "stage = Render", "stage=other")] == ["build", "install", "render", "install"]
 
 
+def test_rd_macros_with_arguments_and_nesting():
+    macros = read_macros("% help\n\\newcommand{\\go}{\\Sexpr[stage=build]{f(#1)}}\n\\newcommand{\\two}{\\go{#2} and \\go{#1}}\n\\newcommand{\\calm}{nothing}")
+    code, problem = read_page(["\\two{a}{b} \\calm", "\\examples{", "x <- 1", "\\go{z}", "}"], macros)
+    assert problem is None and code[1] == ("Rd_Sexpr_build", ["f(b); f(a)", "", "", "f(z)", ""], [])
+    assert code[0][1][2] == "x <- 1"
+    # A page's own definition, and an argument that is not given.
+    assert read_page(["\\newcommand{\\q}{\\Sexpr{g(#1)}}", "\\q"])[0][0][1] == ["", "g()"]
+
+
+def test_rd_macros_without_an_end_and_unknown_ones():
+    assert read_page(["\\a"], {"a": "\\a"})[1] == "macros are used without an end"
+    assert read_page(["\\a"], {"a": "\\b\\b", "b": "\\c\\c"} | {x: f"\\{y}\\{y}" for x, y in zip("cdefghijklm", "defghijklmn")} | {"n": "x"})[1] == "macros are used without an end"
+    code, problem = read_page(["\\lifecycle{x} \\S3method{print}{y} \\code{'\\d'} \\emph{z}", "\\insertRef{a}{b} \\lifecycle{x} \\usage{f('\\w')}"])
+    assert code == [] and problem == "unknown macro '\\lifecycle'; unknown macro '\\insertRef'"
+
+
 def test_lines():
     assert read_lines(b"a\r\nb\rc\n") == (["a", "b", "c"], None)
     assert read_lines(b"a\n\xff\nb")[0] == ["a", "", "b"] and read_lines(b"\xff")[1]
