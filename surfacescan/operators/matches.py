@@ -32,8 +32,9 @@ def find_matches(segments: DataFrame, rules: RuleBase, language: str = "shell")
     # As a lambda the condition is evaluated rule by rule: generated code of all rules in one method is too long for the JVM to compile.
     some = " OR ".join(f"({may_match('x', r['needs'])} AND x RLIKE {regex_literal(r['regex'])})" for r in use) or "false"
     hits = lines.where(f"exists(array(line), x -> {some})")
+    text = lambda x: "'" + x.replace(chr(92), chr(92) * 2).replace("'", chr(92) + "'") + "'"
     structs = [
-        f"transform({match_columns('line', r['regex'], r['needs'])}, c -> named_struct('rule', '{r['name']}', 'message', '{r['message'].replace("'", chr(92) + "'")}', 'attck', '{r['attck']}', 'c', c))"
+        f"transform({match_columns('line', r['regex'], r['needs'])}, c -> named_struct('rule', '{r['name']}', 'message', {text(r['message'])}, 'attck', {text(r['attck'])}, 'c', c))"
         for r in use
     ]
     rows = hits.selectExpr("*", f"explode(concat({', '.join(structs)})) AS m")

@@ -1,7 +1,10 @@
 import pytest
 
-from surfacescan.rules import default_rules, load, save, validate_rules
+from surfacescan.plans import audit
+from surfacescan.rules import default_rules, load, read_rule, save, validate_rules, with_rules
 from surfacescan.rules.base import java_regex_problem
+from surfacescan.schemas import PHASES
+from surfacescan.sources import from_memory
 
 
 def test_counts_and_version():
@@ -67,3 +70,72 @@ def test_missing_phases():
 
 def test_regex_problems():
     assert java_regex_problem("x|") and java_regex_problem("[") and java_regex_problem("abc") is None
+
+
+FILE = """name: cellar
+version: "0.4.0"
+type: shell
+message: >-
+  A script in the
+  cellar.
+path: inst/cellar
+recursive: FALSE
+report: TRUE
+code_context: ~
+assume_called: ~
+filename: '^run$'
+positive_examples:
+  - inst/cellar/run
+negative_examples:
+  - inst/cellar/run.R
+""" + "".join(f"{p}: {'TRUE' if p == 'at_load' else 'FALSE'}\n" for p in PHASES)
+LINE = """name: kettle
+version: "0.4.0"
+language: shell
+message: it's a \\kettle
+attck: [T1059, T1105]
+regex: 'boil\\s+\\d+'
+positive_examples: ["x; boil 3"]
+negative_examples: ["boil x"]
+"""
+CALL = """name: stew
+version: "0.4.0"
+language: R
+message: stews
+attck: [T1059]
+functions: [simmer]
+positive_examples: ["simmer(1)"]
+negative_examples: ["x$simmer(1)"]
+"""
+
+
+def test_written_rules(spark, tmp_path):
+    pytest.importorskip("yaml")
+    for name, text in (("a", FILE), ("b", LINE), ("c", CALL)):
+        (tmp_path / f"{name}.yaml").write_text(text)
+    base = with_rules(default_rules(), tmp_path)
+    assert [len(getattr(base, t)) for t in ("file_contexts", "patterns", "matches", "phases")] == [46, 24, 12, 56] and len(default_rules().matches) == 11
+    got = audit(from_memory(spark, {"p": {"inst/cellar/run": ["boil 12", "boil over"], "R/a.R": ["simmer(x)"]}}), base, persist=False)
+    assert [(r["rule"], r["file_context"], r["message"], r["at_load"], r["at_build"]) for r in got.file_contexts.collect()] == [("cellar", "inst/cellar/run", "A script in the cellar.", True, False)]
+    assert [(r["rule"], r["line_number"], r["message"], r["attck"], r["at_load"]) for r in got.matches.collect()] == [("kettle", 1, "it's a \\kettle", "T1059 T1105", True)]
+    assert [(r["rule"], r["file_context"]) for r in got.patterns.collect()] == [("stew", "R/a.R")]
+    save(base, tmp_path / "all.json")
+    assert load(tmp_path / "all.json").matches[-1]["name"] == "kettle"
+
+
+@pytest.mark.parametrize(
+    "text, why",
+    [
+        ("[]", "no fields"), ("name: a", "one of filename"), (CALL + "xpath: //x", "XPath"), (CALL + "note: x", "unexpected note"), (CALL.replace("message: stews\n", ""), "missing message"),
+        (CALL.replace("language: R", "language: C"), "R alone"), (CALL.replace("[simmer]", "simmer"), "functions must be a list"), (LINE.replace("boil x", "boil 4"), "example boil 4"),
+        (LINE.replace("boil\\s", "(boil"), "compile"), (FILE.replace("report: TRUE", "report: 1"), "report must be"), (FILE.replace("inst/cellar/run\nneg", "cellar/run\nneg"), "example cellar/run"), (FILE.replace("type: shell", "type: [x]"), "type must be text"),
+    ],
+)
+def test_written_rules_that_are_wrong(tmp_path, text, why):
+    pytest.importorskip("yaml")
+    (tmp_path / "r.yaml").write_text(text)
+    with pytest.raises(ValueError, match=why):
+        read_rule(tmp_path / "r.yaml")
+    (tmp_path / "ok.yaml").write_text(CALL.replace("stew", "system"))
+    with pytest.raises(ValueError, match="twice"):
+        with_rules(default_rules(), tmp_path / "ok.yaml")
