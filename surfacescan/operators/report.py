@@ -23,7 +23,7 @@ def summarize_findings(findings: DataFrame, phases: list[str] | None = None) ->
     pairs = ", ".join([*(f"'{p}', {p}" for p in PHASES), "'none', NOT (" + " OR ".join(PHASES) + ")"])
     rows = findings.selectExpr("rule", "attck", *PHASES).selectExpr("rule", "attck", f"stack({len(PHASES) + 1}, {pairs}) AS (phase, holds)").where("holds").where(F.col("phase").isin(order))
     rank = F.array_position(F.array(*map(F.lit, order)), F.col("phase")).cast("int")
-    return rows.groupBy("phase", "rule").agg(F.count("*").cast("int").alias("n"), F.min("attck").alias("attck")).select("phase", "rule", "n", "attck", rank.alias("phase_rank"))
+    return rows.groupBy("phase", "rule").agg(F.count("*").alias("n"), F.min("attck").alias("attck")).select("phase", "rule", "n", "attck", rank.alias("phase_rank"))
 
 
 def summarize_coverage(cover: DataFrame, phases: list[str] | None = None) -> DataFrame:
@@ -32,7 +32,7 @@ def summarize_coverage(cover: DataFrame, phases: list[str] | None = None) -> Dat
     path = F.col("file_context")
     keyed = rows.select("status", top_level(path).alias("top_level"), coverage_type(F.col("language"), path).alias("type"), "lines")
     rank = F.array_position(F.array(*map(F.lit, STATUSES)), F.col("status")).cast("int")
-    return keyed.groupBy("status", "top_level", "type").agg(F.count("*").cast("int").alias("files"), F.sum("lines").cast("int").alias("lines")).withColumn("status_rank", rank)
+    return keyed.groupBy("status", "top_level", "type").agg(F.count("*").alias("files"), F.sum("lines").alias("lines")).withColumn("status_rank", rank)
 
 
 def summarize_contexts(contexts: DataFrame) -> DataFrame:

@@ -150,7 +150,7 @@ def _(s, d):
     return coverage.merge_coverage(_coverage(s, d), coverage.segment_spans(spans), _found(s, d)).select("package", "file_context", "language", "status", "reason", "lines", "rule")
 
 
-@query("summarize_coverage", f"""{_COVER} SELECT status, top_level, type, CAST(count(*) AS INTEGER) AS files, CAST(sum(lines) AS INTEGER) AS lines, {" ".join(["CASE status", *(f"WHEN '{x}' THEN {i + 1}" for i, x in enumerate(STATUSES)), "END"])} AS status_rank
+@query("summarize_coverage", f"""{_COVER} SELECT status, top_level, type, count(*) AS files, CAST(sum(lines) AS BIGINT) AS lines, {" ".join(["CASE status", *(f"WHEN '{x}' THEN {i + 1}" for i, x in enumerate(STATUSES)), "END"])} AS status_rank
 FROM (SELECT *, {_TOP} AS top_level, {_TYPE} AS type FROM covered) GROUP BY ALL""")
 def _(s, d):
     return report.summarize_coverage(_coverage(s, d))
@@ -305,7 +305,7 @@ def _(s, d):
 
 _NONE = "NOT (" + " OR ".join(PHASES) + ")"
 _UNPIVOT = " UNION ALL ".join([*(f"SELECT '{p}' AS phase, {i + 1} AS phase_rank, rule, attck FROM vfindings WHERE {p}" for i, p in enumerate(PHASES)), f"SELECT 'none', 10, rule, attck FROM vfindings WHERE {_NONE}"])
-_SUMMARY = "SELECT phase, rule, CAST(count(*) AS INTEGER) AS n, min(attck) AS attck, phase_rank FROM u"
+_SUMMARY = "SELECT phase, rule, count(*) AS n, min(attck) AS attck, phase_rank FROM u"
 
 
 @query("summarize_findings", f"WITH {VFINDINGS}, u AS ({_UNPIVOT}) {_SUMMARY} GROUP BY ALL")
