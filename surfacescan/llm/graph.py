@@ -18,6 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds are written to the shared folder, so that a lost executor costs one round at most.
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi > lo").distinct(), "edges")
+    sums = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(30,0)")).alias("h")).first()
+    before = sums(now)  # each table is summed once: fewer queries, fewer threads in the driver
     for _ in range(ROUNDS):
         # Large star: each node's larger neighbours go to its smallest neighbour. A node without a smaller
         # one keeps them, so only nodes that are the larger end somewhere are looked up. The lookup is
@@ -29,9 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         root = large.groupBy("hi").agg(F.min("lo").alias("root"))
         tied = large.join(root, "hi").where("lo <> root").select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
         then = materialise(tied.union(root.select("hi", F.col("root").alias("lo"))).where("hi > lo").distinct(), "stars")
-        sums = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(30,0)")).alias("h")).first()
-        same = sums(then) == sums(now)
-        now = then
+        after = sums(then)
+        same, now, before = after == before, then, after
         if same:
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")

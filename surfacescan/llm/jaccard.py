@@ -50,8 +50,8 @@ N, THRESHOLD = 4, 85
 SLACK = 10
 #: Elements of a candidate group that one task takes whole; in a block of a larger one: of the hub and those joined with it, and of the sets left over then (this bounds a task's memory).
 TASK_ELEMENTS, HUB_ELEMENTS, BLOCK_ELEMENTS = 30_000, 10_000, 100_000
-#: Most candidates (eight bytes each) whose ids are broadcast to pick their texts; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Bitmaps (32,768 bits, 4 KB each) that mark the candidates' hashed ids: 4 MB are broadcast at most, however many candidates there are.
+MARKS = 1024
 
 
 def ngram_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -203,6 +203,16 @@ def _join_groups(n: int, threshold: int):
 # ---------------------------------------------------------------- the join
 
 
+def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among ids (one column, long), and few others: what is broadcast is bounded by MARKS."""
+    place = lambda c: (F.expr(f"pmod(xxhash64({c}), {MARKS})"), F.expr(f"CAST(pmod(xxhash64({c}, 1), 32768) AS INT)"))
+    mark, bit = place(ids.columns[0])
+    marks = ids.select(mark.alias("mark"), bit.cast("long").alias("bit")).groupBy("mark").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    mark, bit = place("doc_id")
+    found = rows.where("doc_id IS NOT NULL").withColumns({"at": mark, "bit": bit}).join(F.broadcast(marks), F.col("at") == F.col("mark"))
+    return found.where("shiftright(CAST(conv(hex(substring(bits, bit DIV 8 + 1, 1)), 16, 10) AS INT), bit % 8) % 2 = 1").select(*rows.columns)
+
+
 def _digests(n: int, threshold: int, slack: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
@@ -244,10 +254,8 @@ def classes(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, slack: int
         work = work.repartition(width(docs.sparkSession, 2), *key).sortWithinPartitions(*key)
         return work.mapInArrow(_join_groups(n, threshold), "a long, b long")
 
-    # The candidates' texts, written once; the others are not shuffled unless the candidates are too many to broadcast.
-    asked = materialise(grouped.select("node"), "asked")
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
-    bodies = materialise(rows.join(asked, F.col("doc_id") == F.col("node")).select(F.col("node").alias("rep"), "text"), "bodies")
+    # The candidates' texts, written once without a shuffle. Ids whose hash meets a candidate's come along; links() joins by id and passes them over.
+    bodies = materialise(_marked(rows, grouped.select("node")).select(F.col("doc_id").alias("rep"), "text"), "bodies")
 
     # Large groups fall into bands of size, of which linked sets are at most one apart: a set goes to its own band and the next.
     members = grouped.join(reps.select("rep", *SIG), grouped.node == F.col("rep")).select("root", "rep", *SIG)

@@ -73,6 +73,27 @@ def test_join_finds_links_far_from_the_hub(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want and max(Counter(c for _, c in want).values()) >= 8
 
 
+def test_join_broadcasts_no_list_of_candidates(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MARKS", 2, raising=False)
+    sent, broadcast = [], jaccard.F.broadcast
+    monkeypatch.setattr(jaccard.F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    texts = near(np.random.default_rng(21), 20, 100, 4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(documents(spark, texts, repeat=False)).collect()}
+    assert [got[i] for i in range(len(texts))] == classes(texts)
+    assert sent and max(sent) <= 2  # the candidates are many more
+
+
+def test_marks_miss_no_id(spark, monkeypatch):
+    rows = spark.range(-30_000, 30_000).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text").union(spark.createDataFrame([(None, "no id")], "doc_id long, text string"))
+    ids = rows.where("doc_id % 7 = 0").selectExpr("doc_id AS node")
+    for marks, most in ((1, 25_000), (64, 8_850)):
+        monkeypatch.setattr(jaccard, "MARKS", marks)
+        found = {r["doc_id"]: r["text"] for r in jaccard._marked(rows, ids).collect()}
+        want = [i for i in range(-30_000, 30_000) if i % 7 == 0]
+        assert all(found.get(i) == str(i) for i in want) and len(want) <= len(found) <= most
+    assert jaccard._marked(rows, ids.limit(0)).count() == 0
+
+
 def test_deduplicated_takes_clashing_names(spark):
     docs = documents(spark, ["x y z w v", "x y z w v", "other words here now"], repeat=False).selectExpr("*", "1 AS sig1", "2 AS `own`", "3 AS rep", "4 AS `a.b`", "5 AS __nth")
     out = jaccard.deduplicated(docs)
