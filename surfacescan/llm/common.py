@@ -70,7 +70,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialise() wrote, once nothing reads it any more."""
+    _forget(df.sparkSession, df._scratch)
 
 
 def _forget(spark: SparkSession, path: str) -> None:

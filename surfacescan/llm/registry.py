@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, language_model, mixing, mpeg, neighbours, packing, quality, secrets, sharding
+from . import chat, jaccard, language_model, mixing, mpeg, neighbours, packing, quality, secrets, sharding, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": jaccard.query,
         "op9_quality": quality.query,
         "op10_mixing": mixing.query,
+        "op11_vector_codes": vector_codes.query,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat": chat.ORACLE,
         "op8_jaccard_join": jaccard.ORACLE,
         "op10_mixing": mixing.ORACLE,
+        "op11_vector_codes": vector_codes.ORACLE,
     }
