@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, language_model, mixing, mpeg, neighbours, packing, quality, secrets, sharding, vector_codes
+from . import chat, collocations, jaccard, language_model, mixing, mpeg, neighbours, packing, pii, quality, secrets, sharding, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": quality.query,
         "op10_mixing": mixing.query,
         "op11_vector_codes": vector_codes.query,
+        "op12_collocations": collocations.query,
+        "op13_personal": pii.query,
     }
 
 
@@ -32,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_jaccard_join": jaccard.ORACLE,
         "op10_mixing": mixing.ORACLE,
         "op11_vector_codes": vector_codes.ORACLE,
+        "op12_collocations": collocations.ORACLE,
     }
