@@ -1,12 +1,16 @@
 """Syntax rules as joins over the node table.
 
-A node's subtree is the range pre .. pre + size inside its segment, so child and descendant tests are
-equi-joins on the segment with a range beside. Rule tables are a few hundred constant rows.
+A node's subtree is the range pre .. pre + size inside its segment. Children and parents are found by
+equi-joins, descendants and ancestors by one sweep over a segment in pre-order: no range joins, which a
+file of many like lines would make quadratic. Rule tables are a few hundred constant rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..rules import RuleBase, data
@@ -40,9 +44,12 @@ def _expressions(nodes: DataFrame, inner: DataFrame, column: str) -> DataFrame:
 
 
 def _holding(outer: DataFrame, inner: DataFrame) -> DataFrame:
-    """Outer nodes with an inner one in their subtree."""
-    i = inner.select(*[F.col(k).alias(f"h_{k}") for k in SEG], F.col("pre").alias("h_pre"))
-    return outer.join(i, [*(outer[k].eqNullSafe(i[f"h_{k}"]) for k in SEG), i.h_pre > outer.pre, i.h_pre <= outer.pre + outer["size"]], "left_semi")
+    """Outer nodes with an inner one in their subtree: the next inner node in pre-order lies in it or none does. One sort of a segment's nodes and one pass backwards over them."""
+    rows = outer.withColumn("__inner", F.lit(None).cast("int")).unionByName(inner.select(*SEG, "pre", F.col("pre").alias("__inner")), allowMissingColumns=True)
+    # Backwards, an inner node comes after the outer row of the same node, which it is not below.
+    back = Window.partitionBy(*SEG).orderBy(F.desc("pre"), F.col("__inner").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("__next", F.last("__inner", ignorenulls=True).over(back))
+    return rows.where("__inner IS NULL AND __next <= pre + size").drop("__inner", "__next")
 
 
 def _direct(df: DataFrame) -> DataFrame:
@@ -122,15 +129,41 @@ def find_code_contexts(nodes: DataFrame, rules: RuleBase) -> DataFrame:
     return hooks.select(cols).unionByName(registered.select(cols))
 
 
+def _innermost():
+    """Rows of findings and hooks, sorted by segment and pre-order: the findings with the hook opened last that is still open."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, open_ = None, []
+        for b in it:
+            columns = {n: b.column(n).to_pylist() for n in (*SEG, "pre", "x_context", "x_end")}
+            keep, names = [], []
+            for i, (pre, context, end) in enumerate(zip(columns["pre"], columns["x_context"], columns["x_end"], strict=True)):
+                if (at := tuple(columns[k][i] for k in SEG)) != segment:
+                    segment, open_ = at, []
+                while open_ and open_[-1][0] < pre:
+                    open_.pop()
+                if end is not None:
+                    open_.append((end, context))
+                else:
+                    keep.append(i)
+                    names.append(open_[-1][1] if open_ else None)
+            found = b.select(_FOUND).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.array(names, pa.string())], names=[*_FOUND, "x_context"])
+
+    return run
+
+
 def determine_code_contexts(found: DataFrame, contexts: DataFrame, applicable: DataFrame) -> DataFrame:
     """found with code_context: the innermost hook around it that its file rule names, else in_function or top_level.
 
-    applicable: (file rule, context), a few dozen rows. The containment is a join on the segment with a range.
+    applicable: (file rule, context), a few dozen rows. Findings and hooks of a segment are sorted together and
+    swept once with a stack of the open hooks, so that time is linear in them and memory is the nesting's depth.
     """
-    use = contexts.join(F.broadcast(applicable), (contexts.rule == applicable.file_rule) & (contexts.context == applicable.name)).select(
-        F.col("context").alias("x_context"), *[F.col(k).alias(f"x_{k}") for k in SEG], F.col("pre").alias("x_pre"), F.col("size").alias("x_size"))
-    inside = found.join(use, [*(found[k].eqNullSafe(use[f"x_{k}"]) for k in SEG), use.x_pre < found.pre, found.pre <= use.x_pre + use.x_size], "left")
-    # The deepest; of two on one node the first by name.
-    best = F.min(F.when(F.col("x_pre").isNotNull(), F.struct((-F.col("x_pre")).alias("d"), F.col("x_context").alias("name"))))
-    keyed = inside.groupBy(_FOUND).agg(best.alias("b"))
-    return keyed.select(*_FOUND, F.coalesce("b.name", F.when(F.col("in_function"), "in_function").otherwise("top_level")).alias("code_context"))
+    use = contexts.join(F.broadcast(applicable), (contexts.rule == applicable.file_rule) & (contexts.context == applicable.name))
+    use = use.select(*(contexts[k] for k in SEG), contexts.pre, F.col("context").alias("x_context"), (contexts.pre + contexts["size"]).alias("x_end"))
+    rows = found.select(_FOUND).unionByName(use, allowMissingColumns=True)
+    # A finding comes before the hooks on its own node; of these the first by name comes last, on top.
+    rows = rows.repartition(*SEG).sortWithinPartitions(*SEG, "pre", F.desc_nulls_first("x_context"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.select(_FOUND).schema) + ", x_context string"
+    inside = rows.mapInArrow(_innermost(), schema)
+    return inside.select(*_FOUND, F.coalesce("x_context", F.when(F.col("in_function"), "in_function").otherwise("top_level")).alias("code_context"))

@@ -36,8 +36,8 @@ def summarize_coverage(cover: DataFrame, phases: list[str] | None = None) -> Dat
 
 
 def summarize_contexts(contexts: DataFrame) -> DataFrame:
-    """Distinct files and rules reported, in order of path and rule."""
-    return contexts.select("package", "file_context", "rule").distinct()
+    """Distinct files and rules reported of each package and version, in order of path and rule."""
+    return contexts.select("package", "version", "file_context", "rule").distinct().orderBy("package", "version", "file_context", "rule")
 
 
 def summarize_errors(errors: DataFrame) -> DataFrame:
@@ -153,6 +153,18 @@ def under_home(path: str, home: str | None = None) -> str:
     return f"~{rest}" if home and len(rest) + len(home) == len(path) and (not rest or rest[0] == "/") else path
 
 
+def _one(audit, package: str, version: str | None):
+    """A filter for one package's rows: of the version, or of the only one there is."""
+    _check(audit, package)
+    have = sorted((r["version"] for r in audit.scans.where(F.col("package") == package).select("version").distinct().collect()), key=lambda v: (v is not None, v))
+    if not have or version is not None and version not in have:
+        raise ValueError(f"no package {package}{'' if version is None else f' {version}'} in this audit")
+    if version is None and len(have) > 1:
+        raise ValueError(f"{package} is there in versions {', '.join(map(str, have))}: name one")
+    wanted = have[0] if version is None else version
+    return lambda df: df.where((F.col("package") == package) & F.col("version").eqNullSafe(F.lit(wanted)))
+
+
 def _check(audit, package: str) -> None:
     if lacking := [x for x in ("patterns", "matches", "coverage", "errors", "scans") if not isinstance(getattr(audit, x, None), DataFrame)]:
         raise ValueError(f"not an audit: without {', '.join(lacking)}")
@@ -160,13 +172,10 @@ def _check(audit, package: str) -> None:
         raise ValueError("package must be a name")
 
 
-def text_report(audit, package: str, phases: list[str] | None = None, path: bool = True) -> str:
-    """The report on one package, without the line of its path if asked. Collects its summaries: rows by phase and rule, status and folder."""
-    _check(audit, package)
-    one = lambda df: df.where(F.col("package") == package)
+def text_report(audit, package: str, phases: list[str] | None = None, path: bool = True, version: str | None = None) -> str:
+    """The report on one package and version, without the line of its path if asked. Collects its summaries: rows by phase and rule, status and folder. Of several versions one must be named."""
+    one = _one(audit, package, version)
     meta = one(audit.scans).first()
-    if meta is None:
-        raise ValueError(f"no package {package} in this audit")
     columns = ["phase", "rule", "n", "attck"]
     found = {
         title: [tuple(r)[:4] for r in summarize_findings(one(df), phases).orderBy("phase_rank", "rule").collect()]
@@ -190,10 +199,10 @@ def text_report(audit, package: str, phases: list[str] | None = None, path: bool
     return "\n".join(x.rstrip() for x in out)
 
 
-def short_text(audit, package: str) -> str:
+def short_text(audit, package: str, version: str | None = None) -> str:
     """Counts of one package's findings, one a line."""
-    _check(audit, package)
-    n = {name: getattr(audit, name).where(F.col("package") == package).count() for name in ("file_contexts", "patterns", "matches", "errors")}
+    one = _one(audit, package, version)
+    n = {name: one(getattr(audit, name)).count() for name in ("file_contexts", "patterns", "matches", "errors")}
     labels = {"file_contexts": "File contexts", "patterns": "Patterns", "matches": "Matches", "errors": "Errors"}
     return "\n".join(field(labels[k], f"{v}{'   (coverage incomplete)' if k == 'errors' and v else ''}", 16) for k, v in n.items())
 

@@ -11,6 +11,7 @@ from .. import schemas
 from ..functions.findings import preview
 from ..functions.paths import over_limit
 from ..operators import claims, coverage, extract, matches, patterns, phases
+from ..operators.analyze import analyze
 from ..rules import RuleBase, default_rules
 from ..rules.base import engine_regex_problem
 
@@ -119,10 +120,12 @@ def audit(files: DataFrame, rules: RuleBase | None = None, scanned: str = "1970-
 
     path, tarball: where the files came from, for the scan's metadata.
 
-    extractors: file type to extractor, beside the built-in ones. analyzers: language to a function from
-    its segments to findings with the columns of matches but the phases; further columns go.
+    extractors: file type to extractor, beside the built-in ones. analyzers: language to PerSegment, a
+    function of one segment, or to a function from the frame of segments to findings with the columns of
+    matches but the phases; further columns go. Analyzers run at once, so that their failures can be held.
 
-    What fails costs itself alone: a rule, a file or an analyzer that fails gives an error row.
+    What fails costs itself alone: a rule, a file, a segment in PerSegment, or an analyzer that fails as a
+    whole, gives an error row.
 
     Content is read by one map-only stage; segments and nodes, which several branches read, are kept
     in memory or on disk (persist) until release(), and computed again where an executor is lost.
@@ -135,7 +138,10 @@ def audit(files: DataFrame, rules: RuleBase | None = None, scanned: str = "1970-
     scan = claims.scan_set(found)
     macros = files.where("file_context LIKE 'man/macros/%.Rd'").groupBy("package", "version").agg(F.array_join(F.sort_array(F.collect_list(F.decode("content", "UTF-8"))), "\n").alias("macros")).withColumnsRenamed({"package": "m_package", "version": "m_version"})
     body = files.select(*(F.col(k).alias(f"b_{k}") for k in KEYS), "content", "bytes")
-    readings = scan.join(body, [scan[k].eqNullSafe(body[f"b_{k}"]) for k in KEYS]).where(over_limit(F.col("bytes")) | F.col("content").isNotNull())
+    claimed = scan.join(body, [scan[k].eqNullSafe(body[f"b_{k}"]) for k in KEYS])
+    absent = F.col("content").isNull() & ~F.coalesce(over_limit(F.col("bytes")), F.lit(False))
+    unread = claimed.where(absent).select(*KEYS, "rule", F.lit("The file could not be read; nothing in it was scanned.").alias("message"))
+    readings = claimed.where(~absent)
     readings = readings.join(macros, F.col("package").eqNullSafe(F.col("m_package")) & F.col("version").eqNullSafe(F.col("m_version")), "left").select(*KEYS, "type", "rule", "code_contexts", "content", "bytes", "macros")
     all_segments = extract.extract_segments(readings, extractors)
     all_segments = all_segments.persist() if persist else all_segments
@@ -165,16 +171,14 @@ def audit(files: DataFrame, rules: RuleBase | None = None, scanned: str = "1970-
     # Matches.
     lined = matches.find_matches(segments, rules)
     for language, analyzer in (analyzers or {}).items():
-        try:
-            lined = lined.unionByName(schemas.conform(analyzer(segments.where(F.col("language") == language)), schemas.LINE_FINDINGS))
-        except Exception as e:
-            row = F.struct(F.lit("find_matches").alias("step"), F.lit(None).cast("string").alias("file_context"), F.lit(language).alias("rule"), F.lit(f"{type(e).__name__}: {str(e)[:500]}").alias("message"))
-            failed = failed.unionByName(files.select("package", "version").distinct().select("package", "version", F.inline(F.array(row))))
+        more, wrong = analyze(segments, language, analyzer)
+        lined = lined if more is None else lined.unionByName(more)
+        failed = failed.unionByName(wrong.withColumn("step", F.lit("find_matches")), allowMissingColumns=True)
     match_rows = phases.resolve_match_phases(lined, phases.file_phases(found, lookup))
 
     # Errors and coverage.
     syntax = all_nodes.where("message IS NOT NULL").select("package", "version", F.lit("parse_code").alias("step"), "file_context", "rule", "message")
-    errors = _errors(all_segments.where("step IS NOT NULL")).unionByName(syntax).unionByName(_errors(failed))
+    errors = _errors(all_segments.where("step IS NOT NULL")).unionByName(_errors(unread, "read_code")).unionByName(syntax).unionByName(_errors(failed))
     scanned_as = scan.groupBy(*KEYS).agg(F.min("type").alias("read_as"))
     text = F.regexp_replace(F.decode("content", "ISO-8859-1"), "\r\n?", "\n")
     n_lines = files.where("content IS NOT NULL").select(*KEYS, text.alias("t")).selectExpr(*KEYS, r"length(t) - length(replace(t, '\n', '')) + IF(t = '' OR endswith(t, '\n'), 0, 1) AS n_lines")

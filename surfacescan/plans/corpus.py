@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from ..rules import RuleBase
-from ..sources.archive import Refused, archive_name, read_archives, walk
+from ..sources.archive import archive_sizes, archive_verdicts, read_archives
 from .audit import Audit, audit, description
 
 QUANTILES = (0.5, 0.9, 0.99, 0.999, 1.0)
@@ -19,7 +16,7 @@ QUANTILES = (0.5, 0.9, 0.99, 0.999, 1.0)
 def survey(spark: SparkSession, path: str, rules: RuleBase | None = None, on_error: str = "keep", **caps) -> tuple[Audit, DataFrame, DataFrame]:
     """Audit every archive at a path as one job: the audit, refused archives as error rows, and identity mismatches."""
     rows = read_archives(spark, path, **caps)
-    refused = rows.where("verdict IS NOT NULL").select("package", "version", F.lit("validate_tar").alias("step"), F.lit(None).cast("string").alias("file_context"), F.lit(None).cast("string").alias("rule"), F.col("verdict").alias("message"))
+    refused = archive_verdicts(spark, path, **caps).where("verdict IS NOT NULL").select("package", "version", F.lit("validate_tar").alias("step"), F.lit(None).cast("string").alias("file_context"), F.lit(None).cast("string").alias("rule"), F.col("verdict").alias("message"))
     if on_error == "stop" and (first := refused.first()):
         raise ValueError(f"{first['package']}: {first['message']}")
     files = rows.where("verdict IS NULL").drop("verdict", "archive_sha256")
@@ -49,22 +46,7 @@ def survey_structure(entries: DataFrame) -> DataFrame:
 
 def survey_expansion(spark: SparkSession, path: str, cap: int = 8 * 1024**3) -> DataFrame:
     """Compressed and uncompressed size of each archive, the ratio, and whether the cap was hit."""
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = []
-            for where, raw in zip(pdf.path, pdf.content, strict=True):
-                total, hit, error = 0, False, None
-                try:
-                    for e, _ in walk(raw, max_entries=10**9, max_bytes=cap, max_ratio=None):
-                        total += 512 + -(-e.size // 512) * 512
-                except Refused as e:
-                    error, hit = str(e), "bytes" in str(e)
-                out.append((archive_name(where)[0], len(raw), total, total / len(raw) if raw else None, hit, error))
-            yield pd.DataFrame(out, columns=["package", "compressed_size", "uncompressed_size", "ratio", "cap_hit", "error"])
-
-    source = spark.read.format("binaryFile").option("pathGlobFilter", "*.{tar.gz,tgz,tar}").load(path)
-    return source.select("path", "content").mapInPandas(run, "package string, compressed_size long, uncompressed_size long, ratio double, cap_hit boolean, error string")
+    return archive_sizes(spark, path, max_entries=10**9, max_bytes=cap, max_ratio=None)
 
 
 def quantiles(df: DataFrame, column: str, at: tuple[float, ...] = QUANTILES) -> DataFrame:

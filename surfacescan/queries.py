@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from .functions import paths
 from .functions.findings import in_phase
 from .operators import claims, coverage, export, extract, matches, patterns, phases, report, sarif
+from .operators.analyze import PerSegment
 from .plans import corpus
 from .plans.audit import audit, manifest, rule_errors
 from .rules import RuleBase, default_rules
 from .schemas import PHASES, STATUSES
+from .sources import read_tree
 from .sources.archive import validate_entries
-from .virtual import CODE, N, SNIPPETS, VFILES, VFINDINGS, VLINES, VNODES, table, vcode, vfiles, vfindings, vnodes, vsegments
+from .virtual import CODE, N, SNIPPETS, VFILES, VFINDINGS, VLINES, VNODES, VTREE, table, vcode, vfiles, vfindings, vnodes, vsegments, vtree
 
 RULES = default_rules()
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +95,34 @@ def _(s, d):
     return vfiles(s, d).select("package", "file_context", claims.in_scope(F.col("file_context"), RULES).alias("in_scope"))
 
 
+def _wgets(lines: list[str], facts: dict):
+    """A segment's analyzer that fails on long segments."""
+    if len(lines) > 12:
+        raise ValueError(f"{facts['file_context']} is long")
+    yield from ({"rule": "wget", "line_number": i} for i, x in enumerate(lines, 1) if "wget" in x)
+
+
+@query("segment_failures", f"""WITH {VFILES}, {VLINES}, counted AS (SELECT package, file_context, count(*) > 12 AS failed, count(*) FILTER (contains(line, 'wget')) AS hits FROM vlines GROUP BY ALL)
+SELECT package, file_context, failed, CASE WHEN failed THEN 0 ELSE hits END AS n_found FROM counted WHERE failed OR hits > 0""")
+def _(s, d):
+    found = PerSegment(_wgets)(vsegments(s, d).selectExpr("*", "'x' AS rule", "CAST(NULL AS STRING) AS context"))
+    return found.groupBy("package", "file_context").agg(F.bool_or(F.col("failed").isNotNull()).alias("failed"), F.count("rule").alias("n_found"))
+
+
+_TREE = f"WITH {VFILES}, {VTREE}"
+
+
+@query("folder_listing", f"{_TREE} SELECT package, file_context, bytes, false AS is_symlink, CASE WHEN bytes <= 20000 THEN sha256(text) END AS sha, CASE WHEN bytes > 20000 THEN 'above the limit' END AS problem FROM vtree")
+def _(s, d):
+    return read_tree(s, vtree(s, d), limit=20_000).select("package", "file_context", "bytes", "is_symlink", F.sha2("content", 256).alias("sha"), "problem")
+
+
+@query("folder_pruned", f"{_TREE} SELECT package, file_context, bytes FROM vtree WHERE (starts_with(file_context, 'src/') OR file_context LIKE '.%') AND bytes < 3000 AND package <> 'web-3'")
+def _(s, d):
+    rows = read_tree(s, vtree(s, d), match=r"^src/|^\.", largest=2999)
+    return rows.where("package <> 'web-3' AND content IS NOT NULL").select("package", "file_context", "bytes")
+
+
 _EXT = r"regexp_extract(regexp_replace(file_context, '^.*/', ''), '^.+\.([^.]*)$', 1)"
 _LANGUAGE = "CASE " + " ".join(f"WHEN {_EXT} IN ({', '.join(map(_text, e.split()))}) THEN '{n}'" for n, e in paths.LANGUAGES.items()) + " END"
 _TYPE = f"coalesce(language, nullif({_EXT}, ''), regexp_replace(file_context, '^.*/', ''))"
@@ -328,9 +358,10 @@ def _(s, d):
     return report.automatic(vfindings(s, d)).select("event_id")
 
 
-@query("distinct_contexts", f"{_BASE} SELECT DISTINCT package, file_context, rule FROM found WHERE report")
+@query("distinct_contexts", f"{_BASE} SELECT DISTINCT f.package, CAST(v.doc_id % 3 AS VARCHAR) AS version, f.file_context, f.rule FROM found f JOIN vfiles v ON f.package = v.package AND f.file_context = v.file_context WHERE f.report")
 def _(s, d):
-    return report.summarize_contexts(claims.reported(_found(s, d)))
+    found = claims.find_file_contexts(vfiles(s, d).withColumn("version", F.expr("CAST(doc_id % 3 AS STRING)")), RULES)
+    return report.summarize_contexts(claims.reported(found))
 
 
 @query("hash_manifest", f"""WITH {VFILES}, l AS (SELECT package, file_context, is_symlink, sha256(text) || '  ' || file_context AS line FROM vfiles WHERE NOT starts_with(file_context, '.git/'))

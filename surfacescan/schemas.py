@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,20 @@ NODES = (
 ENTRIES = "package string, name string, type string, linkname string, size long"
 
 
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def arrow(schema: str) -> pa.Schema:
+    """The Arrow form of a schema of plain columns."""
+    return pa.schema([(n, _ARROW[t]) for n, t in (x.split(" ", 1) for x in schema.split(", "))])
+
+
+def batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as one Arrow batch."""
+    to = arrow(schema)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), to.types)], schema=to)
+
+
 def names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 

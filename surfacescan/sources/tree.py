@@ -2,49 +2,27 @@
 
 from __future__ import annotations
 
-import os
-import re
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
-from ..functions.paths import SCAN_LIMIT, relativize
+from ..functions.paths import SCAN_LIMIT
 from ..schemas import FILES
+from .folder import NAME, FolderSource, Wanted
 
 
-@F.pandas_udf(BooleanType())
-def _linked(path: pd.Series, root: pd.Series) -> pd.Series:
-    """Whether a local file is a symbolic link, or lies below a folder that is one, from the root down."""
-
-    def one(path: str, root: str) -> bool:
-        at = path
-        while len(at) > len(root.rstrip("/")):
-            if os.path.islink(at):
-                return True
-            at = os.path.dirname(at)
-        return False
-
-    return pd.Series([p.startswith("/") and one(p, r) for p, r in zip(path, root, strict=True)])
-
-
-def read_tree(spark: SparkSession, root: str, package: str | None = None, limit: int = SCAN_LIMIT) -> DataFrame:
-    """All files below a root, one package; without a name, each folder below the root is a package.
+def read_tree(
+    spark: SparkSession, root: str, package: str | None = None, limit: int = SCAN_LIMIT, content: bool = True, splits: int | None = None, packages: list[str] | None = None, match: str | None = None, largest: int | None = None
+) -> DataFrame:
+    """All files below a root, one package; without a name, each folder below the root is a package, and files beside these belong to the package ".".
 
-    Content above the limit is not carried: the length alone decides what happens to such a file. Nor is
-    that of links and of what lies below linked folders (of local files; other stores know no links).
+    Everything is listed, hidden files too; `problem` says why a row has no content. Content above the
+    limit is not read, nor is any without `content`; links are rows and never followed. Of the packages,
+    paths (an expression found in them) and lengths that are asked for, no others are listed or opened.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace("path", "^file:/+", "/")
-    below = relativize(path, root)
-    name = F.lit(package) if package else F.substring_index(below, "/", 1)
-    inside = below if package else F.regexp_replace(below, "^[^/]*/", "")
-    link = _linked(path, F.lit(re.sub("^file:/+", "/", root)))
-    return found.select(
-        name.alias("package"), F.lit(None).cast("string").alias("version"), inside.alias("file_context"), F.col("length").alias("bytes"),
-        F.when((F.col("length") <= limit) & ~link, F.col("content")).alias("content"), link.alias("is_symlink"),
-    )
+    spark.dataSource.register(FolderSource)
+    options = {"limit": str(limit), "content": str(content).lower(), **Wanted.options(packages, match, largest)}
+    options |= {} if package is None else {"package": package}
+    options |= {} if splits is None else {"splits": str(splits)}
+    return spark.read.format(NAME).options(**options).load(root)
 
 
 def from_memory(spark: SparkSession, packages: dict[str, dict[str, list[str] | str | bytes]], version: str | None = None) -> DataFrame:

@@ -5,8 +5,12 @@ Each package holds a document at each path of PATHS, and every file rule claims
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions.lineage import scratch
 from .schemas import PHASES
 
 PATHS = (
@@ -49,6 +53,33 @@ def vfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 VFILES = f"vfiles AS (SELECT concat(source, '-', doc_id // {N}) AS package, {PATH_DUCK} AS file_context, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, doc_id % 97 = 5 AS is_symlink, doc_id, text FROM documents)"
 
 
+#: A document's path in vtree(): every third one's name begins with an underscore.
+TREE_PATH = "CASE WHEN doc_id % 3 = 0 THEN regexp_replace(file_context, '([^/]+)$', '_{group}') ELSE file_context END"
+
+
+def vtree(spark: SparkSession, sf_dir: str) -> str:
+    """The root of a folder tree, below the shared scratch folder, with every document as a file."""
+    root = scratch(spark, "tree")
+
+    def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(root)
+        for b in it:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                store.create_dir(f"{top}/{path}".rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{top}/{path}") as f:
+                    f.write(content)
+            yield b.select([0])
+
+    rows = vfiles(spark, sf_dir).selectExpr(f"concat(package, '/', {TREE_PATH.format(group='$1')}) AS path", "content").where("content IS NOT NULL")
+    rows.mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+    return root
+
+
+VTREE = f"vtree AS (SELECT package, {TREE_PATH.format(group=chr(92) + '1')} AS file_context, bytes, text FROM vfiles WHERE text IS NOT NULL)"
+
+
 def vsegments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a shell segment with findings put at the ends of lines."""
     parts = "split(text, '\\r\\n|\\n|\\r', -1)"

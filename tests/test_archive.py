@@ -41,6 +41,70 @@ def test_walk_and_refusals():
         list(walk(tar({"p/a": b"0" * 10**6}), max_bytes=1000))
 
 
+def test_memory_is_bounded(tmp_path):
+    """An archive of 250 files of 8 MB, all kept: 200 MB of memory suffice, whatever the archive's size."""
+    import subprocess
+    import sys
+
+    with open(tmp_path / "big_1.0.tar", "wb") as f:
+        for i in range(250):
+            info = tarfile.TarInfo(f"big/{i}.bin")
+            info.size = 8 << 20
+            f.write(info.tobuf(tarfile.USTAR_FORMAT))
+            f.seek(info.size, 1)
+        f.write(b"\0" * 1024)
+    code = f"""
+import resource
+from surfacescan.sources.archive import ArchiveReader, Archives
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+r = ArchiveReader(dict(paths='["{tmp_path}"]', mode="files", keep=str(10 << 20), archive_limit=str(2 << 30), splits="4", caps="{{}}"))
+n = held = 0
+for part in r.partitions():
+    for b in r.read(part):
+        n, held = n + b.num_rows, max(held, b.nbytes)
+        assert b.column(6).null_count == b.num_rows, b.column(6)
+print(n, held, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base)
+"""
+    n, held, grown = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert n == 250 and held < 32 << 20 and grown < 150 << 10  # kilobytes
+
+
+def test_conditions_spare_the_reading(tmp_path, monkeypatch):
+    from surfacescan.sources import archive, folder
+
+    for name in ("pkg", "other"):
+        (tmp_path / f"{name}_1.0.tar.gz").write_bytes(tar({f"{name}/DESCRIPTION": b"x", f"{name}/big": b"y" * 5000}))
+    (tmp_path / ".bad_2.tar.gz").write_bytes(b"x")
+    with open(tmp_path / "huge_1.tar", "wb") as f:
+        f.truncate(3 << 30)
+    opens, read = [], folder.Local.open
+    monkeypatch.setattr(folder.Local, "open", lambda self, path: opens.append(path.rsplit("/", 1)[1]) or read(self, path))
+
+    def rows(mode="files", **wanted):
+        opens.clear()
+        r = archive.ArchiveReader(dict(paths=f'["{tmp_path}"]', mode=mode, keep="1000000", archive_limit=str(2 << 30), splits="2", caps="{}", **folder.Wanted.options(**wanted)))
+        return sorted(((x["package"], x["file_context"] or x["verdict"], x["content"] is not None) for part in r.partitions() for b in r.read(part) for x in b.to_pylist()), key=str)
+
+    bad = [(".bad", "neither gzip nor plain tar", False), ("huge", f"archive of more than {2 << 30} bytes", False)]
+    assert rows() == [*bad, *((p, x, True) for p in ("other", "pkg") for x in ("DESCRIPTION", "big"))] and "huge_1.tar" not in opens
+    assert rows(packages=["pkg"], largest=100) == [("pkg", "DESCRIPTION", True)] and set(opens) == {"pkg_1.0.tar.gz"}
+    assert rows("verdicts") == [*bad, ("other", None, False), ("pkg", None, False)] and opens.count("pkg_1.0.tar.gz") == 1  # headers only
+
+
+def test_paths_of_archives(tmp_path):
+    from surfacescan.sources.archive import listed
+
+    for d in ("a", "b"):
+        (tmp_path / d).mkdir()
+        for name in ("x_1.tar.gz", ".y.tgz", "z[1].tar", "no.zip"):
+            (tmp_path / d / name).write_bytes(b"1")
+    names = lambda p: sorted(x.removeprefix(f"{tmp_path}/") for x, _ in listed(f"{tmp_path}/{p}"))
+    assert names("a") == names("a/") == ["a/.y.tgz", "a/x_1.tar.gz", "a/z[1].tar"] and names("a/x_1.tar.gz") == ["a/x_1.tar.gz"]
+    assert names("*/x_*") == ["a/x_1.tar.gz", "b/x_1.tar.gz"] and names("a/z[1].tar") == ["a/z[1].tar"] and names("[ab]/.y*") == ["a/.y.tgz", "b/.y.tgz"]
+    with pytest.raises(FileNotFoundError):
+        listed(f"{tmp_path}/none")
+
+
 def test_problems():
     entries = lambda *a, **k: [e for e, _ in walk(tar(*a, **k))]
     assert problems(entries(GOOD)) == []
@@ -86,7 +150,42 @@ def test_streams(spark, tmp_path):
     (tmp_path / "tars/pkg_1.0.tar.gz").write_bytes(tar(GOOD))
     for _ in range(2):  # the second run finds nothing new
         stream_archives(spark, str(tmp_path / "tars"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert [(r["rule"], r["batch"]) for r in spark.read.parquet(str(tmp_path / "out/matches")).collect()] == [("curl", 0)]
+    hits = lambda: sorted((r["rule"], r["batch"], r["package"]) for r in spark.read.parquet(str(tmp_path / "out/matches")).collect())
+    assert hits() == [("curl", 0, "pkg")]
+    (tmp_path / "tars/more_1.0.tar.gz").write_bytes(tar({"more/configure": b"wget x\n"}))
+    stream_archives(spark, str(tmp_path / "tars"), str(tmp_path / "out"), str(tmp_path / "cp2")).awaitTermination()  # a new checkpoint: only the new archive
+    assert hits() == [("curl", 0, "pkg"), ("wget", 0, "more")]
+
+
+def test_a_batch_that_comes_again_leaves_nothing_twice(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from surfacescan.streaming.dropbox import SURVEYED, write_batch
+
+    for name in ("a", "b"):
+        (tmp_path / f"{name}_1.0.tar.gz").write_bytes(tar({f"{name}/configure": b"curl x\n", f"{name}/DESCRIPTION": b"Package: z\nVersion: 1.0\n"}))
+    (tmp_path / "bad_1.0.tar.gz").write_bytes(b"no tar")
+    archives = spark.read.format("binaryFile").load(str(tmp_path / "*.gz")).select("path", "modificationTime", "length")
+    out, write, written = str(tmp_path / "out"), DataFrameWriter.parquet, []
+
+    def killed(self, path, *more, **named):
+        if len(written) == 3:
+            raise KeyboardInterrupt
+        written.append(path)
+        return write(self, path, *more, **named)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", killed)
+    with pytest.raises(KeyboardInterrupt):
+        write_batch(spark, archives, "r", 0, out)
+    monkeypatch.undo()
+    counts = lambda: {n: spark.read.parquet(f"{out}/{n}").count() for n in SURVEYED}
+    assert write_batch(spark, archives, "r", 0, out) == 3
+    first = counts()
+    assert first["matches"] == 2 and first["provenance"] == 2 and first["errors"] == 1
+    assert write_batch(spark, archives, "r", 0, out) == 3 and counts() == first  # replayed once more
+    for name in ("a", "b", "bad"):  # finished archives are not opened, whoever comes: only their time and length count
+        (tmp_path / f"{name}_1.0.tar.gz").rename(tmp_path / f"gone-{name}")
+    assert write_batch(spark, archives.sparkSession.read.parquet(f"{out}/finished").select("path", "modificationTime", "length"), "other", 7, out) == 0 and counts() == first
 
 
 def test_gzip_is_told_by_its_magic():

@@ -225,6 +225,14 @@ def test_versions_of_a_package_stay_apart(spark):
     assert sorted((r["version"], r["rule"], r["file_context"]) for r in done.patterns.collect()) == [("1", "system", "R/a.R"), ("1", "system", "man/a.Rd"), ("2", "source", "R/a.R")]
     docs = {r["version"]: json.loads(r["sarif"])["runs"][0] for r in sarif.emit_sarif(done).collect()}
     assert {v: sorted(x["ruleId"] for x in d["results"]) for v, d in docs.items()} == {"1": ["pattern/system", "pattern/system"], "2": ["pattern/source"]}
+    one, two = (" ".join(report.text_report(done, "p", version=v).split()) for v in ("1", "2"))
+    assert "Version: 1" in one and "system" in one and "source" not in one and "Version: 2" in two and "source" in two and "system" not in two
+    assert "Patterns: 2" in " ".join(report.short_text(done, "p", "1").split()) and "Patterns: 1" in " ".join(report.short_text(done, "p", "2").split())
+    for wrong in (None, "3"):
+        with pytest.raises(ValueError, match="versions 1, 2" if wrong is None else "no package p 3"):
+            report.text_report(done, "p", version=wrong)
+    contexts = [tuple(r) for r in report.summarize_contexts(done.file_contexts.unionByName(done.file_contexts)).collect()]
+    assert contexts == sorted(set(contexts))
     jobs = export.export_jobs(done.coverage)
     assert sorted((r["target"], r["collides"]) for r in jobs.collect()) == [("p/1/src/a.c", False), ("p/2/src/a.c", False)]
 
@@ -251,6 +259,39 @@ def test_failures_cost_themselves_alone(spark):
     assert any("line rules failed" in x for x in report.error_notes(done.errors)) and any("could not be applied" in x for x in report.error_notes(done.errors))
 
 
+def test_analyzers_that_fail_at_run_time(spark):
+    from surfacescan.operators.analyze import PerSegment
+
+    rules = default_rules()
+    next(r for r in rules.file_contexts if r["name"] == "exec_other")["type"] = "py"
+    files = from_memory(spark, {"p": {"exec/a.py": ["import os", "os.system('x')"], "exec/b.py": ["boom"], "exec/c.py": ["x"]}, "q": {"exec/d.py": [" os.system('y')"], "configure": ["wget z"]}})
+    extractors = {"py": lambda lines, meta: [("python", None, lines, [])]}
+
+    def find(lines, facts):
+        if lines[0] == "boom":
+            raise RuntimeError(f"no {facts['file_context']}")
+        return [{"rule": "os_system", "line_number": i, "column_number": x.index("os.") + 1, "message": "runs a command"} for i, x in enumerate(lines, 1) if "os.system" in x]
+
+    done = audit(files, rules, extractors=extractors, analyzers={"python": PerSegment(find)}).validate()
+    hits = lambda a: sorted((r["package"], r["rule"], r["file_context"], r["line_number"], r["column_number"], r["preview"]) for r in a.matches.collect())
+    wget = ("q", "wget", "configure", 1, 1, "wget z")
+    assert hits(done) == [("p", "os_system", "exec/a.py", 2, 1, "os.system('x')"), ("q", "os_system", "exec/d.py", 1, 2, "os.system('y')"), wget]
+    assert [tuple(r) for r in done.errors.select("package", "step", "file_context", "rule", "message").collect()] == [("p", "find_matches", "exec/b.py", "python", "RuntimeError: no exec/b.py")]
+
+    def frame(segments):  # raises in the tasks, beyond the reach of a plan's try
+        def run(it):
+            for pdf in it:
+                raise RuntimeError("at run time")
+                yield pdf
+
+        return segments.mapInPandas(run, "package string, version string, rule string, file_context string, line_number int, column_number int, preview string, message string, attck string")
+
+    done = audit(files, rules, extractors=extractors, analyzers={"python": frame}).validate()
+    assert hits(done) == [wget]
+    errors = done.errors.collect()
+    assert sorted((r["package"], r["step"], r["file_context"], r["rule"]) for r in errors) == [(p, "find_matches", None, "python") for p in "pq"] and "at run time" in errors[0]["message"]
+
+
 def test_links_are_not_read(spark, tmp_path):
     from surfacescan.sources import read_tree
 
