@@ -1,14 +1,19 @@
 """Secret scan: fixed patterns, and novelty measured with a dictionary-primed zstandard compressor.
 
 Every whole text is read. The fixed patterns ("assign", "access", "hex") always report. Beside them,
-strings of secret-like shape near a sensitive word, before or after it, are candidates: a candidate's
-novelty is its marginal compressed size, that of (context + candidate) less that of the context alone,
-under a compressor primed with a dictionary: common code words and the identifiers that occur most often
-in all of the documents. A candidate that needs nearly as many bytes as its own alphabet has entropy to
-give is reported as kind "novel". Words, paths and variants of near identifiers compress well against
-the dictionary or their surroundings and stay out; a candidate's own copies are taken out of its
-surroundings first. A candidate reaches from end to end of its character run, however long, less what
-fixed patterns report; it is measured window by window, until one is novel.
+runs of LEAST characters and more that a secret may have, at most REACH characters from a sensitive word,
+before or after it, are candidates. A candidate's novelty is its marginal compressed size, that of
+(surroundings + candidate) less that of the surroundings alone, by character, under a compressor primed
+with a dictionary: the words of a public tokenizer's vocabulary, the identifiers that occur most often in
+all of the documents, and common code words. Candidate and surroundings (CONTEXT characters on each side)
+are first written as names are spoken: split where case, digits or signs change, in small letters. The
+words of a name are then matches of a few bytes each, whatever its style, while every letter of a random
+string costs a byte, and what falls between its short parts another. The measure is thus held against that
+of names put together from the dictionary, not against an alphabet: of these, with 3 to 6 words, 98 in 100
+and more cost less than NEAR bytes a character, and random strings with letters cost more. A stretch without letters is no name: there the entropy of its signs decides. A candidate
+reaches from end to end of its character run, however long, less what fixed patterns report; it is measured
+window by window, until one is novel. A candidate's own copies are taken out of its surroundings first.
+Names of unknown words, in no dictionary and not near by, are reported.
 
 The identifiers are counted over all documents, pre-aggregated; DICTIONARY_WORDS of them reach the
 driver. The scan is map only: a batch of rows bounds the memory. Cases: a null or empty text gives zero
@@ -20,6 +25,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import json
 import math
 import re
 from collections import Counter
@@ -44,14 +50,19 @@ SENSITIVE = re.compile(r"password|passwd|passphrase|secret|token|api.?key|creden
 REACH = 48
 LEAST = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST, re.ASCII)
-#: Characters of a candidate measured at a time.
-WINDOW = 256
-#: Surrounding characters given to the compressor on each side.
-CONTEXT = 192
-#: Share of its alphabet's entropy, in marginal compressed bytes, from which a candidate counts as incompressible.
-NEAR = 0.95
-#: Signs of each class of characters; a candidate's alphabet is that of its classes.
-CLASSES = ((re.compile("[a-z]"), 26), (re.compile("[A-Z]"), 26), (re.compile("[0-9]"), 10), (re.compile("[+/_=-]"), 5))
+#: Characters of a candidate measured at a time: too few for the compressor to code letters by their frequency.
+WINDOW = 48
+#: Surrounding characters given to the compressor on each side, and its level.
+CONTEXT, LEVEL = 192, 12
+#: Marginal compressed bytes a character from which a stretch with letters counts as no name; the share of their entropy from which one without does.
+NEAR, NEAR_SIGNS = 0.7, 0.95
+#: A part of a name: small letters with or without a capital, capitals, or digits.
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]|[0-9]+", re.ASCII)
+#: Least letters of a word of the vocabulary that is used.
+SHORTEST_WORD = 4
+#: Signs of each class of characters without letters.
+CLASSES = ((re.compile("[0-9]"), 10), (re.compile("[+/_=-]"), 5))
+LETTER = re.compile("[A-Za-z]")
 #: Identifiers of the documents in the dictionary, and their least length.
 DICTIONARY_WORDS, SHORTEST = 3000, 6
 #: Words that a task counts before it passes the counts on.
@@ -99,24 +110,44 @@ def identifiers(docs: DataFrame, most: int = DICTIONARY_WORDS) -> str:
     return " ".join(r["word"] for r in reversed(counts.orderBy(F.desc("n"), "word").limit(most).collect()))
 
 
+def default_vocabulary() -> str:
+    """A public tokenizer's file, for the words in its vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@lru_cache(2)
+def vocabulary(path: str) -> str:
+    """The vocabulary's words in small letters, the most frequent (lowest ids) last."""
+    with open(path, encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    spelt = (t[1:] if t[:1] == "\u0120" else t for t in sorted(ids, key=ids.get))
+    return " ".join(reversed(dict.fromkeys(t.lower() for t in spelt if len(t) >= SHORTEST_WORD and t.isascii() and t.isalpha())))
+
+
+def spoken(s: str) -> str:
+    """The parts of names, in small letters."""
+    return " ".join(PART.findall(s)).lower()
+
+
 @lru_cache(4)
-def _compressor(words: str) -> zstandard.ZstdCompressor:
-    primed = zstandard.ZstdCompressionDict(f"{words} {IDENTIFIERS}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    primed.precompute_compress(level=6)
-    return zstandard.ZstdCompressor(level=6, dict_data=primed, write_content_size=False, write_checksum=False)
+def _compressor(words: str, path: str) -> zstandard.ZstdCompressor:
+    body = f"{vocabulary(path)} {spoken(words)} {spoken(IDENTIFIERS)}"
+    primed = zstandard.ZstdCompressionDict(body.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_content_size=False, write_checksum=False)
 
 
-def novelty(before: str, candidate: str, after: str, words: str = "") -> float:
-    """Marginal compressed bytes of the candidate, per byte."""
-    c, context = _compressor(words), f"{after}\n{before}".encode()
-    body = candidate.encode()
-    return (len(c.compress(context + body)) - len(c.compress(context))) / len(body)
+def novelty(before: str, candidate: str, after: str, words: str = "", path: str | None = None) -> float:
+    """Marginal compressed bytes of the candidate, by character. words: identifiers for the dictionary; path: a tokenizer file other than the default one."""
+    c, context = _compressor(words, path or default_vocabulary()), f"{spoken(after)} {spoken(before)} ".encode()
+    body = (spoken(candidate) if LETTER.search(candidate) else candidate).encode()
+    return (len(c.compress(context + body)) - len(c.compress(context))) / len(candidate)
 
 
 def entropy(s: str) -> float:
-    """Bytes that a character of a string's alphabet can carry."""
-    if not re.search("[g-zG-Z+/_=-]", s) and re.search("[a-fA-F]", s):
-        return 0.5
+    """Bytes that a character can carry, of those that s has classes of."""
     return math.log2(max(2, sum(n for rx, n in CLASSES if rx.search(s)))) / 8
 
 
@@ -153,25 +184,27 @@ def _uncovered(s: int, e: int, covered: list[tuple[int, int]]) -> list[tuple[int
     return [(a, b) for a, b in [*out, (at, e)] if b - a >= LEAST]
 
 
-def _context(text: str, s: int, e: int) -> tuple[str, str]:
-    """The CONTEXT characters on each side of s to e, without copies of what stands there: copies would hide one another."""
-    body, n = text[s:e], e - s
+def _context(text: str, s: int, e: int, part: str) -> tuple[str, str]:
+    """The CONTEXT characters on each side of a candidate s to e, without copies of the part that is measured: copies would hide one another. What else the candidate holds is left out too: many random letters would teach the compressor their frequencies."""
+    n = len(part)
     before, after = text[max(0, s - CONTEXT - n) : s], text[e : e + CONTEXT + n]
-    return before.replace(body, "\0" * n)[-CONTEXT:].replace("\0", ""), after.replace(body, "\0" * n)[:CONTEXT].replace("\0", "")
+    return before.replace(part, "\0" * n)[-CONTEXT:].replace("\0", ""), after.replace(part, "\0" * n)[:CONTEXT].replace("\0", "")
 
 
-def _novel(text: str, s: int, e: int, words: str) -> bool:
+def _novel(text: str, s: int, e: int, words: str, path: str | None) -> bool:
     """Whether a window of the candidate is novel."""
     for b in range(s + WINDOW, e + WINDOW, WINDOW):
         b = min(b, e)
         a = max(s, b - WINDOW)
-        before, after = _context(text, a, b)
-        if novelty(before, text[a:b], after, words) >= NEAR * entropy(text[a:b]):
+        part = text[a:b]
+        before, after = _context(text, s, e, part)
+        least = NEAR if LETTER.search(part) else NEAR_SIGNS * entropy(part)
+        if novelty(before, part, after, words, path) >= least:
             return True
     return False
 
 
-def novel_spans(text: str, known: list[tuple[int, int, str]], words: str = "") -> list[tuple[int, int, str]]:
+def novel_spans(text: str, known: list[tuple[int, int, str]], words: str = "", path: str | None = None) -> list[tuple[int, int, str]]:
     """Spans that the method adds: incompressible candidates near a sensitive word, as far as not already covered."""
     begins, ends = [], []
     for m in SENSITIVE.finditer(text):
@@ -184,28 +217,28 @@ def novel_spans(text: str, known: list[tuple[int, int, str]], words: str = "") -
         s, e = m.span()
         i = bisect.bisect_left(ends, s - REACH)
         if i < len(begins) and begins[i] <= e + REACH:
-            out += [(a, b, "novel") for a, b in _uncovered(s, e, covered) if _novel(text, a, b, words)]
+            out += [(a, b, "novel") for a, b in _uncovered(s, e, covered) if _novel(text, a, b, words, path)]
     return out
 
 
-def find(text: str | None, words: str = "") -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def find(text: str | None, words: str = "", path: str | None = None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and those that novelty adds."""
     if not text:
         return [], []
     base = base_spans(text)
-    return base, novel_spans(text, base, words)
+    return base, novel_spans(text, base, words, path)
 
 
 def listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]))))
 
 
-def _scan(words: str):
+def _scan(words: str, path: str | None):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             rows = []
             for text in b.column(1).to_pylist():
-                base, novel = find(text, words)
+                base, novel = find(text, words, path)
                 kinds = [k for _, _, k in base]
                 rows.append((*(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + novel), len(novel)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
@@ -214,9 +247,9 @@ def _scan(words: str):
     return run
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: counts by kind, the digest of the base spans and all spans."""
-    return texts(docs).mapInArrow(_scan(identifiers(docs)), SCHEMA)
+def scan(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """One row per row of docs: counts by kind, the digest of the base spans and all spans. path: a tokenizer file that all executors see, instead of the default one."""
+    return texts(docs).mapInArrow(_scan(identifiers(docs), path), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,9 +259,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- masking, for filters and pipelines
 
 
-def mask(text: str, words: str = "") -> str:
+def mask(text: str, words: str = "", path: str | None = None) -> str:
     """The text with each reported span replaced by a marker of its kind; overlapping spans merge."""
-    base, novel = find(text, words)
+    base, novel = find(text, words, path)
     out, at = [], 0
     for s, e, k in sorted(base + novel):
         if s >= at:
@@ -237,7 +270,7 @@ def mask(text: str, words: str = "") -> str:
     return "".join([*out, text[at:]])
 
 
-def masked(docs: DataFrame) -> DataFrame:
+def masked(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs with every secret in `text` masked and, where there is one, `n_chars` brought up to date. All rows and columns stay."""
     names = docs.columns
     at = names.index("text")
@@ -248,7 +281,7 @@ def masked(docs: DataFrame) -> DataFrame:
         for b in batches(it):
             columns = list(b.columns)
             before = columns[at].to_pylist()
-            after = [x if not x else mask(x, words) for x in before]
+            after = [x if not x else mask(x, words, path) for x in before]
             columns[at] = pa.array(after, b.schema.field(at).type)
             if count is not None:
                 was = columns[count].to_pylist()

@@ -77,6 +77,31 @@ def test_secrets_of_any_alphabet_before_and_after_the_word():
         assert secrets.mask(f"the token {plain} here") == f"the token {plain} here"
 
 
+STYLES = (lambda w: w[0] + "".join(x.capitalize() for x in w[1:]), lambda w: "".join(x.capitalize() for x in w), "_".join, "-".join, "/".join, lambda w: "_".join(w).upper())
+
+
+def test_names_of_known_words_stay_and_random_strings_go():
+    """Both sides: at most 5 % of 2,000 names and paths of dictionary words are reported, and 95 % of random strings of each alphabet at least."""
+    import string
+
+    rng = np.random.default_rng(21)
+    vocabulary = secrets.vocabulary(secrets.default_vocabulary()).split()
+    own = ["".join(rng.choice(list("aeioulnrst"), rng.integers(5, 9))) for _ in range(400)]  # words that only the documents know
+    hit = lambda s, words="": secrets.mask(f"the auth is {s} here", words) != f"the auth is {s} here"
+    for source, words in ((vocabulary[-6000:], ""), (vocabulary, ""), (secrets.spoken(secrets.IDENTIFIERS).split(), ""), (own, " ".join(own))):
+        names = []
+        while len(names) < 2000:
+            name = STYLES[len(names) % len(STYLES)]([source[i] for i in rng.integers(0, len(source), rng.integers(3, 7))])
+            names += [name] if len(name) >= secrets.LEAST else []
+        assert sum(hit(x, words) for x in names) <= 0.05 * len(names)
+    hexes = string.digits + "ABCDEF"
+    for signs in (string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", hexes, hexes.lower(), string.digits, string.ascii_uppercase + "234567"):
+        drawn = ["".join(rng.choice(list(signs), n)) for n in [*range(20, 64), 100, 200, 600] * 4]
+        assert sum(map(hit, drawn)) >= 0.95 * len(drawn), signs
+    for text in ("see https://docs.example.org/guides/authentication/overview/getting-started.html for token auth", "signature org/apache/hadoop/mapreduce/lib/output/FileOutputFormat x"):
+        assert secrets.mask(text) == text
+
+
 def test_identifiers_come_from_all_documents_and_hold_no_candidates(spark):
     docs = documents(spark, ["zufallswort wiederholt"] * 5 + ["einmalig " + "q9Z" * 10, None, "abcdef " + "Q" * 25], repeat=False)
     assert secrets.identifiers(docs).split() == ["einmalig", "abcdef", "zufallswort", "wiederholt"]
