@@ -10,13 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..rules import RuleBase, data
+from . import xpath
+from .xpath import AT, SEG
 
-SEG = ["package", "version", "file_context", "rule", "seg_ord"]
-AT = [*SEG, "pre"]
 _FOUND = ["found", "indirect", "lpre", *AT, "size", "line1", "col1", "line2", "in_function"]
 
 
@@ -44,12 +44,8 @@ def _expressions(nodes: DataFrame, inner: DataFrame, column: str) -> DataFrame:
 
 
 def _holding(outer: DataFrame, inner: DataFrame) -> DataFrame:
-    """Outer nodes with an inner one in their subtree: the next inner node in pre-order lies in it or none does. One sort of a segment's nodes and one pass backwards over them."""
-    rows = outer.withColumn("__inner", F.lit(None).cast("int")).unionByName(inner.select(*SEG, "pre", F.col("pre").alias("__inner")), allowMissingColumns=True)
-    # Backwards, an inner node comes after the outer row of the same node, which it is not below.
-    back = Window.partitionBy(*SEG).orderBy(F.desc("pre"), F.col("__inner").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("__next", F.last("__inner", ignorenulls=True).over(back))
-    return rows.where("__inner IS NULL AND __next <= pre + size").drop("__inner", "__next")
+    """Outer nodes with an inner one in their subtree."""
+    return xpath.having(outer, "descendant", inner)
 
 
 def _direct(df: DataFrame) -> DataFrame:
@@ -59,8 +55,9 @@ def _direct(df: DataFrame) -> DataFrame:
 def find_patterns(nodes: DataFrame, rules: RuleBase) -> DataFrame:
     """Each (rule, node) once: found (the rule), indirect, lpre (document order), the node's keys, extent and in_function."""
     spark = nodes.sparkSession
-    functions = {r["name"]: r["functions"] for r in rules.patterns}
-    out = [_named(nodes, functions)]
+    functions = {r["name"]: r["functions"] for r in rules.patterns if "xpath" not in r}
+    out = [_named(nodes, functions)] + [xpath.select(nodes, r["xpath"]).withColumn("found", F.lit(r["name"])) for r in rules.patterns if "xpath" in r]
+    builtin = {r["name"] for r in rules.patterns if "xpath" not in r}  # a rule's expression stands for all that it seeks
     packages = spark.createDataFrame(data.PACKAGE_CALLS, "found string, name string, of string")
     c = nodes.where("tag = 'SYMBOL_FUNCTION_CALL' AND prev_pkg IS NOT NULL")
     out.append(c.join(F.broadcast(packages), (c.text == packages.name) & (c.prev_pkg == packages.of)))
@@ -87,10 +84,12 @@ def find_patterns(nodes: DataFrame, rules: RuleBase) -> DataFrame:
     asked = asked.select(*[F.col(k).alias(f"v_{k}") for k in SEG], F.col("gparent").alias("v_at"))
     env = _named(nodes, {"credentials": ["Sys.getenv"]})
     out.append(env.join(asked, [*(env[k].eqNullSafe(asked[f"v_{k}"]) for k in SEG), env.gparent == asked.v_at], "left_semi"))
-    found = _direct(out[0])
-    for df in out[1:]:
-        found = found.unionByName(_direct(df))
-    return found.dropDuplicates(["found", *AT])
+    expressions = len([r for r in rules.patterns if "xpath" in r])
+    found = None
+    for k, df in enumerate(out):
+        one = _direct(df).withColumn("by_xpath", F.lit(1 <= k <= expressions))
+        found = one if found is None else found.unionByName(one)
+    return found.where(F.col("found").isin(*builtin) | F.col("by_xpath")).drop("by_xpath").dropDuplicates(["found", *AT])
 
 
 def find_indirect(nodes: DataFrame, rules: RuleBase) -> DataFrame:
@@ -126,7 +125,11 @@ def find_code_contexts(nodes: DataFrame, rules: RuleBase) -> DataFrame:
     called = calls(nodes).join(F.broadcast(kinds["call"]), F.col("text") == F.col("target")).withColumn("found", F.col("context"))
     registered = _expressions(nodes, called, "gparent").withColumn("context", F.col("found"))
     cols = ["context", *AT, "size", "line1", "col1"]
-    return hooks.select(cols).unionByName(registered.select(cols))
+    out = hooks.select(cols).unionByName(registered.select(cols))
+    for r in rules.code_contexts:
+        if r["how"] == "xpath":
+            out = out.unionByName(xpath.select(nodes, r["xpath"]).withColumn("context", F.lit(r["name"])).select(cols))
+    return out
 
 
 def _innermost():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -13,7 +13,7 @@ from ..functions.paths import over_limit
 from ..operators import claims, coverage, extract, matches, patterns, phases
 from ..operators.analyze import analyze
 from ..rules import RuleBase, default_rules
-from ..rules.base import engine_regex_problem
+from ..rules.base import engine_regex_problem, xpath_problem
 
 ENGINE_VERSION = "0.1.0"
 KEYS = ["package", "version", "file_context"]
@@ -89,7 +89,9 @@ def rule_errors(files: DataFrame, rules: RuleBase) -> tuple[RuleBase, DataFrame]
     broken = []
     for table, column, step in (("file_contexts", "filename", "find_file_contexts"), ("matches", "regex", "find_matches")):
         broken += [(table, step, r["name"], why) for r in getattr(rules, table) if (why := engine_regex_problem(files.sparkSession, r[column]))]
-    keep = replace(rules, **{t: [r for r in getattr(rules, t) if (t, r["name"]) not in {(b[0], b[2]) for b in broken}] for t in ("file_contexts", "matches")})
+    for table, step in (("patterns", "find_patterns"), ("code_contexts", "find_code_contexts")):
+        broken += [(table, step, r["name"], f"XPath {why}") for r in getattr(rules, table) if "xpath" in r and (why := xpath_problem(r["xpath"]))]
+    keep = replace(rules, **{t: [r for r in getattr(rules, t) if (t, r["name"]) not in {(b[0], b[2]) for b in broken}] for t in ("file_contexts", "matches", "patterns", "code_contexts")})
     rows = [F.struct(F.lit(step).alias("step"), F.lit(None).cast("string").alias("file_context"), F.lit(name).alias("rule"), F.lit(why).alias("message")) for _, step, name, why in broken]
     none = "array<struct<step:string,file_context:string,rule:string,message:string>>"
     packages = files.select("package", "version").distinct()
@@ -191,3 +193,20 @@ def audit(files: DataFrame, rules: RuleBase | None = None, scanned: str = "1970-
         shape("coverage", cover), shape("errors", errors), scans(files, rules, scanned, path, tarball),
         [all_segments, all_nodes] if persist else [],
     )
+
+
+def broken_examples(spark: SparkSession, rules: RuleBase) -> list[tuple[str, str, str]]:
+    """(rule, kind, code) of what syntax rules and code contexts say of themselves and do not hold to.
+
+    Each positive example must be found and each negative one not; a declared function, called bare, must be
+    found by its rule ("functions"), so that a call that names it by a string is rightly laid to that rule.
+    """
+    cases = [(r["name"], kind, x) for r in [*rules.patterns, *rules.code_contexts] for kind in ("positive_examples", "negative_examples") for x in r.get(kind, ())]
+    cases += [(r["name"], "functions", f"{f}()") for r in rules.patterns for f in r["functions"]]
+    rows = [(name, None, str(i), kind, 0, "R", x.split("\n")) for i, (name, kind, x) in enumerate(cases)]
+    nodes = extract.parse_segments(spark.createDataFrame(rows, "package string, version string, file_context string, rule string, seg_ord int, language string, lines array<string>")).where("pre IS NOT NULL")
+    nodes = nodes.persist()
+    hits = patterns.find_patterns(nodes, rules).where("found = package").select("file_context").union(patterns.find_code_contexts(nodes, rules).where("context = package").select("file_context"))
+    found = {int(r["file_context"]) for r in hits.distinct().collect()}  # a few hundred at most
+    nodes.unpersist()
+    return [case for i, case in enumerate(cases) if (i in found) != (case[1] != "negative_examples")]

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths
 from .functions.findings import in_phase
+from .functions.regex import to_java
 from .operators import claims, coverage, export, extract, matches, patterns, phases, report, sarif
 from .operators.analyze import PerSegment
 from .plans import corpus
 from .plans.audit import audit, manifest, rule_errors
 from .rules import RuleBase, default_rules
+from .rules.expressions import in_xpath
 from .schemas import PHASES, STATUSES
 from .sources import read_tree
 from .sources.archive import validate_entries
@@ -225,6 +228,12 @@ def _(s, d):
     return matches.find_matches(vsegments(s, d), RULES).select("package", "file_context", "rule", "line_number", "column_number")
 
 
+@query("match_posix", ORACLES["match_positions"])
+def _(s, d):
+    posix = [r | {"regex": to_java(r["regex"].replace(r"\p{Alnum}", "[:alnum:]").replace(r"\s", "[[:space:]]"))} for r in RULES.matches]
+    return matches.find_matches(vsegments(s, d), replace(RULES, matches=posix)).select("package", "file_context", "rule", "line_number", "column_number")
+
+
 _LEAD, _AT = r"length(regexp_extract(line, '^(\s*)', 1))", "length(plain) + 5"
 PREVIEWED = rf"""previewed AS (
   SELECT package, file_context, {_RULED} AS rule, line_number, CAST({_AT} AS INTEGER) AS column_number, line, {_LEAD} AS lead, CASE WHEN {_AT} > {_LEAD} + 57 THEN {_AT} - 16 ELSE {_LEAD} + 1 END AS start FROM vlines WHERE k < {len(SNIPPETS) - 1}),
@@ -480,6 +489,11 @@ def _(s, d):
     return audit(vcode(s, d), RULES, persist=False).patterns.select("package", "file_context", "rule", "line_number", "column_number", "code_context", "indirect")
 
 
+@query("xpath_findings", ORACLES["pattern_findings"])
+def _(s, d):
+    return audit(vcode(s, d), in_xpath(RULES), persist=False).patterns.select("package", "file_context", "rule", "line_number", "column_number", "code_context", "indirect")
+
+
 def _broken() -> RuleBase:
     """The rules with a file rule, a line rule and nothing else broken."""
     rules = default_rules()

@@ -8,6 +8,7 @@ import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schemas import CONTEXT_KINDS, FILE_TYPES, PHASES, SEGMENT_LABELS
@@ -88,13 +89,26 @@ FIELDS = {
     "patterns": {"name", "version", "message", "attck", "functions"},
     "matches": {"name", "version", "message", "attck", "regex", "needs", "language"},
 }
+#: Fields that a rule may have: a syntax rule, and a code context whose `how` is xpath, say in XPath what they match.
+OPTIONAL = {"patterns": {"xpath"}, "code_contexts": {"xpath"}}
+
+
+def xpath_problem(xpath: str) -> str | None:
+    """Why an expression is no good as a rule, if it is not."""
+    from ..operators import xpath as read  # the operators import the rules
+
+    try:
+        read.parse(xpath)
+    except read.XPathError as e:
+        return f"is not read: {e}"
+    return None
 
 
 def java_regex_problem(rx: str) -> str | None:
-    """Why an expression is no good as a rule: it does not compile, or it matches the empty string."""
+    """Why an expression is no good as a rule: it does not compile, or it matches the empty string. The engine has the last word (engine_regex_problem); this is its dialect as far as the package regex reads it."""
     try:
-        plain = re.compile(rx.replace(r"\p{Alnum}", "a-zA-Z0-9").replace("(?<=^|", "(?:^|"))
-    except re.error as e:
+        plain = regex.compile(rx)
+    except regex.error as e:
         return f"does not compile: {e}"
     return "matches the empty string" if plain.match("") else None
 
@@ -121,7 +135,7 @@ def validate_rules(base: RuleBase) -> list[str]:
         for r in getattr(base, table):
             if lacking := wanted - r.keys():
                 stop(r, f"missing {', '.join(sorted(lacking))}")
-            warned += [f"{table} {r['name']}: unexpected field {x}" for x in sorted(r.keys() - wanted - {"positive_examples", "negative_examples"})]
+            warned += [f"{table} {r['name']}: unexpected field {x}" for x in sorted(r.keys() - wanted - OPTIONAL.get(table, set()) - {"positive_examples", "negative_examples"})]
             if not isinstance(r["name"], str) or not NAME.fullmatch(r["name"]):
                 stop(r, "bad name")
             if r["name"] in seen:
@@ -154,6 +168,9 @@ def validate_rules(base: RuleBase) -> list[str]:
             stop(r, "kind and matcher disagree")
         if r["how"] == "label" and r["target"] not in SEGMENT_LABELS:
             stop(r, "unknown segment label")
+    for r in [*base.patterns, *base.code_contexts]:
+        if "xpath" in r and (why := xpath_problem(r["xpath"])):
+            stop(r, f"XPath {why}")
     for r in base.matches:
         if r["language"] is not None and (not isinstance(r["language"], str) or not NAME.fullmatch(r["language"])):
             stop(r, "bad language")

@@ -1,5 +1,8 @@
+from dataclasses import replace
+
 import pytest
 
+from surfacescan.functions.regex import RegexError, to_java
 from surfacescan.plans import audit
 from surfacescan.rules import default_rules, load, read_rule, save, validate_rules, with_rules
 from surfacescan.rules.base import java_regex_problem
@@ -108,6 +111,47 @@ positive_examples: ["simmer(1)"]
 negative_examples: ["x$simmer(1)"]
 """
 
+HOOK = """name: hooked
+version: "0.4.0"
+language: R
+message: runs when hooked
+kind: xpath
+xpath: "//expr[LEFT_ASSIGN and expr[1]/SYMBOL[text() = 'hook'] and expr[FUNCTION]]"
+positive_examples: ["hook <- function() 1"]
+negative_examples: ["hook <- 1"]
+""" + "".join(f"{p}: {'TRUE' if p == 'at_load' else 'FALSE'}\n" for p in PHASES)
+SOUGHT = CALL.replace("stew", "broth").replace("functions: [simmer]", "functions: []\nxpath: \"//expr[expr/SYMBOL_FUNCTION_CALL[text() = 'simmer'] and .//STR_CONST[contains(text(), 'bone')]]\"").replace("simmer(1)", "simmer('bone')")
+POSIX = LINE.replace("kettle", "samovar").replace("'boil\\s+\\d+'", "'(?<=^|[^[:alnum:]_-])steep[[:space:]]+[]0-9&&[]+(?=[^[:alnum:]./-]|$)'").replace("boil 3", "steep 3").replace("boil x", "steep x")
+
+
+def test_written_xpath_and_posix_rules(spark, tmp_path):
+    pytest.importorskip("yaml")
+    for name, text in (("a", HOOK), ("b", SOUGHT), ("c", POSIX), ("d", FILE.replace("type: shell", "type: R").replace("code_context: ~", "code_context: [hooked]").replace("assume_called: ~", "assume_called: FALSE"))):
+        (tmp_path / f"{name}.yaml").write_text(text)
+    base = with_rules(default_rules(), tmp_path)
+    files = {"inst/cellar/run": ["hook <- function() {", "  simmer(f('a bone'))", "  simmer('x')", "}"], "configure": ["steep 12", "xsteep 1", "steep ]&[ steep 1.x"]}
+    got = audit(from_memory(spark, {"p": files}), base, persist=False)
+    assert [(r["rule"], r["line_number"], r["code_context"], r["at_load"]) for r in got.patterns.collect()] == [("broth", 2, "hooked", True)]
+    assert sorted((r["rule"], r["line_number"], r["column_number"]) for r in got.matches.collect()) == [("samovar", 1, 1), ("samovar", 3, 1)]
+    save(base, tmp_path / "all.json")
+    assert load(tmp_path / "all.json").code_contexts[-1]["how"] == "xpath"
+    broken = replace(base, patterns=[*base.patterns, base.patterns[-1] | {"name": "torn", "xpath": "//a["}])
+    errors = audit(from_memory(spark, {"p": files}), broken, persist=False).errors.collect()
+    assert [(r["step"], r["rule"]) for r in errors] == [("find_patterns", "torn")] and "XPath" in errors[0]["message"]
+
+
+def test_dialects(spark):
+    """What the translator writes is taken by the engine, and finds what the expression says."""
+    cases = [
+        ("[[:alpha:]_-]+", "é1 a_b-", "a_b-"), ("[^[:space:][:digit:]]+", " 1ab2", "ab"), ("[][]+", "a[]b", "[]"), ("[a&&b]+", "x&&y", "&&"), ("[[:^alnum:]]", "a.", "."), (r"\Qa.b\E+", "xa.bbb", "a.bbb"), ("a.c", "a\u0085c", "a\u0085c"),
+        ("(?P<q>['\"])x(?P=q)", "'x\" \"x\"", '"x"'), ("a(?#note)b", "ab", "ab"), ("(?i)AB", "xab", "ab"), ("a{2,}?", "aaa", "aa"), ("[[:word:]]+$", "a b_1", "b_1"), (r"[\]x]+", "a]x", "]x"), ("(?<=a|bc)d", "bcd", "d"), ("x+?y", "xxy", "xxy"),
+    ]
+    rows = spark.createDataFrame([(t, to_java(rx), w) for rx, t, w in cases], "t string, rx string, w string")
+    assert [(r["rx"], r["got"]) for r in rows.selectExpr("rx", "w", "regexp_extract(t, rx, 0) AS got").collect() if r["got"] != r["w"]] == []
+    for rx, what in (("a++", "possessive"), ("(a)(?1)", "recursion"), ("(?(1)a|b)", "condition"), ("a(*SKIP)b", "verb"), (r"a\Kb", "K"), ("[[.a.]]", "collating"), ("[[:wrong:]]", "wrong"), ("[ab", "not closed"), (r"(a)\g1", "g")):
+        with pytest.raises(RegexError, match=what):
+            to_java(rx)
+
 
 def test_written_rules(spark, tmp_path):
     pytest.importorskip("yaml")
@@ -126,7 +170,7 @@ def test_written_rules(spark, tmp_path):
 @pytest.mark.parametrize(
     "text, why",
     [
-        ("[]", "no fields"), ("name: a", "one of filename"), (CALL + "xpath: //x", "XPath"), (CALL + "note: x", "unexpected note"), (CALL.replace("message: stews\n", ""), "missing message"),
+        ("[]", "no fields"), ("name: a", "one of filename"), (CALL + "xpath: //x[", "XPath"), (HOOK.replace("kind: xpath", "kind: segment"), "must be xpath"), (HOOK.replace("//expr", "expr"), "begins with"), (LINE.replace("boil\\s+", "boil\\s++"), "possessive"), (LINE.replace("boil\\s+", "boil(?R)?"), "recursion"), (LINE.replace("boil\\s+", "boil[[:odd:]]"), "class"), (CALL + "note: x", "unexpected note"), (CALL.replace("message: stews\n", ""), "missing message"),
         (CALL.replace("language: R", "language: C"), "R alone"), (CALL.replace("[simmer]", "simmer"), "functions must be a list"), (LINE.replace("boil x", "boil 4"), "example boil 4"),
         (LINE.replace("boil\\s", "(boil"), "compile"), (FILE.replace("report: TRUE", "report: 1"), "report must be"), (FILE.replace("inst/cellar/run\nneg", "cellar/run\nneg"), "example cellar/run"), (FILE.replace("type: shell", "type: [x]"), "type must be text"),
     ],
