@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import errno
 import os
-from pathlib import Path
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,30 +44,75 @@ def blanked(content: bytes, first: int, last: int) -> bytes:
     return b"\n".join(x if first <= i <= last else b"" for i, x in enumerate(lines, 1))
 
 
+def _folder(at: int, parts: list[str]) -> int:
+    """Descend from an open folder, making folders on the way; each is opened in the one before without following a link, so nothing planted meanwhile leads elsewhere. The caller closes it."""
+    here = os.dup(at)
+    try:
+        for part in parts:
+            with contextlib.suppress(FileExistsError):
+                os.mkdir(part, 0o700, dir_fd=here)
+            below = os.open(part, os.O_RDONLY | os.O_DIRECTORY | os.O_NOFOLLOW | os.O_CLOEXEC, dir_fd=here)
+            os.close(here)
+            here = below
+    except OSError:
+        os.close(here)
+        raise
+    return here
+
+
+def _write(top: int, path: str, body: bytes, overwrite: bool) -> str | None:
+    """Write one file below an open folder; what stood against it, if anything. A file that a lost task has left there whole counts as written."""
+    *folders, name = path.split("/")
+    try:
+        here = _folder(top, folders)
+    except OSError as e:
+        return "escapes target" if e.errno in (errno.ELOOP, errno.ENOTDIR) else "could not write"
+    try:
+        # Under another name first: a task that is killed leaves no half file under the right one.
+        own = f".{name[:200]}.{uuid.uuid4().hex}"
+        with os.fdopen(os.open(own, os.O_WRONLY | os.O_CREAT | os.O_EXCL | os.O_NOFOLLOW | os.O_CLOEXEC, 0o600, dir_fd=here), "wb") as f:
+            f.write(body)
+        try:
+            if overwrite:
+                os.rename(own, name, src_dir_fd=here, dst_dir_fd=here)
+            else:
+                os.link(own, name, src_dir_fd=here, dst_dir_fd=here, follow_symlinks=False)
+        except FileExistsError:
+            with os.fdopen(os.open(name, os.O_RDONLY | os.O_NOFOLLOW | os.O_NONBLOCK | os.O_CLOEXEC, dir_fd=here), "rb") as f:
+                if f.read(len(body) + 1) != body:
+                    return "could not write"
+        finally:
+            with contextlib.suppress(FileNotFoundError):
+                os.unlink(own, dir_fd=here)
+    except OSError:
+        return "could not write"
+    finally:
+        os.close(here)
+    return None
+
+
 def export_unscanned(manifest: DataFrame, folder: str, overwrite: bool = False) -> DataFrame:
-    """Write what the manifest allows below a folder that all executors share; the manifest with `written`. Never deletes or follows links."""
+    """Write what the manifest allows below a folder that all executors share; the manifest with `written`. Never deletes what it has not made or follows links.
+
+    A folder that is not empty is refused, unless overwrite says that files there may be replaced.
+    """
+    os.makedirs(folder, exist_ok=True)
+    if not overwrite and next(os.scandir(folder), None) is not None:
+        raise ValueError(f"{folder} is not empty")
 
     def run(it):
         import pandas as pd
 
-        for pdf in it:
-            out = []
-            for r in pdf.itertuples(index=False):
-                note, to = r.note, Path(folder, r.path)
-                if not isinstance(note, str):
-                    note = None
-                    try:
-                        to.parent.mkdir(parents=True, exist_ok=True)
-                        if not to.parent.resolve().is_relative_to(Path(folder).resolve()):
-                            note = "escapes target"
-                        else:
-                            flags = os.O_WRONLY | os.O_CREAT | os.O_NOFOLLOW | (os.O_TRUNC if overwrite else os.O_EXCL)
-                            with os.fdopen(os.open(to, flags, 0o600), "wb") as f:
-                                f.write(r.content if r.whole else blanked(r.content, int(r.first_line), int(r.last_line)))
-                    except OSError:
-                        note = "could not write"
-                out.append((r.path, r.file_context, r.language, r.first_line, r.last_line, note is None, note))
-            df = pd.DataFrame(out, columns=["path", "file_context", "language", "first_line", "last_line", "written", "note"])
-            yield df.astype({"first_line": "Int32", "last_line": "Int32"})
+        top = os.open(folder, os.O_RDONLY | os.O_DIRECTORY | os.O_CLOEXEC)
+        try:
+            for pdf in it:
+                out = []
+                for r in pdf.itertuples(index=False):
+                    note = r.note if isinstance(r.note, str) else _write(top, r.path, r.content if r.whole else blanked(r.content, int(r.first_line), int(r.last_line)), overwrite)
+                    out.append((r.path, r.file_context, r.language, r.first_line, r.last_line, note is None, note))
+                df = pd.DataFrame(out, columns=["path", "file_context", "language", "first_line", "last_line", "written", "note"])
+                yield df.astype({"first_line": "Int32", "last_line": "Int32"})
+        finally:
+            os.close(top)
 
     return manifest.mapInPandas(run, "path string, file_context string, language string, first_line int, last_line int, written boolean, note string")

@@ -56,7 +56,10 @@ def find_patterns(nodes: DataFrame, rules: RuleBase) -> DataFrame:
     """Each (rule, node) once: found (the rule), indirect, lpre (document order), the node's keys, extent and in_function."""
     spark = nodes.sparkSession
     functions = {r["name"]: r["functions"] for r in rules.patterns if "xpath" not in r}
-    out = [_named(nodes, functions)] + [xpath.select(nodes, r["xpath"]).withColumn("found", F.lit(r["name"])) for r in rules.patterns if "xpath" in r]
+    said = {r["name"]: r["xpath"] for r in rules.patterns if "xpath" in r}
+    if len(said) == len(rules.patterns):
+        return _direct(xpath.select_all(nodes, said))
+    out = [_named(nodes, functions)] + ([xpath.select_all(nodes, said)] if said else [])
     builtin = {r["name"] for r in rules.patterns if "xpath" not in r}  # a rule's expression stands for all that it seeks
     packages = spark.createDataFrame(data.PACKAGE_CALLS, "found string, name string, of string")
     c = nodes.where("tag = 'SYMBOL_FUNCTION_CALL' AND prev_pkg IS NOT NULL")
@@ -84,10 +87,9 @@ def find_patterns(nodes: DataFrame, rules: RuleBase) -> DataFrame:
     asked = asked.select(*[F.col(k).alias(f"v_{k}") for k in SEG], F.col("gparent").alias("v_at"))
     env = _named(nodes, {"credentials": ["Sys.getenv"]})
     out.append(env.join(asked, [*(env[k].eqNullSafe(asked[f"v_{k}"]) for k in SEG), env.gparent == asked.v_at], "left_semi"))
-    expressions = len([r for r in rules.patterns if "xpath" in r])
     found = None
     for k, df in enumerate(out):
-        one = _direct(df).withColumn("by_xpath", F.lit(1 <= k <= expressions))
+        one = _direct(df).withColumn("by_xpath", F.lit(bool(said) and k == 1))
         found = one if found is None else found.unionByName(one)
     return found.where(F.col("found").isin(*builtin) | F.col("by_xpath")).drop("by_xpath").dropDuplicates(["found", *AT])
 
@@ -126,9 +128,10 @@ def find_code_contexts(nodes: DataFrame, rules: RuleBase) -> DataFrame:
     registered = _expressions(nodes, called, "gparent").withColumn("context", F.col("found"))
     cols = ["context", *AT, "size", "line1", "col1"]
     out = hooks.select(cols).unionByName(registered.select(cols))
-    for r in rules.code_contexts:
-        if r["how"] == "xpath":
-            out = out.unionByName(xpath.select(nodes, r["xpath"]).withColumn("context", F.lit(r["name"])).select(cols))
+    said = {r["name"]: r["xpath"] for r in rules.code_contexts if r["how"] == "xpath"}
+    if said:
+        found = xpath.select_all(nodes, said).withColumnRenamed("found", "context").select(cols)
+        return found if all(r["how"] in ("xpath", "label") for r in rules.code_contexts) else out.unionByName(found)
     return out
 
 

@@ -221,6 +221,14 @@ def _named(e) -> Path | None:
     return Path([*steps[:-1], Step(last.axis, last.test, [*last.where, ("cmp", op, own, right)], last.nth)], left.absolute)
 
 
+def _spelt(e) -> list[str] | None:
+    """The literals of a chain of text() = ... or text() = ...; None where it is no such chain."""
+    if isinstance(e, tuple) and e[0] == "or":
+        a, b = _spelt(e[1]), _spelt(e[2])
+        return None if a is None or b is None else a + b
+    return [e[3][1]] if isinstance(e, tuple) and e[:2] == ("cmp", "=") and _own_text(e[2]) and isinstance(e[3], tuple) and e[3][0] == "lit" else None
+
+
 def _local(e) -> str | None:
     """A condition on the context node alone, as SQL that is never null; None where it looks further."""
     if _own_text(e):
@@ -228,6 +236,8 @@ def _local(e) -> str | None:
     if isinstance(e, Path):
         return None
     kind = e[0]
+    if kind == "or" and (words := _spelt(e)) is not None:
+        return f"(text IS NOT NULL AND text IN ({', '.join(_value(('lit', w)) for w in words)}))"
     if kind in ("and", "or"):
         a, b = _local(e[1]), _local(e[2])
         return None if a is None or b is None else f"({a} {kind.upper()} {b})"
@@ -401,11 +411,54 @@ def _selected(e, nodes: DataFrame) -> DataFrame:
     return found
 
 
+def _numbered(nodes: DataFrame, expressions: list) -> DataFrame:
+    """The nodes, with their positions where any expression asks for one."""
+    if not any(map(_positions, expressions)):
+        return nodes
+    among = lambda *keys: F.row_number().over(Window.partitionBy(*SEG, *keys).orderBy("ord"))
+    return nodes.withColumns({"__nth": among("parent", "tag"), "__nth_any": among("parent")})
+
+
 def select(nodes: DataFrame, xpath: str) -> DataFrame:
     """The rows of a node table that an expression selects, each once."""
     e = parse(xpath)
-    if not _positions(e):
-        return _selected(e, nodes)
-    among = lambda *keys: F.row_number().over(Window.partitionBy(*SEG, *keys).orderBy("ord"))
-    nodes = nodes.withColumns({"__nth": among("parent", "tag"), "__nth_any": among("parent")})
-    return _selected(e, nodes).drop("__nth", "__nth_any")
+    return _selected(e, _numbered(nodes, [e])).select(*nodes.columns)
+
+
+def _parts(e) -> list:
+    """The paths that a union is made of."""
+    return [x for y in e[1] for x in _parts(y)] if isinstance(e, tuple) and e[0] == "union" else [e]
+
+
+def _conjuncts(e) -> list:
+    return [x for y in e[1:] for x in _conjuncts(y)] if isinstance(e, tuple) and e[0] == "and" else [e]
+
+
+def select_all(nodes: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """The rows that each rule selects, each once a rule, with the rule's name as `found`.
+
+    Rules that look at nodes of one kind and ask the same of their surroundings, and differ only in what
+    they ask of the node itself, share one plan.
+    """
+    parsed = {name: parse(x) for name, x in rules.items()}
+    nodes = _numbered(nodes, list(parsed.values()))
+    shared: dict[tuple, tuple[list, list]] = {}
+    out = []
+    for name, e in parsed.items():
+        for part in _parts(e):
+            if isinstance(part, Path) and len(part.steps) == 1 and part.steps[0].axis == "descendant" and part.steps[0].nth is None:
+                step = part.steps[0]
+                conditions = [c for w in step.where for c in _conjuncts(w)]
+                wide = [c for c in conditions if _local(c) is None]
+                own = " AND ".join(c for c in map(_local, conditions) if c is not None) or "true"
+                shared.setdefault((step.test, repr(wide)), (wide, []))[1].append((own, name))
+            else:
+                out.append(_selected(part, nodes).withColumn("found", F.lit(name)))
+    for (test, _), (wide, asked) in shared.items():
+        names = ", ".join(f"IF({own}, '{name}', NULL)" for own, name in asked)
+        rows = _tested(nodes, Step("descendant", test)).withColumn("found", F.expr(f"explode(filter(array({names}), x -> x IS NOT NULL))"))
+        out.append(_kept(rows, wide, nodes))
+    found = out[0]
+    for x in out[1:]:
+        found = found.unionByName(x)
+    return found.dropDuplicates(["found", *AT])

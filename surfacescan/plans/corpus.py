@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
@@ -11,6 +13,8 @@ from ..sources.archive import archive_sizes, archive_verdicts, read_archives
 from .audit import Audit, audit, description
 
 QUANTILES = (0.5, 0.9, 0.99, 0.999, 1.0)
+#: Ranges that quantiles() cuts a column into.
+BINS = 256
 
 
 def survey(spark: SparkSession, path: str, rules: RuleBase | None = None, on_error: str = "keep", **caps) -> tuple[Audit, DataFrame, DataFrame]:
@@ -50,9 +54,46 @@ def survey_expansion(spark: SparkSession, path: str, cap: int = 8 * 1024**3) ->
 
 
 def quantiles(df: DataFrame, column: str, at: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """Exact quantiles, linear between neighbours: p, value."""
-    got = df.agg(F.percentile(column, F.array(*map(F.lit, at))).alias("v"))
-    return got.select(F.posexplode("v").alias("i", "value")).select(F.element_at(F.array(*map(F.lit, at)), F.col("i") + 1).alias("p"), "value")
+    """Exact quantiles, linear between neighbours: p, value; no rows where the column has no value.
+
+    By rank: values are counted first, so that frequent ones cost one row, and fall into BINS ranges of
+    like size; only the ranges that hold a wanted rank are sorted, each on its own. The bounds and sizes
+    of the ranges reach the driver, and a row for each quantile.
+    """
+    spark = df.sparkSession
+    counted = cut(df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n")))
+    edges = counted.agg(F.percentile_approx("v", [i / BINS for i in range(1, BINS)], BINS * 10).alias("e")).first()["e"]
+    if edges is None:
+        return spark.createDataFrame([], "p double, value double")
+    edges = sorted(set(edges))
+    binned = counted.withColumn("bin", _searched(edges))
+    sizes = dict(binned.groupBy("bin").agg(F.sum("n").alias("n")).collect())
+    before, total = {}, 0
+    for b in sorted(sizes):
+        before[b] = total
+        total += sizes[b]
+    ranks = {p: (total - 1) * p for p in at}
+    wanted = sorted({r for x in ranks.values() for r in (math.floor(x), math.ceil(x))})
+    of = {r: max(b for b in before if before[b] <= r) for r in wanted}
+    asked = spark.createDataFrame([(of[r], r, r - before[of[r]]) for r in wanted], "b int, rank long, within long")
+    upto = Window.partitionBy("bin").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = binned.where(F.col("bin").isin(sorted(set(of.values())))).withColumn("upto", F.sum("n").over(upto))
+    hits = held.join(F.broadcast(asked), (F.col("bin") == F.col("b")) & (F.col("within") < F.col("upto")) & (F.col("within") >= F.col("upto") - F.col("n"))).select("rank", "v")
+    value = dict(hits.collect())  # two rows a quantile
+    out = [(p, value[math.floor(x)] + (value[math.ceil(x)] - value[math.floor(x)]) * (x - math.floor(x))) for p, x in ranks.items()]
+    return spark.createDataFrame(out, "p double, value double")
+
+
+def _searched(edges: list[float]) -> Column:
+    """How many edges lie below v, by halving."""
+
+    def among(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col("v") > edges[mid], among(mid + 1, hi)).otherwise(among(lo, mid))
+
+    return among(0, len(edges))
 
 
 def proportion_hits(found: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from .functions.findings import in_phase
 from .functions.regex import to_java
 from .operators import claims, coverage, export, extract, matches, patterns, phases, report, sarif
 from .operators.analyze import PerSegment
-from .plans import corpus
+from .plans import corpus, states
 from .plans.audit import audit, manifest, rule_errors
 from .rules import RuleBase, default_rules
 from .rules.expressions import in_xpath
@@ -420,6 +420,51 @@ def _(s, d):
     return corpus.quantiles(table(s, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("double").alias("n")), "n")
 
 
+@query("merged_proportions", f"""WITH {VFINDINGS}, n AS (SELECT rule, count(*) AS n, count(DISTINCT package) AS n_packages FROM vfindings GROUP BY rule)
+SELECT rule, CAST(n AS BIGINT) AS n, n / (SELECT sum(n) FROM n) * 100 AS percent, CAST(n_packages AS BIGINT) AS n_packages, n_packages / 40 * 100 AS percent_packages FROM n""")
+def _(s, d):
+    """Two parts of the findings, whose packages overlap, as states."""
+    found = vfindings(s, d)
+    parts = [found.where("event_id % 3 = 0"), found.where("event_id % 3 <> 0")]
+    first = states.numbered(parts[0])
+    numbers = [first, states.numbered(parts[1], first)]
+    return states.proportions(states.merged_rules(*(states.rules(f, n) for f, n in zip(parts, numbers))), 40)
+
+
+@query("merged_coverage", ORACLES["summarize_coverage"])
+def _(s, d):
+    cover = _coverage(s, d)
+    parts = [cover.where("pmod(hash(file_context), 3) = 0"), cover.where("pmod(hash(file_context), 3) <> 0")]
+    return states.merged_coverage(*map(states.coverage, parts))
+
+
+@query("merged_findings", ORACLES["summarize_findings"])
+def _(s, d):
+    found = vfindings(s, d)
+    parts = [found.where("event_id % 3 = 0"), found.where("event_id % 3 <> 0")]
+    return states.merged_findings(*map(states.findings, parts))
+
+
+@query("sarif_notifications", """SELECT concat('p', user_id % 40) AS package, 'error' AS level, concat('m', event_id) AS text, CASE event_id % 3 WHEN 0 THEN 'parse_code' ELSE 'find_matches' END AS descriptor_id,
+CASE event_id % 3 WHEN 0 THEN concat('R/', user_id, '.R') END AS uri, CASE event_id % 3 WHEN 2 THEN event_type END AS associated_rule FROM events""")
+def _(s, d):
+    errors = table(s, d, "events").selectExpr("concat('p', user_id % 40) AS package", "CAST(NULL AS STRING) AS version", "IF(event_id % 3 = 0, 'parse_code', 'find_matches') AS step", "IF(event_id % 3 = 0, concat('R/', user_id, '.R'), NULL) AS file_context",
+                                              "IF(event_id % 3 = 2, event_type, NULL) AS rule", "concat('m', event_id) AS message")
+    return sarif.notifications(errors).drop("version")
+
+
+@query("export_collisions", """WITH c AS (SELECT source AS package, concat('vignettes/', doc_id // 2, '.Rmd', CASE WHEN doc_id % 2 = 1 THEN '.python' ELSE '' END) AS file_context, doc_id % 2 = 1 AS whole, doc_id % 5 = 0 AS dots FROM documents),
+t AS (SELECT package, CASE WHEN dots THEN concat('../', file_context) ELSE file_context END AS file_context, whole FROM c), j AS (SELECT *, concat(package, '/', CASE WHEN whole THEN file_context ELSE concat(file_context, '.python') END) AS path FROM t),
+n AS (SELECT *, count(*) OVER (PARTITION BY path) AS k FROM j)
+SELECT path, file_context, CASE WHEN contains(file_context, '../') THEN 'unsafe path' WHEN k > 1 THEN 'name collides with another export' END AS note FROM n""")
+def _(s, d):
+    rows = table(s, d, "documents").selectExpr("source AS package", "CAST(NULL AS STRING) AS version", "concat('vignettes/', doc_id DIV 2, '.Rmd', IF(doc_id % 2 = 1, '.python', '')) AS f", "doc_id % 2 = 1 AS whole", "doc_id % 5 = 0 AS dots", "CAST(text AS BINARY) AS content")
+    rows = rows.withColumn("file_context", F.expr("IF(dots, concat('../', f), f)"))
+    cover = rows.selectExpr("package", "version", "file_context", "'python' AS language", "'exportable' AS status", "1 AS first_line", "2 AS last_line", "IF(whole, 9L, NULL) AS bytes")
+    files = rows.selectExpr("package", "version", "file_context", "9L AS bytes", "content", "false AS is_symlink")
+    return export.export_manifest(export.export_jobs(cover), files).select("path", "file_context", "note")
+
+
 @query("proportion_hits", f"WITH {VFINDINGS}, n AS (SELECT rule, count(*) AS n FROM vfindings GROUP BY rule) SELECT rule, n, n / (SELECT sum(n) FROM n) * 100 AS percent FROM n")
 def _(s, d):
     return corpus.proportion_hits(vfindings(s, d))
@@ -491,7 +536,7 @@ def _(s, d):
 
 @query("xpath_findings", ORACLES["pattern_findings"])
 def _(s, d):
-    return audit(vcode(s, d), in_xpath(RULES), persist=False).patterns.select("package", "file_context", "rule", "line_number", "column_number", "code_context", "indirect")
+    return audit(vcode(s, d), in_xpath(RULES)).patterns.select("package", "file_context", "rule", "line_number", "column_number", "code_context", "indirect")
 
 
 def _broken() -> RuleBase:

@@ -128,6 +128,24 @@ def test_sarif(done):
     assert len(run["results"]) == 5 + 3 + 2 and {r["level"] for r in run["results"]} == {"note"}
     assert len({r["partialFingerprints"]["findingV1"] for r in run["results"]}) == 10
     assert "region" not in next(r for r in run["results"] if r["ruleId"].startswith("file/"))["locations"][0]["physicalLocation"]
+    paths = set()
+
+    def walk(x, at):
+        paths.add(at)
+        for k, v in x.items() if isinstance(x, dict) else [("[]", y) for y in x] if isinstance(x, list) else ():
+            walk(v, f"{at}.{k}".lstrip("."))
+
+    for d in docs.values():
+        walk(d, "")
+    driver, notes, at = "runs.[].tool.driver", "runs.[].invocations.[].toolExecutionNotifications.[]", "physicalLocation.artifactLocation.uri"
+    assert paths >= {
+        "$schema", "version", *(f"{driver}.{k}" for k in ("name", "version", "informationUri")), *(f"{driver}.rules.[].{k}" for k in ("id", "name", "shortDescription.text", "helpUri", "properties.tags.[]")),
+        "runs.[].invocations.[].executionSuccessful", *(f"{notes}.{k}" for k in ("level", "message.text", "descriptor.id", f"locations.[].{at}", "associatedRule.id")),
+        *(f"runs.[].results.[].{k}" for k in ("ruleId", "level", "message.text", f"locations.[].{at}", "locations.[].physicalLocation.region.startLine", "locations.[].physicalLocation.region.startColumn", "partialFingerprints.findingV1", "properties.phases.[]", "properties.codeContext", "properties.guarded", "properties.indirect")),
+        *(f"runs.[].artifacts.[].{k}" for k in ("location.uri", "properties.status", "properties.reason", "properties.language", "properties.lines", "properties.bytes")),
+    }
+    pages = {r["name"]: r["helpUri"] for r in run["tool"]["driver"]["rules"]}
+    assert pages["chmod"].startswith("https://") and pages["configure"].startswith("urn:")
     assert run["tool"]["driver"]["rules"] and run["invocations"][0]["toolExecutionNotifications"] and all("language" in a["properties"] for a in run["artifacts"])
 
 
@@ -142,12 +160,37 @@ def test_export(spark, done, tmp_path):
     out = {r["file_context"]: r for r in export.export_unscanned(rows, str(tmp_path)).collect()}
     assert out["src/a.c"]["written"] and (tmp_path / "lantern/src/a.c").read_text() == "int x;\n"
     assert (tmp_path / "lantern/vignettes/v.Rmd.python").read_text().split("\n")[2] == "x = 1"
-    again = {r["file_context"]: r["note"] for r in export.export_unscanned(rows, str(tmp_path)).collect()}
-    assert again["src/a.c"] == "could not write"
+    with pytest.raises(ValueError, match="not empty"):
+        export.export_unscanned(rows, str(tmp_path))
+    (tmp_path / "lantern/src/a.c").write_text("old")
+    again = export.export_unscanned(rows, str(tmp_path), overwrite=True).collect()
+    assert all(r["written"] for r in again if r["file_context"] == "src/a.c") and (tmp_path / "lantern/src/a.c").read_text() == "int x;\n"
+    assert sorted(p.name for p in tmp_path.rglob("*") if p.is_file() and p.name.startswith(".")) == []  # nothing unfinished
     bad = spark.createDataFrame([("../x",), ("/x",), ("a/b",), ("a//b",)], "p string").select(export.unsafe(F.col("p"))).collect()
     assert [r[0] for r in bad] == [True, True, False, True]
 
 
+def test_export_is_not_led_astray(tmp_path):
+    """A link planted as a parent, or as the file itself, leaves nothing outside the target; what a lost task has written counts."""
+    import os
+
+    outside, top = tmp_path / "outside", tmp_path / "top"
+    outside.mkdir()
+    top.mkdir()
+    at = os.open(top, os.O_RDONLY | os.O_DIRECTORY)
+    (top / "p").symlink_to(outside)
+    assert export._write(at, "p/src/a.c", b"x", False) == "escapes target" and export._write(at, "p/a.c", b"x", True) == "escapes target" and list(outside.iterdir()) == []
+    (top / "q").mkdir()
+    (top / "q/a.c").symlink_to(outside / "b.c")
+    assert export._write(at, "q/a.c", b"x", False) == "could not write" and list(outside.iterdir()) == []
+    assert export._write(at, "q/a.c", b"x", True) is None and not (top / "q/a.c").is_symlink() and list(outside.iterdir()) == []
+    (top / "f").write_text("x")
+    assert export._write(at, "f/a.c", b"x", False) == "escapes target"
+    assert export._write(at, "r/s/a.c", b"body", False) is None and export._write(at, "r/s/a.c", b"body", False) is None and export._write(at, "r/s/a.c", b"other", False) == "could not write"
+    assert (top / "r/s/a.c").read_bytes() == b"body" and sorted(os.listdir(top / "r/s")) == ["a.c"]
+    os.close(at)
+
+
 def test_manifest_ignores_order(spark):
     a, b = ({"p": dict(items)} for items in (list(DEMO.items()), list(DEMO.items())[::-1]))
     one, two = (manifest(from_memory(spark, x)).first() for x in (a, b))
