@@ -204,13 +204,15 @@ def _join_groups(n: int, threshold: int):
 
 
 def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is among ids (one column, long), and few others: what is broadcast is bounded by MARKS."""
+    """The rows whose doc_id is among ids (one column, long), and others whose hash meets one of theirs: of the rest one in 3,000 for 10,000 ids, nearly all from 100 million on. What is broadcast is bounded by MARKS."""
     place = lambda c: (F.expr(f"pmod(xxhash64({c}), {MARKS})"), F.expr(f"CAST(pmod(xxhash64({c}, 1), 32768) AS INT)"))
     mark, bit = place(ids.columns[0])
     marks = ids.select(mark.alias("mark"), bit.cast("long").alias("bit")).groupBy("mark").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    # As 512 numbers, whose bits can be asked for: the first of eight bytes is a number's highest.
+    marks = marks.selectExpr("mark", "transform(sequence(0, 511), i -> CAST(conv(hex(substring(bits, 8 * i + 1, 8)), 16, -10) AS BIGINT)) AS words")
     mark, bit = place("doc_id")
     found = rows.where("doc_id IS NOT NULL").withColumns({"at": mark, "bit": bit}).join(F.broadcast(marks), F.col("at") == F.col("mark"))
-    return found.where("shiftright(CAST(conv(hex(substring(bits, bit DIV 8 + 1, 1)), 16, 10) AS INT), bit % 8) % 2 = 1").select(*rows.columns)
+    return found.where("getbit(words[bit DIV 64], (7 - (bit DIV 8) % 8) * 8 + bit % 8) = 1").select(*rows.columns)
 
 
 def _digests(n: int, threshold: int, slack: int):
@@ -242,10 +244,11 @@ def classes(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, slack: int
     reps = materialise(reps, "reps")
 
     elements = reps.select("rep", "need", F.explode("prefix").alias("e"))
-    often = elements.groupBy("e").count().where("count > 1")
+    # Written first, as are the heads below: a hot element then meets a plain table, and Spark can split its side of the join.
+    often = materialise(elements.groupBy("e").count().where("count > 1"), "often")
     common = elements.join(often, "e").groupBy("rep", "need").agg(F.sort_array(F.collect_list(F.struct("count", "e"))).alias("found"))
     routes = materialise(common.where("size(found) >= need").select("rep", F.explode(F.expr("slice(found.e, 1, size(found) - need + 1)")).alias("e")), "routes")
-    heads = routes.groupBy("e").agg(F.min("rep").alias("head"))
+    heads = materialise(routes.groupBy("e").agg(F.min("rep").alias("head")), "heads")
     grouped = components(routes.join(heads, "e").select(F.col("rep").alias("a"), F.col("head").alias("b")))
 
     def links(tasks: DataFrame) -> DataFrame:
@@ -260,9 +263,9 @@ def classes(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, slack: int
     # Large groups fall into bands of size, of which linked sets are at most one apart: a set goes to its own band and the next.
     members = grouped.join(reps.select("rep", *SIG), grouped.node == F.col("rep")).select("root", "rep", *SIG)
     members = materialise(members.withColumn("band", F.floor(F.log("size") / (1.001 * math.log(100 / threshold))).cast("int")), "members")
-    split = members.groupBy("root").agg((F.sum("size") > TASK_ELEMENTS).alias("split"))
+    split = materialise(members.groupBy("root").agg((F.sum("size") > TASK_ELEMENTS).alias("split")), "split")
     placed = members.join(split, "root").selectExpr("root", "rep", *SIG, "explode(IF(split, array(band, band + 1), array(-1))) AS band")
-    cut = placed.groupBy("root", "band").agg(F.sum("size").alias("n")).selectExpr("root", "band", f"IF(n <= {TASK_ELEMENTS}, 1, CAST(ceil(n / {HUB_ELEMENTS}) AS INT)) AS cut")
+    cut = materialise(placed.groupBy("root", "band").agg(F.sum("size").alias("n")).selectExpr("root", "band", f"IF(n <= {TASK_ELEMENTS}, 1, CAST(ceil(n / {HUB_ELEMENTS}) AS INT)) AS cut"), "cut")
     placed = materialise(placed.join(cut, ["root", "band"]), "placed")
 
     # Each block with its group's hub.
@@ -281,7 +284,7 @@ def classes(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, slack: int
     large = large.join(members.drop("root"), "rep").selectExpr("n_root AS root", "rep", "label", *SIG, "explode(array(band, band + 1)) AS band")
     large = materialise(large, "large")
     most = large.groupBy("root", "band", "label").agg(F.sum("size").alias("n")).groupBy("root", "band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("whole"), F.max("n").alias("most"))
-    most = most.where("whole > most").selectExpr("root", "band", "main", f"CAST(ceil(whole / {BLOCK_ELEMENTS}) AS INT) AS sides", f"CAST(ceil((whole - most) / {BLOCK_ELEMENTS}) AS INT) AS outs")
+    most = materialise(most.where("whole > most").selectExpr("root", "band", "main", f"CAST(ceil(whole / {BLOCK_ELEMENTS}) AS INT) AS sides", f"CAST(ceil((whole - most) / {BLOCK_ELEMENTS}) AS INT) AS outs"), "most")
     if not most.isEmpty():
         rest = large.join(most, ["root", "band"]).selectExpr("*", "CAST(pmod(xxhash64(rep), sides) AS INT) AS block", "CAST(pmod(xxhash64(rep), outs) AS INT) AS out")
         pairs = "array_union(transform(sequence(0, outs - 1), t -> named_struct('task', t, 'side', block)), IF(label <> main, transform(sequence(0, sides - 1), t -> named_struct('task', out, 'side', t)), array()))"

@@ -139,7 +139,7 @@ def test_tree_join_against_all_pairs():
         assert set(got) <= linked and reach(got) == reach(linked)
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, x) for x in range(5001, 5100)]
     up = {x: x for e in edges for x in e}
@@ -150,6 +150,18 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got.get(k, k) == v for k, v in up.items())
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    # As a graph that one task does not take: rounds of stars, over tasks that hold few edges at a time.
+    for most in (5, 120):
+        monkeypatch.setattr(graph, "TASK_EDGES", most)
+        df = spark.createDataFrame(edges + edges[:50], "a long, b long").repartition(5)
+        assert {r["node"]: r["root"] for r in graph.components(df).collect()} == got
+
+
+def test_marked_rows(spark):
+    rows = spark.range(-500, 4000).selectExpr("id AS doc_id", "'t' AS text").union(spark.createDataFrame([(None, "n")], "doc_id long, text string"))
+    ids = spark.range(-500, 4000, 7).selectExpr("id AS node")
+    got = {r["doc_id"] for r in jaccard._marked(rows, ids).collect()}
+    assert {r["node"] for r in ids.collect()} <= got and len(got) < 700 and None not in got
 
 
 # ---- neighbours
@@ -233,6 +245,18 @@ def test_chat_collapse(spark):
     assert chat.collapsed(df.limit(0)).count() == 0
 
 
+def test_chat_awkward(spark):
+    """Null ids, null and tied turns, repeated rows, a very long text and clashing columns: as the docstring says."""
+    long = "x" * 3_000_000
+    rows = [(None, 0, "user", "a"), (None, 1, None, None), (1, 0, "user", "a"), (1, None, "sys", "first"), (2, 5, "b", "t"), (2, 5, "a", "t"), (2, 5, "a", None), (3, 0, "user", "r"), (3, 0, "user", "r"), (4, 0, "user", "r"), (5, 0, "user", long), (6, 0, "user", long), (6, 1, "bot", "y")]
+    df = spark.createDataFrame([(*r, 1, "h", 2, "r") for r in rows], "conv_id long, turn long, role string, text string, n long, h1 string, K int, rendered string")
+    got = {r["conv_id"]: (r["n_turns"], r["rendered"]) for r in chat.collapsed(df.repartition(5)).collect()}
+    say = lambda *turns: "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in turns)
+    assert got == {
+        None: (2, say(("user", "a"), ("user", ""))), 1: (2, say(("sys", "first"), ("user", "a"))), 2: (3, say(("a", ""), ("a", "t"), ("b", "t"))), 3: (2, say(("user", "r"), ("user", "r"))), 6: (2, say(("user", long), ("bot", "y"))),
+    }
+
+
 # ---- packing
 
 
