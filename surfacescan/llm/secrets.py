@@ -117,13 +117,19 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@lru_cache(2)
+#: Vocabularies read so far, by path; a task is given its own by the driver, so that no worker parses the file.
+_READ: dict[str, str] = {}
+
+
 def vocabulary(path: str) -> str:
     """The vocabulary's words in small letters, the most frequent (lowest ids) last."""
+    if path in _READ:
+        return _READ[path]
     with open(path, encoding="utf-8") as f:
         ids = json.load(f)["model"]["vocab"]
     spelt = (t[1:] if t[:1] == "\u0120" else t for t in sorted(ids, key=ids.get))
-    return " ".join(reversed(dict.fromkeys(t.lower() for t in spelt if len(t) >= SHORTEST_WORD and t.isascii() and t.isalpha())))
+    _READ[path] = " ".join(reversed(dict.fromkeys(t.lower() for t in spelt if len(t) >= SHORTEST_WORD and t.isascii() and t.isalpha())))
+    return _READ[path]
 
 
 def spoken(s: str) -> str:
@@ -133,10 +139,12 @@ def spoken(s: str) -> str:
 
 @lru_cache(4)
 def _compressor(words: str, path: str) -> zstandard.ZstdCompressor:
-    body = f"{vocabulary(path)} {spoken(words)} {spoken(IDENTIFIERS)}"
-    primed = zstandard.ZstdCompressionDict(body.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    primed.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_content_size=False, write_checksum=False)
+    body = f"{vocabulary(path)} {spoken(words)} {spoken(IDENTIFIERS)}".encode()
+    # Tables for inputs as small as these: those of the level itself would take 50 MB of a worker.
+    how = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=1024, dict_size=len(body), write_content_size=False, write_checksum=False)
+    primed = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed.precompute_compress(compression_params=how)
+    return zstandard.ZstdCompressor(compression_params=how, dict_data=primed)
 
 
 def novelty(before: str, candidate: str, after: str, words: str = "", path: str | None = None) -> float:
@@ -233,8 +241,11 @@ def listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]))))
 
 
-def _scan(words: str, path: str | None):
+def _scan(words: str, path: str):
+    known = vocabulary(path)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _READ[path] = known
         for b in batches(it):
             rows = []
             for text in b.column(1).to_pylist():
@@ -249,7 +260,7 @@ def _scan(words: str, path: str | None):
 
 def scan(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per row of docs: counts by kind, the digest of the base spans and all spans. path: a tokenizer file that all executors see, instead of the default one."""
-    return texts(docs).mapInArrow(_scan(identifiers(docs), path), SCHEMA)
+    return texts(docs).mapInArrow(_scan(identifiers(docs), path or default_vocabulary()), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,9 +286,11 @@ def masked(docs: DataFrame, path: str | None = None) -> DataFrame:
     names = docs.columns
     at = names.index("text")
     count = names.index("n_chars") if "n_chars" in names else None
-    words = identifiers(docs)
+    words, path = identifiers(docs), path or default_vocabulary()
+    known = vocabulary(path)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _READ[path] = known
         for b in batches(it):
             columns = list(b.columns)
             before = columns[at].to_pylist()
