@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,8 +168,31 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hash_spans(buf, first, last), np.searchsorted(first, starts)
 
 
+def portions(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts that have `most` bytes together at most, or are one text."""
+    sizes = pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).to_pylist()
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > most:
+            yield start, i
+            start, held = i, 0
+        held += size
+    if sizes:
+        yield start, len(sizes)
+
+
+def release() -> None:
+    """Give memory that earlier batches and tasks have freed back to the system: a worker serves many stages, and would keep the most that any of them took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches that have rows."""
+    release()
     for b in it:
         if b.num_rows:
             yield b
+        del b
+    release()

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import IS_SPACE, batches, hash_spans, joined, materialise, texts
+from .common import IS_SPACE, batches, hash_spans, joined, materialise, portions, release, texts
 
 #: Tokens in a sequence; the id that ends a document; buckets of the ranking inside a length.
 LENGTH, END, BUCKETS = 2048, 0, 256
@@ -38,6 +38,8 @@ LENGTH, END, BUCKETS = 2048, 0, 256
 ROUNDS, STEP, PULL, NEAR, SOLVES = 100, 0.1, 10.0, 0.97, 4
 #: Stretches that a worker keeps tokenised, before it starts anew.
 CACHED = 250_000
+#: Bytes of text tokenised at a time: its words' places and hashes take some twenty times as much.
+TEXT_BYTES = 2 << 20
 
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: A stretch that ends in white space: it would merge with the white space of a stretch set after it.
@@ -185,13 +187,15 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH)
     path = tokenizer or default_tokenizer()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         encoder = _encoders.setdefault(path, None) or Encoder(path)
         _encoders[path] = encoder
         for b in batches(it):
             out = []
-            for i, ids in zip(b.column(0).to_pylist(), encoder.documents(b.column(1)), strict=True):
-                at = [*cuts(len(ids), length), len(ids)]
-                out += [(i, k, s, e - s, zlib.crc32(ids[s:e].tobytes())) for k, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True))]
+            for x, y in portions(b.column(1), TEXT_BYTES):
+                for i, ids in zip(b.column(0)[x:y].to_pylist(), encoder.documents(b.column(1)[x:y]), strict=True):
+                    at = [*cuts(len(ids), length), len(ids)]
+                    out += [(i, k, s, e - s, zlib.crc32(ids[s:e].tobytes())) for k, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True))]
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in PIECES.split(", ")])
 
