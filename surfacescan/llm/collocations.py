@@ -38,8 +38,8 @@ MAX_N, LEAST, SHARE, TOP = 4, 30, 80, 2000
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Bits for each frequent part, and bits at most (a power of two).
 BITS_EACH, MOST_BITS = 32, 1 << 27
-#: Rows of one outgoing batch.
-OUT_ROWS = 50_000
+#: Rows of one outgoing batch; parts of a language that are ranked on their own before its best are.
+OUT_ROWS, SHARES = 50_000, 16
 
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[list(PIECE_ENDS)] = True
@@ -205,8 +205,10 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: i
     taken = f"CAST(100 AS DECIMAL(3,0)) * CAST(f AS DECIMAL(19,0)) >= CAST({share} AS DECIMAL(3,0)) * CAST(a AS DECIMAL(19,0))"
     kept = scored.join(longer, (F.col("lang") == F.col("e_lang")) & (F.col("phrase") == F.col("e_phrase")) & F.expr(taken), "left_anti")
 
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order).cast("long"))
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")
+    if top is not None:  # first within shares of a language, so that its last window has SHARES * top rows at most
+        kept = kept.withColumn("part", F.expr(f"pmod(xxhash64(phrase), {SHARES})")).withColumn("first", rank("lang", "part")).where(f"first <= {top}")
+    ranked = kept.withColumn("rank", rank("lang"))
     ranked = ranked if top is None else ranked.where(f"rank <= {top}")
     total = found.where("phrase = ''").select("lang", F.col("n"))
     return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
