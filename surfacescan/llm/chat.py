@@ -18,46 +18,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialise
 
 #: Template of one turn; {role} and {text} are filled in.
 TURN = "<|{role}|>\n{text}<|end|>\n"
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
-    """conv_id, k (from 1), role, text, h1, h2 (of the first k turns)."""
+    """conv_id, k (from 1), n (turns of the conversation), role, text, h1, h2 (of the first k turns); one shuffle and one sort."""
     rows = turns.selectExpr("CAST(conv_id AS BIGINT) AS conv_id", "CAST(turn AS BIGINT) AS turn", "CAST(role AS STRING) AS role", "CAST(text AS STRING) AS text")
     order = "PARTITION BY conv_id ORDER BY turn ASC NULLS FIRST, role ASC NULLS FIRST, text ASC NULLS FIRST"
-    rows = rows.selectExpr("conv_id", "role", "text", f"row_number() OVER ({order}) AS k")
+    rows = rows.selectExpr("conv_id", "role", "text", f"row_number() OVER ({order}) AS k", "CAST(count(*) OVER (PARTITION BY conv_id) AS INT) AS n")
     body = "coalesce(concat('+', role), '-'), coalesce(concat('+', text), '-')"
     rows = rows.selectExpr("*", f"sha2(concat_ws('|', CAST(k AS STRING), {body}), 256) AS d")
     half = lambda at: f"CAST(conv(substring(d, {at}, 15), 16, 10) AS DECIMAL(28, 0))"
     running = "OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return rows.selectExpr("conv_id", "k", "role", "text", f"sum({half(1)}) {running} AS h1", f"sum({half(16)}) {running} AS h2")
+    return rows.selectExpr("conv_id", "k", "n", "role", "text", f"sum({half(1)}) {running} AS h1", f"sum({half(16)}) {running} AS h2")
 
 
-def maximal(turns: DataFrame) -> DataFrame:
-    """conv_id and n_turns of the conversations that are no proper prefix of another and no later copy."""
-    rows = prefixes(turns).selectExpr("conv_id", "k", "h1", "h2", "lead(k) OVER (PARTITION BY conv_id ORDER BY k) IS NULL AS whole")
-    wholes = rows.where("whole").groupBy("k", "h1", "h2").agg(F.min(F.struct(F.col("conv_id").isNotNull(), "conv_id"))["conv_id"].alias("conv_id"))
-    inner = rows.where("NOT whole").select("k", "h1", "h2").distinct()
+def maximal(rows: DataFrame) -> DataFrame:
+    """Of the rows of prefixes(): conv_id and n_turns of the conversations that are no proper prefix of another and no later copy."""
+    wholes = rows.where("k = n").groupBy("k", "h1", "h2").agg(F.min(F.struct(F.col("conv_id").isNotNull(), "conv_id"))["conv_id"].alias("conv_id"))
+    inner = rows.where("k < n").select("k", "h1", "h2").distinct()
     return wholes.join(inner, ["k", "h1", "h2"], "left_anti").select("conv_id", F.col("k").cast("long").alias("n_turns"))
 
 
 def render(turns: DataFrame, template: str = TURN) -> DataFrame:
-    """Each conversation of `turns` in the template: conv_id, rendered."""
+    """Each conversation of `turns` (conv_id, k, role, text) in the template: conv_id, n_turns, rendered."""
     before, _, rest = template.partition("{role}")
     between, _, after = rest.partition("{text}")
     rows = turns.select("conv_id", "k", F.concat(F.lit(before), F.coalesce("role", F.lit("user")), F.lit(between), F.coalesce("text", F.lit("")), F.lit(after)).alias("piece"))
-    listed = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("k", "piece"))).alias("pieces"))
-    return listed.select("conv_id", F.array_join(F.col("pieces.piece"), "").alias("rendered"))
+    listed = rows.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sort_array(F.collect_list(F.struct("k", "piece"))).alias("pieces"))
+    return listed.select("conv_id", "n_turns", F.array_join(F.col("pieces.piece"), "").alias("rendered"))
 
 
 def collapsed(turns: DataFrame, template: str = TURN) -> DataFrame:
-    """Maximal conversations, rendered: conv_id, n_turns, rendered."""
-    kept = maximal(turns).select(F.col("conv_id").alias("m_conv"), "n_turns")
-    rows = prefixes(turns).select("conv_id", "k", "role", "text")
-    shown = render(rows.join(kept, rows.conv_id.eqNullSafe(kept.m_conv), "left_semi"), template)
-    return shown.join(kept, shown.conv_id.eqNullSafe(kept.m_conv)).select("conv_id", "n_turns", "rendered")
+    """Maximal conversations, rendered: conv_id, n_turns, rendered. The prefixes are written once: the anti-join and the rendering read them."""
+    rows = materialise(prefixes(turns), "prefixes")
+    kept = maximal(rows).select(F.col("conv_id").alias("m_conv"))
+    return render(rows.join(kept, rows.conv_id.eqNullSafe(kept.m_conv), "left_semi").select("conv_id", "k", "role", "text"), template)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
