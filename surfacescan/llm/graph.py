@@ -1,9 +1,8 @@
 """Connected components of a graph given as a table of edges.
 
-Each task first settles the edges it reads among themselves and passes on a forest, a row a node at most.
-What is left of a graph, if TASK_EDGES at most, is settled in one task. A larger one goes through rounds of
-large and small stars, which shorten every path by a constant factor, each after its tasks have settled
-their own edges again, until it has shrunk to that size or is a table of stars, which is the result.
+A graph of TASK_EDGES at most is settled in one task. A larger one goes through rounds of large and small
+stars, which shorten every path by a constant factor, until it has shrunk to that size or is a table of
+stars, which is the result.
 """
 
 from __future__ import annotations
@@ -69,7 +68,7 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds are two aggregations, whose minima combine before the shuffle, and two joins on a node. Tables
     are written to the shared folder, so that a lost executor costs one round at most.
     """
-    now = materialise(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi > lo").mapInArrow(_settled(False), EDGES), "edges")
+    now = materialise(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi > lo").distinct(), "edges")
     sums = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(30,0)")).alias("h")).first()
     before = sums(now)
     for _ in range(ROUNDS):
@@ -87,7 +86,7 @@ def components(edges: DataFrame) -> DataFrame:
         root = large.groupBy("hi").agg(F.min("lo").alias("root"))
         tied = large.join(root, "hi").where("lo <> root").select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
         stars = tied.union(root.select("hi", F.col("root").alias("lo"))).where("hi > lo").distinct()
-        then = materialise(stars.mapInArrow(_settled(False), EDGES), "stars")
+        then = materialise(stars, "stars")
         after = sums(then)
         discard(least)
         discard(now)
