@@ -1,7 +1,7 @@
-"""Syntax rules as joins over the node table.
+"""Syntax rules as conditions over the node table.
 
-A node's subtree is the range pre .. pre + size inside its segment. Children and parents are found by
-equi-joins, descendants and ancestors by one sweep over a segment in pre-order: no range joins, which a
+A node's subtree is the range pre .. pre + size inside its segment. What rules ask of a node is SQL, and what
+they ask of nodes around it are columns that passes over a segment in pre-order fill: no range joins, which a
 file of many like lines would make quadratic. Rule tables are a few hundred constant rows.
 """
 
@@ -20,29 +20,11 @@ from .xpath import AT, SEG
 _FOUND = ["found", "indirect", "lpre", *AT, "size", "line1", "col1", "line2", "in_function"]
 
 
-def _same(a: DataFrame, b: DataFrame):
-    return [a[k].eqNullSafe(b[k]) for k in SEG]
-
-
 def calls(nodes: DataFrame) -> DataFrame:
     """Names called bare or with a package, not as members."""
     return nodes.where("tag = 'SYMBOL_FUNCTION_CALL' AND NOT after_dollar AND NOT after_at")
 
 
-def _named(nodes: DataFrame, names: dict[str, list[str]]) -> DataFrame:
-    """Calls of the functions, tagged with their rule. names: rule to functions."""
-    table = nodes.sparkSession.createDataFrame([(r, f) for r, fs in names.items() for f in fs], "found string, name string")
-    c = calls(nodes)
-    return c.join(F.broadcast(table), c.text == table.name)
-
-
-def _expressions(nodes: DataFrame, inner: DataFrame, column: str) -> DataFrame:
-    """The expr nodes that `inner` rows point at with a column, with the rows' `found`."""
-    asked = inner.select("found", *[F.col(k).alias(f"i_{k}") for k in SEG], F.col(column).alias("i_pre")).distinct()
-    e = nodes.where("tag = 'expr'")
-    return e.join(asked, [*(e[k].eqNullSafe(asked[f"i_{k}"]) for k in SEG), e.pre == asked.i_pre])
-
-
 def _holding(outer: DataFrame, inner: DataFrame) -> DataFrame:
     """Outer nodes with an inner one in their subtree."""
     return xpath.having(outer, "descendant", inner)
@@ -52,46 +34,48 @@ def _direct(df: DataFrame) -> DataFrame:
     return df.withColumn("indirect", F.lit(False)).withColumn("lpre", F.col("pre")).select(_FOUND)
 
 
+def _called(names: list[str]) -> str:
+    """SQL: a call of one of the functions, bare or with a package."""
+    return f"(tag = 'SYMBOL_FUNCTION_CALL' AND NOT after_dollar AND NOT after_at AND {_in(names)})"
+
+
+def _in(words: list[str]) -> str:
+    return f"text IN ({', '.join(map(xpath.quoted, words))})" if words else "false"
+
+
+def _with(words: tuple[str, ...]) -> str:
+    return xpath.one_of([f"contains(text, {xpath.quoted(w)})" for w in words])
+
+
 def find_patterns(nodes: DataFrame, rules: RuleBase) -> DataFrame:
     """Each (rule, node) once: found (the rule), indirect, lpre (document order), the node's keys, extent and in_function."""
-    spark = nodes.sparkSession
-    functions = {r["name"]: r["functions"] for r in rules.patterns if "xpath" not in r}
-    said = {r["name"]: r["xpath"] for r in rules.patterns if "xpath" in r}
-    if len(said) == len(rules.patterns):
-        return _direct(xpath.select_all(nodes, said))
-    out = [_named(nodes, functions)] + ([xpath.select_all(nodes, said)] if said else [])
-    builtin = {r["name"] for r in rules.patterns if "xpath" not in r}  # a rule's expression stands for all that it seeks
-    packages = spark.createDataFrame(data.PACKAGE_CALLS, "found string, name string, of string")
-    c = nodes.where("tag = 'SYMBOL_FUNCTION_CALL' AND prev_pkg IS NOT NULL")
-    out.append(c.join(F.broadcast(packages), (c.text == packages.name) & (c.prev_pkg == packages.of)))
+    marks = xpath.Marks()
+    # A rule's expression stands for all that it seeks.
+    asked = {r["name"]: [xpath.condition(r["xpath"], marks)] if "xpath" in r else [_called(r["functions"])] for r in rules.patterns}
+    builtin = {r["name"] for r in rules.patterns if "xpath" not in r}
+
+    def add(rule: str, *conditions: str) -> None:
+        if rule in builtin:
+            asked[rule].append(xpath.all_of(list(conditions)))
+
+    below = lambda inner: marks.on("child", marks.on("child", inner))
+    for rule, name, package in data.PACKAGE_CALLS:
+        add(rule, "tag = 'SYMBOL_FUNCTION_CALL'", _in([name]), f"prev_pkg = {xpath.quoted(package)}")
     # Call expressions that hold further calls.
     sources = [f for r in rules.patterns if r["name"] in data.CAPABILITIES for f in r["functions"]] + list(data.READERS)
     for rule, outer, inner in (("decoding", ["rawToChar"], [["as.raw"]]), ("eval_parse", ["eval", "evalq"], [list(data.PARSERS), sources])):
-        whole = _expressions(nodes, _named(nodes, {rule: outer}), "gparent")
-        for names in inner:
-            whole = _holding(whole, _named(nodes, {"x": names}))
-        out.append(whole)
-    named = nodes.where("tag = 'SYMBOL_SUB' AND text = 'repos'").select(*[F.col(k).alias(f"s_{k}") for k in SEG], F.col("parent").alias("s_parent"))
-    options = _expressions(nodes, _named(nodes, {"options_repos": ["options"]}), "gparent")
-    out.append(options.join(named, [*(options[k].eqNullSafe(named[f"s_{k}"]) for k in SEG), options.pre == named.s_parent], "left_semi"))
+        add(rule, "tag = 'expr'", below(_called(outer)), *(marks.on("descendant", _called(names)) for names in inner))
+    add("options_repos", "tag = 'expr'", below(_called(["options"])), marks.on("child", "(tag = 'SYMBOL_SUB' AND text = 'repos')"))
     # X$new() with a process class in X.
-    news = nodes.where("tag = 'SYMBOL_FUNCTION_CALL' AND text = 'new' AND after_dollar")
     for rule in sorted({r for r, _ in data.CLASS_NEWS}):
-        whole = _expressions(nodes, news.withColumn("found", F.lit(rule)), "parent")
-        out.append(_holding(whole, nodes.where("tag = 'SYMBOL'").where(F.col("text").isin([s for r, s in data.CLASS_NEWS if r == rule]))))
+        classes = [s for r, s in data.CLASS_NEWS if r == rule]
+        add(rule, "tag = 'expr'", marks.on("child", "(tag = 'SYMBOL_FUNCTION_CALL' AND text = 'new' AND after_dollar)"), marks.on("descendant", f"(tag = 'SYMBOL' AND {_in(classes)})"))
     # Telling literals: code rather than prose.
-    literals = nodes.where("tag = 'STR_CONST' AND NOT contains(text, '`') AND (NOT contains(text, ' ') OR length(text) < 32)")
     for rule, words in (("persistence", data.PERSISTENCE), ("credentials", data.SECRET_PATHS)):
-        out.append(literals.where(" OR ".join(f"contains(text, '{w}')" for w in words)).withColumn("found", F.lit(rule)))
-    asked = nodes.where("tag = 'STR_CONST' AND first_arg").where(" OR ".join(f"contains(text, '{w}')" for w in data.SECRET_NAMES))
-    asked = asked.select(*[F.col(k).alias(f"v_{k}") for k in SEG], F.col("gparent").alias("v_at"))
-    env = _named(nodes, {"credentials": ["Sys.getenv"]})
-    out.append(env.join(asked, [*(env[k].eqNullSafe(asked[f"v_{k}"]) for k in SEG), env.gparent == asked.v_at], "left_semi"))
-    found = None
-    for k, df in enumerate(out):
-        one = _direct(df).withColumn("by_xpath", F.lit(bool(said) and k == 1))
-        found = one if found is None else found.unionByName(one)
-    return found.where(F.col("found").isin(*builtin) | F.col("by_xpath")).drop("by_xpath").dropDuplicates(["found", *AT])
+        add(rule, "tag = 'STR_CONST' AND NOT contains(text, '`') AND (NOT contains(text, ' ') OR length(text) < 32)", _with(words))
+    named = below(f"(tag = 'STR_CONST' AND first_arg AND {_with(data.SECRET_NAMES)})")
+    add("credentials", _called(["Sys.getenv"]), marks.on("parent", marks.on("parent", named)))
+    return _direct(xpath.marked(nodes, asked, marks))
 
 
 def find_indirect(nodes: DataFrame, rules: RuleBase) -> DataFrame:
@@ -105,10 +89,9 @@ def find_indirect(nodes: DataFrame, rules: RuleBase) -> DataFrame:
     on = [*(lit[k].eqNullSafe(c[f"c_{k}"]) for k in SEG), lit.gparent == c.c_at]
     near = lit.join(c, on)
     # The call must name its own parameter or give it first; the target is then the first literal that names any of the three.
-    fits = near.groupBy(*SEG, "gparent").agg(F.max(F.col("first_arg") | F.col("named_arg").eqNullSafe(F.col("parameter"))).alias("fits"))
-    target = near.where(F.col("first_arg") | F.col("named_arg").isin(list(data.INDIRECT.values()))).groupBy(*SEG, "gparent").agg(
-        F.min(F.struct("pre", "text", "line1", "col1", "line2")).alias("t"))
-    named = target.join(fits.where("fits"), [*(target[k].eqNullSafe(fits[k]) for k in SEG), target.gparent == fits.gparent]).select(*[target[k] for k in SEG], target.gparent.alias("call"), "t")
+    fits = F.max(F.col("first_arg") | F.col("named_arg").eqNullSafe(F.col("parameter"))).alias("fits")
+    target = F.min(F.when(F.col("first_arg") | F.col("named_arg").isin(list(data.INDIRECT.values())), F.struct("pre", "text", "line1", "col1", "line2"))).alias("t")
+    named = near.groupBy(*SEG, F.col("gparent").alias("call")).agg(fits, target).where("fits AND t IS NOT NULL")
     plain = named.where(r"NOT contains(t.text, '\\') AND t.text RLIKE '^[\"\'].*[\"\']$'").withColumn("fn", F.expr("substring(t.text, 2, length(t.text) - 2)"))
     owned = plain.join(F.broadcast(owners), "fn").select("found", *[F.col(k).alias(f"o_{k}") for k in SEG], "call", "t")
     e = nodes.where("tag = 'expr'")
@@ -121,18 +104,15 @@ def find_indirect(nodes: DataFrame, rules: RuleBase) -> DataFrame:
 
 def find_code_contexts(nodes: DataFrame, rules: RuleBase) -> DataFrame:
     """Extents of hooks: context, the segment's keys, pre, size, line1, col1."""
-    spark = nodes.sparkSession
-    kinds = {how: spark.createDataFrame([(r["name"], r["target"]) for r in rules.code_contexts if r["how"] == how], "context string, target string") for how in ("assign", "call")}
-    hooks = nodes.join(F.broadcast(kinds["assign"]), F.col("assigned") == F.col("target"))
-    called = calls(nodes).join(F.broadcast(kinds["call"]), F.col("text") == F.col("target")).withColumn("found", F.col("context"))
-    registered = _expressions(nodes, called, "gparent").withColumn("context", F.col("found"))
-    cols = ["context", *AT, "size", "line1", "col1"]
-    out = hooks.select(cols).unionByName(registered.select(cols))
-    said = {r["name"]: r["xpath"] for r in rules.code_contexts if r["how"] == "xpath"}
-    if said:
-        found = xpath.select_all(nodes, said).withColumnRenamed("found", "context").select(cols)
-        return found if all(r["how"] in ("xpath", "label") for r in rules.code_contexts) else out.unionByName(found)
-    return out
+    marks, asked = xpath.Marks(), {}
+    for r in rules.code_contexts:
+        if r["how"] == "assign":
+            asked[r["name"]] = [f"assigned = {xpath.quoted(r['target'])}"]
+        elif r["how"] == "call":
+            asked[r["name"]] = [xpath.all_of(["tag = 'expr'", marks.on("child", marks.on("child", _called([r["target"]])))])]
+        elif r["how"] == "xpath":
+            asked[r["name"]] = [xpath.condition(r["xpath"], marks)]
+    return xpath.marked(nodes, asked, marks).withColumnRenamed("found", "context").select("context", *AT, "size", "line1", "col1")
 
 
 def _innermost():

@@ -5,17 +5,21 @@ preceding-sibling, following-sibling and self (long or short), predicates with a
 comparisons of text() or of a path's text with a literal, contains(), starts-with(), string-length(), and a
 position as a step's first predicate. Anything else is refused by name when the expression is compiled.
 
-A path in a predicate is an existence test and is evaluated from its end: the nodes that fit the last step,
-then those of the step before that have one of them on the axis, and so on. Each axis is one equi-join on a
-parent, or one sweep over a segment in pre-order; conditions on a node itself are plain filters. No step makes
-pairs of nodes, so the work is a sort of the node table's relevant rows for each step.
+A path in a predicate is an existence test and is evaluated from its end: whether a node fits the last step,
+then whether one of the step before has such a node on the axis, and so on. Conditions on a node itself are
+SQL; each axis is a column that a pass over a segment in pre-order fills. No step makes pairs of nodes, and
+all rules share one exchange and sort of the node table and as many passes as their deepest one has steps.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -195,12 +199,17 @@ def _own_text(e) -> bool:
     return isinstance(e, Path) and not e.absolute and len(e.steps) == 1 and e.steps[0].axis == "child" and e.steps[0].test == "text()" and not e.steps[0].where
 
 
+def quoted(text: str) -> str:
+    """A SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _value(e) -> str:
     """Text or a number, of the context node alone, as SQL."""
     if _own_text(e) or isinstance(e, Path) and len(e.steps) == 1 and e.steps[0] == Step("self", "node()"):
         return "coalesce(text, '')"
     if isinstance(e, tuple) and e[0] == "lit":
-        return "'" + e[1].replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return quoted(e[1])
     if isinstance(e, tuple) and e[0] == "num":
         return f"{e[1]!r}D"
     if isinstance(e, tuple) and e[0] == "string-length":
@@ -260,13 +269,6 @@ def _local(e) -> str | None:
     raise XPathError(f"{kind} as a condition")
 
 
-def _positions(e) -> bool:
-    """Whether a position is asked for anywhere."""
-    if isinstance(e, Path):
-        return any(s.nth is not None or any(map(_positions, s.where)) for s in e.steps)
-    return isinstance(e, (tuple, list)) and any(map(_positions, e))
-
-
 def _check(e, top: bool = True) -> None:
     """Refuse what has no plan, without data."""
     if isinstance(e, Path):
@@ -319,15 +321,6 @@ def parse(text: str):
 # ---------------------------------------------------------------- the plan
 
 
-def _joined(outer: DataFrame, keys: DataFrame, column: str, how: str) -> DataFrame:
-    """outer rows whose `column` is (left_semi) or is not (left_anti) a key's __pre in the same segment."""
-    return outer.join(keys, [*(outer[k].eqNullSafe(keys[f"__{k}"]) for k in SEG), outer[column] == keys["__pre"]], how)
-
-
-def _keys(df: DataFrame, column: str) -> DataFrame:
-    return df.select(*(F.col(k).alias(f"__{k}") for k in SEG), F.col(column).alias("__pre")).distinct()
-
-
 def _swept(outer: DataFrame, inner: DataFrame, axis: str) -> DataFrame:
     """outer with __on: whether an inner node is among its descendants, or its ancestors. One sort of a segment and one pass."""
     rows = outer.withColumn("__inner", F.lit(None).cast("int")).unionByName(inner.select(*SEG, "pre", F.when(F.lit(axis == "descendant"), F.col("pre")).otherwise(F.col("pre") + F.col("size")).cast("int").alias("__inner")), allowMissingColumns=True)
@@ -342,123 +335,155 @@ def _swept(outer: DataFrame, inner: DataFrame, axis: str) -> DataFrame:
 
 
 def having(outer: DataFrame, axis: str, nodes: DataFrame, negate: bool = False) -> DataFrame:
-    """outer nodes with one of the nodes on an axis; or, negated, without."""
-    how = "left_anti" if negate else "left_semi"
-    if axis in ("child", "self", "parent"):
-        return _joined(outer, _keys(nodes, "parent" if axis == "child" else "pre"), "parent" if axis == "parent" else "pre", how)
-    if axis in ("descendant", "ancestor"):
-        return _swept(outer, nodes, axis).where("NOT __on" if negate else "__on").drop("__on")
-    first = axis == "preceding-sibling"
-    ends = nodes.groupBy(*SEG, "parent").agg((F.min if first else F.max)("ord").alias("__end")).withColumnsRenamed({k: f"__{k}" for k in [*SEG, "parent"]})
-    beside = outer.ord > ends["__end"] if first else outer.ord < ends["__end"]
-    return outer.join(ends, [*(outer[k].eqNullSafe(ends[f"__{k}"]) for k in SEG), outer.parent == ends["__parent"], beside], how)
-
-
-def _tested(nodes: DataFrame, s: Step) -> DataFrame:
-    rows = nodes if s.test in ("*", "node()") else nodes.where(F.col("tag") == s.test)
-    if s.nth is not None:
-        rows = rows.where(F.col("__nth_any" if s.test in ("*", "node()") else "__nth") == s.nth)
-    return rows
+    """outer nodes with one of the nodes among their descendants or ancestors; or, negated, without."""
+    return _swept(outer, nodes, axis).where("NOT __on" if negate else "__on").drop("__on")
+
+
+def _along(t: pa.Table, axes: dict[str, str]) -> pa.Table:
+    """Whole segments in pre-order: each column of `axes` says of a node whether it fits; then, whether one on its axis does."""
+    whole = lambda c: pc.fill_null(t.column(c).cast(pa.int64()), -1).to_numpy()
+    seg, n = np.cumsum(t.column("__first").to_numpy()).astype("int64") << 32, len(t)
+    key, over = seg + whole("pre") + 1, seg + whole("parent") + 1
+    end, order = key + whole("size"), whole("ord")
+    up = np.minimum(np.searchsorted(key, over), n - 1)
+    has = key[up] == over
+    beside = np.unique(over, return_inverse=True)[1]
+    for c, axis in axes.items():
+        fits = t.column(c).to_numpy()
+        if axis == "child":
+            on = np.zeros(n, bool)
+            on[up[has & fits]] = True
+        elif axis == "parent":
+            on = has & fits[up]
+        elif axis == "descendant":
+            so_far = np.concatenate([[0], np.cumsum(fits)])
+            on = so_far[np.searchsorted(key, end, "right")] > so_far[1:]
+        elif axis == "ancestor":
+            on = np.concatenate([[0], np.maximum.accumulate(np.where(fits, end, 0))[:-1]]) >= key
+        else:
+            first = axis == "preceding-sibling"
+            far = np.full(n, np.iinfo("int64").max if first else -1)
+            (np.minimum if first else np.maximum).at(far, beside[fits], order[fits])
+            on = order > far[beside] if first else order < far[beside]
+        t = t.set_column(t.schema.get_field_index(c), c, pa.array(on))
+    return t
+
+
+def _sweep(axes: dict[str, str]):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []  # of the segment that may go on
+        for b in it:
+            starts = np.flatnonzero(b.column("__first").to_numpy(zero_copy_only=False))
+            if len(starts) and (held or starts[-1]):
+                yield from _along(pa.Table.from_batches([*held, b.slice(0, starts[-1])]), axes).to_batches(10_000)
+                held = []
+            held.append(b.slice(starts[-1]) if len(starts) else b)
+        if held:
+            yield from _along(pa.Table.from_batches(held), axes).to_batches(10_000)
+
+    return run
+
+
+class Marks:
+    """Conditions on nodes as SQL, in which a condition on an axis is a column.
+
+    A column at a time is no plan at a time: the nodes are put together by segment once, and each pass over a
+    segment fills all columns whose conditions are known, those of all rules together.
+    """
+
+    def __init__(self) -> None:
+        self.asked: dict[tuple[str, str], tuple[str, int]] = {}
+        self.numbered = False  # whether a position is asked for
+
+    def on(self, axis: str, condition: str) -> str:
+        """SQL for whether a node on the axis fulfils a condition."""
+        if axis == "self":
+            return condition
+        if (axis, condition) not in self.asked:
+            depth = 1 + max((d for c, d in self.asked.values() if c in condition), default=0)
+            self.asked[axis, condition] = f"__m{len(self.asked)}_", depth
+        return self.asked[axis, condition][0]
 
+    def fill(self, nodes: DataFrame) -> DataFrame:
+        """The nodes with the columns; and with their positions where any condition asks for one."""
+        rows = nodes.repartition(*SEG)
+        if self.numbered:
+            among = lambda *keys: F.row_number().over(Window.partitionBy(*SEG, *keys).orderBy("ord"))
+            rows = rows.withColumns({"__nth": among("parent", "tag"), "__nth_any": among("parent")})
+        rows = rows.withColumn("__first", F.row_number().over(Window.partitionBy(*SEG).orderBy("pre")) == 1).sortWithinPartitions(*SEG, "pre")  # Spark may put the windows into another order
+        for depth in sorted({d for _, d in self.asked.values()}):
+            here = {name: (axis, condition) for (axis, condition), (name, d) in self.asked.items() if d == depth}
+            rows = rows.withColumns({name: F.expr(f"coalesce({condition}, false)") for name, (_, condition) in here.items()})
+            rows = rows.mapInArrow(_sweep({name: axis for name, (axis, _) in here.items()}), rows.schema)
+        return rows
 
-def _kept(rows: DataFrame, conditions: list, nodes: DataFrame) -> DataFrame:
-    """The rows that fulfil all conditions, those on the rows alone first."""
-    for c in sorted(conditions, key=lambda c: _local(c) is None):
-        rows = _where(rows, c, nodes)
-    return rows
 
+def all_of(conditions: list[str]) -> str:
+    return "(" + (" AND ".join(conditions) or "true") + ")"
 
-def _where(rows: DataFrame, e, nodes: DataFrame, negate: bool = False) -> DataFrame:
+
+def one_of(conditions: list[str]) -> str:
+    return "(" + (" OR ".join(conditions) or "false") + ")"
+
+
+def _tested(s: Step, marks: Marks) -> list[str]:
+    any_tag = s.test in ("*", "node()")
+    out = [] if any_tag else [f"tag = {quoted(s.test)}"]
+    if s.nth is not None:
+        marks.numbered = True
+        out.append(f"{'__nth_any' if any_tag else '__nth'} = {s.nth}")
+    return out
+
+
+def _condition(e, marks: Marks) -> str:
+    """A predicate as SQL that is never null."""
     if (own := _local(e)) is not None:
-        return rows.where(f"NOT {own}" if negate else own)
+        return own
     if isinstance(e, tuple) and e[0] == "not":
-        return _where(rows, e[1], nodes, not negate)
+        return f"(NOT {_condition(e[1], marks)})"
     if isinstance(e, tuple) and e[0] in ("and", "or"):
-        a, b = sorted(e[1:], key=lambda x: _local(x) is None)
-        if (e[0] == "and") != negate:
-            return _where(_where(rows, a, nodes, negate), b, nodes, negate)
-        # Either: the second is only asked of the rows that the first leaves out.
-        return _where(rows, a, nodes, negate).unionByName(_where(_where(rows, a, nodes, not negate), b, nodes, negate))
+        return (all_of if e[0] == "and" else one_of)([_condition(x, marks) for x in e[1:]])
     if isinstance(e, tuple) and e[0] == "union":
-        out = ("or", e[1][0], e[1][1])
-        for x in e[1][2:]:
-            out = ("or", out, x)
-        return _where(rows, out, nodes, negate)
+        return one_of([_condition(x, marks) for x in e[1]])
     path = _named(e) if isinstance(e, tuple) else e
     found = None
     for s, after in zip(reversed(path.steps), [None, *reversed(path.steps)]):
-        own = _tested(nodes, s)
-        found = _kept(own if after is None else having(own, after.axis, found), s.where, nodes)
-    return having(rows, path.steps[0].axis, found, negate)
+        further = [] if after is None else [marks.on(after.axis, found)]
+        found = all_of([*_tested(s, marks), *further, *(_condition(w, marks) for w in s.where)])
+    return marks.on(path.steps[0].axis, found)
 
 
-def _selected(e, nodes: DataFrame) -> DataFrame:
+def _selected(e, marks: Marks) -> str:
+    """Whether an expression selects a node, as SQL."""
     if isinstance(e, tuple) and e[0] == "union":
-        out = _selected(e[1][0], nodes)
-        for x in e[1][1:]:
-            out = out.unionByName(_selected(x, nodes))
-        return out.dropDuplicates(AT)
+        return one_of([_selected(x, marks) for x in e[1]])
     if isinstance(e, tuple):
-        return _kept(_selected(e[1], nodes), e[2], nodes)
+        return all_of([_selected(e[1], marks), *(_condition(w, marks) for w in e[2])])
     found = None
     for k, s in enumerate(e.steps):
-        rows = _tested(nodes, s)
-        if k == 0:
-            rows = rows.where("parent < 0") if s.axis == "child" else rows
-        else:
-            rows = having(rows, INVERSE[s.axis], found)
-        found = _kept(rows, s.where, nodes)
+        before = [marks.on(INVERSE[s.axis], found)] if k else ["parent < 0"] if s.axis == "child" else []
+        found = all_of([*_tested(s, marks), *before, *(_condition(w, marks) for w in s.where)])
     return found
 
 
-def _numbered(nodes: DataFrame, expressions: list) -> DataFrame:
-    """The nodes, with their positions where any expression asks for one."""
-    if not any(map(_positions, expressions)):
-        return nodes
-    among = lambda *keys: F.row_number().over(Window.partitionBy(*SEG, *keys).orderBy("ord"))
-    return nodes.withColumns({"__nth": among("parent", "tag"), "__nth_any": among("parent")})
+def condition(xpath: str, marks: Marks) -> str:
+    """Whether an expression selects a node, as SQL over the node's columns and the marks."""
+    return _selected(parse(xpath), marks)
 
 
 def select(nodes: DataFrame, xpath: str) -> DataFrame:
     """The rows of a node table that an expression selects, each once."""
-    e = parse(xpath)
-    return _selected(e, _numbered(nodes, [e])).select(*nodes.columns)
-
-
-def _parts(e) -> list:
-    """The paths that a union is made of."""
-    return [x for y in e[1] for x in _parts(y)] if isinstance(e, tuple) and e[0] == "union" else [e]
-
-
-def _conjuncts(e) -> list:
-    return [x for y in e[1:] for x in _conjuncts(y)] if isinstance(e, tuple) and e[0] == "and" else [e]
+    return select_all(nodes, {"x": xpath}).select(*nodes.columns)
 
 
 def select_all(nodes: DataFrame, rules: dict[str, str]) -> DataFrame:
-    """The rows that each rule selects, each once a rule, with the rule's name as `found`.
+    """The rows that each rule selects, each once a rule, with the rule's name as `found`."""
+    marks = Marks()
+    return marked(nodes, {name: [condition(x, marks)] for name, x in rules.items()}, marks)
 
-    Rules that look at nodes of one kind and ask the same of their surroundings, and differ only in what
-    they ask of the node itself, share one plan.
-    """
-    parsed = {name: parse(x) for name, x in rules.items()}
-    nodes = _numbered(nodes, list(parsed.values()))
-    shared: dict[tuple, tuple[list, list]] = {}
-    out = []
-    for name, e in parsed.items():
-        for part in _parts(e):
-            if isinstance(part, Path) and len(part.steps) == 1 and part.steps[0].axis == "descendant" and part.steps[0].nth is None:
-                step = part.steps[0]
-                conditions = [c for w in step.where for c in _conjuncts(w)]
-                wide = [c for c in conditions if _local(c) is None]
-                own = " AND ".join(c for c in map(_local, conditions) if c is not None) or "true"
-                shared.setdefault((step.test, repr(wide)), (wide, []))[1].append((own, name))
-            else:
-                out.append(_selected(part, nodes).withColumn("found", F.lit(name)))
-    for (test, _), (wide, asked) in shared.items():
-        names = ", ".join(f"IF({own}, '{name}', NULL)" for own, name in asked)
-        rows = _tested(nodes, Step("descendant", test)).withColumn("found", F.expr(f"explode(filter(array({names}), x -> x IS NOT NULL))"))
-        out.append(_kept(rows, wide, nodes))
-    found = out[0]
-    for x in out[1:]:
-        found = found.unionByName(x)
-    return found.dropDuplicates(["found", *AT])
+
+def marked(nodes: DataFrame, rules: dict[str, list[str]], marks: Marks) -> DataFrame:
+    """The rows that fulfil any of a rule's conditions, each once a rule, with the rule's name as `found`. All rules share one plan."""
+    names = ", ".join(f"IF({one_of(conditions)}, {quoted(name)}, NULL)" for name, conditions in rules.items())
+    rows = marks.fill(nodes) if marks.asked or marks.numbered else nodes
+    return rows.withColumn("found", F.expr(f"explode(filter(array({names}), x -> x IS NOT NULL))")).select(*nodes.columns, "found")
