@@ -58,11 +58,17 @@ def build_coverage(files: DataFrame, found: DataFrame, rules: RuleBase, scanned:
 
 def segment_spans(segments: DataFrame, analyzed: tuple[str, ...] = ("R", "shell")) -> DataFrame:
     """Segments that no analyzer reads, as spans of their non-blank lines."""
-    filled = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.trim(F.element_at("lines", i)) != "")
-    rows = segments.where(~F.col("language").isin(*analyzed)).where(F.size("lines") > 0).withColumn("__at", filled).where(F.size("__at") > 0)
+    # One fold over the lines, below an explode of one row: a condition on its result would be pushed down and have the lines made again.
+    none = F.lit(None).cast("int")
+    at = F.aggregate(
+        "lines", F.struct(F.lit(0).alias("i"), none.alias("first"), none.alias("last"), F.lit(0).alias("n")),
+        lambda s, x: F.when(F.trim(x) != "", F.struct((s["i"] + 1).alias("i"), F.coalesce(s["first"], s["i"] + 1).alias("first"), (s["i"] + 1).alias("last"), (s["n"] + 1).alias("n")))
+        .otherwise(F.struct((s["i"] + 1).alias("i"), s["first"].alias("first"), s["last"].alias("last"), s["n"].alias("n"))),
+    )
+    rows = segments.where(~F.col("language").isin(*analyzed)).select(*KEYS, "language", F.explode(F.array(at)).alias("__at")).where("__at.n > 0")
     return rows.select(
-        *KEYS, "language", F.lit("exportable").alias("status"), F.lit("no_analyzer").alias("reason"), F.array_min("__at").cast("int").alias("first_line"),
-        F.array_max("__at").cast("int").alias("last_line"), F.size("__at").cast("int").alias("lines"), F.lit(None).cast("long").alias("bytes"),
+        *KEYS, "language", F.lit("exportable").alias("status"), F.lit("no_analyzer").alias("reason"), F.col("__at.first").alias("first_line"),
+        F.col("__at.last").alias("last_line"), F.col("__at.n").alias("lines"), F.lit(None).cast("long").alias("bytes"),
     )
 
 

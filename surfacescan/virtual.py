@@ -38,6 +38,8 @@ _PATHS = ", ".join(f"'{p}'" for p in PATHS)
 PATH, PATH_DUCK = f"element_at(array({_PATHS}), CAST(doc_id % {N} AS INT) + 1)", f"list_extract([{_PATHS}], doc_id % {N} + 1)"
 INJECTED = _case("(doc_id * 31 + n) % 19", [(i, f"concat(line, ' && {s}')") for i, (_, s) in enumerate(SNIPPETS)], "line")
 
+_TAILS = f"array({', '.join(f"' && {s}'" for _, s in SNIPPETS)})"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -82,10 +84,9 @@ VTREE = f"vtree AS (SELECT package, {TREE_PATH.format(group=chr(92) + '1')} AS f
 
 def vsegments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a shell segment with findings put at the ends of lines."""
-    parts = "split(text, '\\r\\n|\\n|\\r', -1)"
-    lines = f"CASE WHEN element_at({parts}, -1) = '' THEN slice({parts}, 1, size({parts}) - 1) ELSE {parts} END"
-    rows = vfiles(spark, sf_dir).selectExpr("package", "version", "file_context", "doc_id", f"{lines} AS raw")
-    return rows.selectExpr("package", "version", "file_context", "'shell' AS language", f"transform(raw, (line, i) -> {INJECTED.replace('+ n)', '+ i + 1)')}) AS lines", "doc_id")
+    rows = vfiles(spark, sf_dir).selectExpr("package", "version", "file_context", "doc_id", "split(text, '\\r\\n|\\n|\\r', -1) AS parts")
+    rows = rows.selectExpr("package", "version", "file_context", "doc_id", "slice(parts, 1, size(parts) - IF(element_at(parts, -1) = '', 1, 0)) AS raw")
+    return rows.selectExpr("package", "version", "file_context", "'shell' AS language", f"transform(raw, (line, i) -> concat(line, coalesce(get({_TAILS}, CAST((doc_id * 31 + i + 1) % 19 AS INT)), ''))) AS lines", "doc_id")
 
 
 VLINES = f"""raw_lines AS (
