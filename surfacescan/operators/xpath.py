@@ -482,8 +482,15 @@ def select_all(nodes: DataFrame, rules: dict[str, str]) -> DataFrame:
     return marked(nodes, {name: [condition(x, marks)] for name, x in rules.items()}, marks)
 
 
-def marked(nodes: DataFrame, rules: dict[str, list[str]], marks: Marks) -> DataFrame:
-    """The rows that fulfil any of a rule's conditions, each once a rule, with the rule's name as `found`. All rules share one plan."""
+def marked(nodes: DataFrame, rules: dict[str, list[str]], marks: Marks, keep: list[str] | None = None) -> DataFrame:
+    """The rows that fulfil any of a rule's conditions, each once a rule, with the rule's name as `found`. All rules share one plan.
+
+    keep: the columns that go on (all, unless given). Others that no condition names stay behind before the
+    exchange: each pass carries every column to Python and back.
+    """
+    keep = keep or nodes.columns
+    asked = set(re.findall(r"\w+", " ".join([*(c for _, c in marks.asked), *(c for conditions in rules.values() for c in conditions)])))
+    rows = nodes.select(*(c for c in nodes.columns if c in {*keep, *AT, "parent", "size", "ord", "tag"} or c in asked))
     names = ", ".join(f"IF({one_of(conditions)}, {quoted(name)}, NULL)" for name, conditions in rules.items())
-    rows = marks.fill(nodes) if marks.asked or marks.numbered else nodes
-    return rows.withColumn("found", F.expr(f"explode(filter(array({names}), x -> x IS NOT NULL))")).select(*nodes.columns, "found")
+    rows = marks.fill(rows) if marks.asked or marks.numbered else rows
+    return rows.withColumn("found", F.expr(f"explode(filter(array({names}), x -> x IS NOT NULL))")).select(*keep, "found")

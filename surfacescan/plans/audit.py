@@ -155,8 +155,7 @@ def audit(files: DataFrame, rules: RuleBase | None = None, scanned: str = "1970-
     # Patterns.
     applicable = spark.createDataFrame(
         [(r["name"], c) for r in rules.file_contexts for c in r["code_context"] or () if any(x["name"] == c and x["kind"] == "xpath" for x in rules.code_contexts)], "file_rule string, name string")
-    hits = patterns.find_patterns(nodes, rules).unionByName(patterns.find_indirect(nodes, rules))
-    hits = patterns.determine_code_contexts(hits, patterns.find_code_contexts(nodes, rules), applicable)
+    hits = patterns.find_in_contexts(nodes, rules, applicable)
     seg = segments.select(*(F.col(k).alias(f"g_{k}") for k in patterns.SEG), "context", "lines", "guarded_lines")
     hits = hits.join(seg, [hits[k].eqNullSafe(seg[f"g_{k}"]) for k in patterns.SEG])
     said = F.broadcast(rules.frame(spark, "patterns").select(F.col("name").alias("r_name"), "message", "attck"))

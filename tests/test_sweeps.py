@@ -33,3 +33,19 @@ def test_segments_across_batches():
     for n in (1, 2, 7, 64):
         assert pa.Table.from_batches(xpath._sweep(axes)(whole.to_batches(n))).combine_chunks() == want.combine_chunks()
     assert want.column("on_child").to_pylist()[:1] == [bool(fits[1] or fits[2])] and any(want.column("on_child").to_pylist())
+
+
+@pytest.mark.parametrize("rules", [default_rules(), in_xpath(default_rules())], ids=["built in", "in xpath"])
+def test_rules_and_hooks_share_their_passes(spark, rules):
+    """Findings and hooks were sought apart, and each pass carried every column of a node."""
+    code = [".onLoad <- function(l, p) {", "  system('a')", "  do.call('system', list('b'))", "}", "eval(parse(text = readLines(u)))"]
+    segments = spark.createDataFrame([("p", None, str(i), "R_scripts", 0, "R", code[i:]) for i in (0, 4)], SEGMENTS)
+    nodes = parse_segments(segments).where("pre IS NOT NULL")
+    use = spark.createDataFrame([("R_scripts", "onLoad_base")], "file_rule string, name string")
+    together = patterns.find_in_contexts(nodes, rules, use)
+    apart = patterns.determine_code_contexts(patterns.find_patterns(nodes, rules).unionByName(patterns.find_indirect(nodes, rules)), patterns.find_code_contexts(nodes, rules), use)
+    assert sorted(map(str, together.collect())) == sorted(map(str, apart.collect()))
+    assert {(r["found"], r["code_context"], r["indirect"]) for r in together.collect()} >= {("system", "onLoad_base", False), ("system", "onLoad_base", True)}
+    plan = together._jdf.queryExecution().optimizedPlan().toString()
+    passes = [x for x in plan.splitlines() if "MapInArrow run(" in x and "__first" in x]
+    assert 1 <= len(passes) <= 4 and not any("col2" in x or "depth" in x for x in passes)
