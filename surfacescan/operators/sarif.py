@@ -63,7 +63,11 @@ def notifications(errors: DataFrame) -> DataFrame:
 
 def emit_sarif(audit) -> DataFrame:
     """package, version, sarif (JSON text). One package's findings meet in one row: the document."""
-    found = fingerprints(sarif_findings(audit.file_contexts, audit.patterns, audit.matches))
+    found = sarif_findings(audit.file_contexts, audit.patterns, audit.matches)
+    if audit.held:  # results and rules both read the findings; they are let go of with what the audit keeps
+        found = found.persist()
+        audit.held.append(found)
+    found = fingerprints(found)
     region = F.when(F.col("line").isNotNull(), F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn")))
     place = F.struct(F.struct(F.struct(F.col("file_context").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
     result = F.struct(
